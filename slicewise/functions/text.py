@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
@@ -78,16 +78,26 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(chars, cased), "")
 
 
-def location(c: Column, departments: dict[str, str] = K.DEPARTMENTS) -> Column:
-    """Department text -> location: exact key, else first contained key, else title case."""
-    key = F.lower(strip(c))
+def location(c: Column, departments: dict[str, str] = K.DEPARTMENTS, key: Column | None = None) -> Column:
+    """Department text -> location: exact key, else first contained key, else title case.
+
+    ``key`` may name a column that holds the trimmed, lower-cased text already;
+    :func:`with_location` computes it once per row.
+    """
+    key = F.lower(strip(c)) if key is None else key
     exact = reduce(lambda acc, kv: acc.when(key == kv[0], kv[1]), departments.items(),
-                   F.when(c.isNull() | (c == ""), F.lit("Unknown")))
+                   F.when(key.isNull() | ((key == "") & (c == "")), F.lit("Unknown")))
     ordered = reduce(lambda acc, kv: acc.when(key.contains(kv[0]), kv[1]),
                      departments.items(), exact)
     return ordered.otherwise(title_case(strip(c)))
 
 
+def with_location(df: DataFrame, raw: str = "raw_department", out: str = "location") -> DataFrame:
+    """Adds the location of a department column."""
+    keyed = df.withColumn("_key", F.lower(strip(F.col(raw))))
+    return keyed.withColumn(out, location(F.col(raw), key=F.col("_key"))).drop("_key")
+
+
 def indication_prior(c: Column, priors: dict[str, float] = K.INDICATION_PRIORS,
                      default: float = K.DEFAULT_PRIOR) -> Column:
     low = F.lower(text(c))
@@ -110,7 +120,7 @@ def file_name(path: Column) -> Column:
 
 
 def parent_path(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.substr(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
 
 
 def file_stem(path: Column) -> Column:

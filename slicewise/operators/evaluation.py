@@ -36,8 +36,12 @@ def roc_curve(long: DataFrame) -> DataFrame:
 
     tp / fp count the rows at or above the score; tied scores share a point.
     """
-    points = score_points(long)
-    running = scan_by_bucket(points, ["class"], -N.score_bucket(F.col("p")), [F.desc("p")],
+    return roc_of_points(score_points(long))
+
+
+def roc_of_points(points: DataFrame) -> DataFrame:
+    bucket = F.coalesce(-N.score_bucket(F.col("p")), F.lit(1))
+    running = scan_by_bucket(points, ["class"], bucket, [F.desc("p")],
                              sums={"tp": F.col("pos"), "fp": F.col("neg")})
     totals = points.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = running.join(F.broadcast(totals), "class")  # one row per class
@@ -71,7 +75,11 @@ def class_metrics(long: DataFrame, style: str = "evaluation") -> DataFrame:
     positive call. A class with only one label value is left out in
     ``evaluation`` style and gets the default metrics in ``training`` style.
     """
-    ops = _operating_points(roc_curve(long))
+    return metrics_of_points(score_points(long), style)
+
+
+def metrics_of_points(points: DataFrame, style: str = "evaluation") -> DataFrame:
+    ops = _operating_points(roc_of_points(points))
     single = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
@@ -125,9 +133,19 @@ def log_loss(scored: DataFrame, weights: list[float] = K.LOSS_WEIGHTS, eps: floa
     return _with_weighted_mean(_per_class_mean(finite_rows(scored), term, "loss"), weights)
 
 
+def loss_of_points(points: DataFrame, eps: float = 1e-15) -> DataFrame:
+    """Log loss per class from the counts per distinct score."""
+    p = N.clip(F.col("p"), eps, 1 - eps)
+    term = F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p)
+    return points.groupBy("class").agg((-F.sum(term) / F.sum(F.col("pos") + F.col("neg"))).alias("loss"))
+
+
+def class_weight(weights: list[float] = K.LOSS_WEIGHTS) -> Column:
+    return F.coalesce(*[F.when(F.col("class") == c, F.lit(v)) for c, v in zip(K.CLASSES, weights)])
+
+
 def _with_weighted_mean(per_class: DataFrame, weights: list[float]) -> DataFrame:
-    w = F.coalesce(*[F.when(F.col("class") == c, F.lit(v)) for c, v in zip(K.CLASSES, weights)])
-    rolled = per_class.withColumn("w", w).rollup("class").agg(
+    rolled = per_class.withColumn("w", class_weight(weights)).rollup("class").agg(
         F.grouping("class").alias("g"), (F.sum(F.col("loss") * F.col("w")) / F.sum("w")).alias("loss"))
     return rolled.select(F.when(F.col("g") == 1, "weighted").otherwise(F.col("class")).alias("class"), "loss")
 

@@ -59,11 +59,17 @@ def _scan_cuts(df: DataFrame, keys: list[str], cut: str, order: list[Column],
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by ``keys`` with null equal to null.
+
+    Keys that cannot be null use plain equality, so that the join and a window
+    by the same keys share one shuffle.
+    """
     renamed = right
     cond = F.lit(True)
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}")) if left.schema[k].nullable else F.col(k) == F.col(f"_r_{k}")
+        cond = cond & same
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 

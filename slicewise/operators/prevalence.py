@@ -133,8 +133,7 @@ def best_prevalence(results: DataFrame, as_of: dt.date, days: int | None = 365,
         F.count(F.lit(1)).alias("n_all"), F.sum(positive).alias("p_all"))
     sums = [F.sum(c).alias(c) for c in ("n_recent", "p_recent", "n_all", "p_all")]
     rolled = per_location.rollup("location").agg(F.grouping("location").alias("whole"), *sums)
-    total = per_location.agg(*sums)
-    n_total, p_total = (total.select(c).scalar() for c in ("n_all", "p_all"))
+    total = per_location.agg(F.struct(F.sum("n_all").alias("n"), F.sum("p_all").alias("p")).alias("t")).scalar()
 
     def source(where: Column, when: str, n: Column, p: Column) -> Column:
         return F.concat(F.lit("observed ("), where, F.lit(f", {when}, n="), n.cast("string"),
@@ -152,15 +151,16 @@ def best_prevalence(results: DataFrame, as_of: dt.date, days: int | None = 365,
         (is_total & (n_all >= min_n), n_all, p_all, source(everywhere, "all time", n_all, p_all)),
     ]
     if days:
-        tiers.append((~is_total & (F.col("n_total") >= min_n), F.col("n_total"), F.col("p_total"),
-                      source(everywhere, "all time", F.col("n_total"), F.col("p_total"))))
+        n_total, p_total = F.col("_total.n"), F.col("_total.p")
+        tiers.append((~is_total & (n_total >= min_n), n_total, p_total,
+                      source(everywhere, "all time", n_total, p_total)))
     rate_out, source_out = None, None
     for ok, n, p, words in tiers:
         value = rate(n, p, min_n)
         rate_out = F.when(ok, value) if rate_out is None else rate_out.when(ok, value)
         source_out = F.when(ok, words) if source_out is None else source_out.when(ok, words)
     rest = "no prevalence data available" if fallback is None else "indication default (insufficient local data)"
-    return (rolled.withColumn("n_total", n_total).withColumn("p_total", p_total)
+    return (rolled.withColumn("_total", total)
             .select(F.when(~is_total, F.col("location")).alias("location"),
                     rate_out.otherwise(F.lit(fallback).cast("double")).alias("prevalence"),
                     source_out.otherwise(F.lit(rest)).alias("source")))

@@ -12,7 +12,7 @@ from slicewise.operators.ordered import HOT_ROWS, scan, scan_by_bucket
 
 def signature(classes: list[str] = K.CLASSES) -> Column:
     """The label bits as text, e.g. ``000011``."""
-    return F.concat(*[F.col(c).cast("string") for c in classes])
+    return F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in classes])
 
 
 def _shuffled(df: DataFrame, keys: list[str], seed: int, position: str, size: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def _shuffled(df: DataFrame, keys: list[str], seed: int, position: str, size: st
     The first four hex digits cut any group into 65,536 even parts.
     """
     keyed = df.withColumn("_md5", N.shuffle_key(F.col("image_id"), seed))
-    return scan_by_bucket(keyed, keys, F.substring("_md5", 1, 4), [F.col("_md5"), F.col("image_id")],
+    return scan_by_bucket(keyed, keys, F.coalesce(F.substring("_md5", 1, 4), F.lit("")), [F.col("_md5"), F.col("image_id")],
                           position=position, size=size).drop("_md5")
 
 

@@ -16,14 +16,14 @@ def study_folders(files: DataFrame) -> DataFrame:
 
     A folder that holds files counts as a series folder when a sibling holds
     files too; then the parent is the study folder, else the folder itself.
-    Works on distinct folders, so the file count does not matter after step one.
+    Files are counted per folder on the map side; the rest is aggregates over
+    folders, so neither a huge folder nor a huge parent meets one task whole.
     """
-    dirs = files.select(T.parent_path(F.col("path")).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"))
-    dirs = dirs.withColumn("parent", T.parent_path(F.col("dir")))
-    siblings = dirs.groupBy("parent").agg(F.count(F.lit(1)).alias("n_dirs"))
-    study = F.when(F.col("n_dirs") >= 2, F.col("parent")).otherwise(F.col("dir"))
-    return (dirs.join(siblings, "parent").groupBy(study.alias("study_folder"))
-            .agg(F.sum("n_files").alias("n_files")))
+    dirs = files.groupBy(T.parent_path(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n_files"))
+    parents = dirs.groupBy(T.parent_path(F.col("dir")).alias("parent")).agg(
+        F.count(F.lit(1)).alias("n_dirs"), F.min("dir").alias("only"), F.sum("n_files").alias("n_files"))
+    study = F.when(F.col("n_dirs") >= 2, F.col("parent")).otherwise(F.col("only"))
+    return parents.groupBy(study.alias("study_folder")).agg(F.sum("n_files").alias("n_files"))
 
 
 def unvisited(folders: DataFrame, visited: DataFrame, key: str = "study_folder") -> DataFrame:
@@ -37,14 +37,6 @@ def stores_complete(entries: DataFrame, stores: list[str], key: str = "image_id"
             .filter(F.col("_bits") == (1 << len(stores)) - 1).select(key))
 
 
-def first_headers(headers: DataFrame) -> DataFrame:
-    """The header of the first file (by path) of every study."""
-    fields = [c for c in headers.columns if c != "study_uid"]
-    first = F.min_by(F.struct(*fields), F.col("path"))
-    return headers.groupBy("study_uid").agg(first.alias("h"), F.count(F.lit(1)).alias("n_files")).select(
-        "study_uid", "h.*", "n_files")
-
-
 def reject_reason(error: Column, modality: Column, description: Column) -> Column:
     """Why a study is not a head CT candidate; blank when it is one.
 
@@ -58,12 +50,27 @@ def reject_reason(error: Column, modality: Column, description: Column) -> Colum
             .otherwise(F.lit("")))
 
 
-def study_check(headers: DataFrame) -> DataFrame:
-    """One row per study: exam date and reject reason from its first header."""
-    return first_headers(headers).select(
-        "study_uid", "path", "n_files",
-        T.compact_date(F.col("study_date")).alias("exam_date"),
-        reject_reason(F.col("error"), F.col("modality"), F.col("study_description")).alias("reason"))
+def file_groups(headers: DataFrame) -> DataFrame:
+    """Files per study, series and readability: attributes of the first file by path, and the count.
+
+    The only step that touches single files; study checks and series choice
+    both go on from here.
+    """
+    uid = F.coalesce(F.col("series_uid"), F.lit("unknown"))
+    attrs = [c for c in headers.columns if c not in ("study_uid", "series_uid")]
+    return (headers.groupBy("study_uid", uid.alias("series_uid"), F.col("error").isNull().alias("readable"))
+            .agg(F.min_by(F.struct(*attrs), F.col("path")).alias("f"), F.count(F.lit(1)).alias("slice_count"))
+            .select("study_uid", "series_uid", "readable", "f.*", "slice_count")
+            .withColumnRenamed("path", "first_path"))
+
+
+def study_check(groups: DataFrame) -> DataFrame:
+    """One row per study: exam date and reject reason from its first file."""
+    first = F.min_by(F.struct("study_date", "error", "modality", "study_description"), F.col("first_path"))
+    h = groups.groupBy("study_uid").agg(first.alias("h"), F.sum("slice_count").alias("n_files"))
+    return h.select(
+        "study_uid", "n_files", T.compact_date(F.col("h.study_date")).alias("exam_date"),
+        reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"))
 
 
 def date_cutoff(exam_date: Column, as_of: dt.date, days_back: int | None) -> Column:
@@ -76,13 +83,11 @@ def date_cutoff(exam_date: Column, as_of: dt.date, days_back: int | None) -> Col
 
 def series_rollup(headers: DataFrame) -> DataFrame:
     """One row per series: attributes of its first readable file, and the file count."""
-    readable = headers.filter(F.col("error").isNull())
-    uid = F.coalesce(F.col("series_uid"), F.lit("unknown"))
-    attrs = [c for c in headers.columns if c not in ("study_uid", "series_uid", "error")]
-    return (readable.groupBy("study_uid", uid.alias("series_uid"))
-            .agg(F.min_by(F.struct(*attrs), F.col("path")).alias("f"), F.count(F.lit(1)).alias("slice_count"))
-            .select("study_uid", "series_uid", "f.*", "slice_count")
-            .withColumnRenamed("path", "first_path")
+    return _series(file_groups(headers))
+
+
+def _series(groups: DataFrame) -> DataFrame:
+    return (groups.filter("readable").drop("readable", "error")
             .withColumn("series_folder", T.parent_path(F.col("first_path"))))
 
 
@@ -131,24 +136,22 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
     """Status of every study and, where it is ready, its chosen series.
 
     Order: not_head_ct, date_filtered, already_processed, error (nothing
-    readable), no_ncct_series, ready. Series are rolled up only for studies
-    that pass the cheap checks.
+    readable), no_ncct_series, ready. Single files are aggregated once; checks
+    and series choice share that result.
     """
-    checked = study_check(headers)
+    groups = file_groups(headers)
     early = (F.when(F.col("reason") != "", F.lit("not_head_ct"))
              .when(date_cutoff(F.col("exam_date"), as_of, days_back), F.lit("date_filtered"))
              .when(F.col("_known"), F.lit("already_processed")))
     known = existing.select("study_uid").distinct().withColumn("_known", F.lit(True))
-    first = (checked.join(known, "study_uid", "left").withColumn("_early", early)
-             .select("study_uid", "n_files", "exam_date", "reason", "_early"))
-    live = headers.join(first.filter(F.col("_early").isNull()).select("study_uid"), "study_uid", "left_semi")
-    chosen = select_series(series_rollup(live), min_slices).select(
+    chosen = select_series(_series(groups), min_slices).select(
         "study_uid", "series_uid", "series_folder", "slice_count")
-    status = F.coalesce(F.col("_early"), F.when(F.col("series_uid").isNull(), F.lit("no_ncct_series")),
-                        F.lit("ready"))
-    return (first.join(chosen, "study_uid", "left")
-            .select("study_uid", status.alias("status"), "reason", "exam_date", "n_files",
-                    "series_uid", "series_folder", "slice_count"))
+    joined = (study_check(groups).join(known, "study_uid", "left").withColumn("_early", early)
+              .join(chosen, "study_uid", "left"))
+    status = F.coalesce(F.col("_early"), F.when(F.col("series_uid").isNull(), F.lit("no_ncct_series")), F.lit("ready"))
+    routed = joined.withColumn("status", status)
+    picked = [F.when(F.col("status") == "ready", F.col(c)).alias(c) for c in ("series_uid", "series_folder", "slice_count")]
+    return routed.select("study_uid", "status", "reason", "exam_date", "n_files", *picked)
 
 
 def scan_counters(routed: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:

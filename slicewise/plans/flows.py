@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
@@ -45,11 +46,17 @@ def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, spec
 
 
 def evaluation_summary(scored: DataFrame) -> DataFrame:
-    """Test-set evaluation: class metrics beside mean AUC and weighted log loss."""
-    rows = evaluation.finite_rows(scored)
-    metrics = evaluation.class_metrics(evaluation.long_scores(rows))
-    loss = evaluation.log_loss(rows)
-    weighted = loss.filter("class = 'weighted'").select("loss").scalar()
-    mean = evaluation.mean_auc(metrics).select("mean_auc").scalar()
-    return metrics.select("class", "auc", "sensitivity", "specificity", "threshold", "n_positive", "n_total",
-                          F.round(mean, 6).alias("mean_auc"), F.round(weighted, 6).alias("weighted_log_loss"))
+    """Test-set evaluation: class metrics beside mean AUC and weighted log loss.
+
+    Everything follows from the counts per distinct score, so the scores are
+    read and shuffled once.
+    """
+    points = evaluation.score_points(evaluation.long_scores(evaluation.finite_rows(scored)))
+    metrics = evaluation.metrics_of_points(points)
+    losses = evaluation.loss_of_points(points).withColumn("w", evaluation.class_weight())
+    overall = W.partitionBy(F.lit(1))  # one row per class: six at most
+    weighted = F.sum(F.col("loss") * F.col("w")).over(overall) / F.sum("w").over(overall)
+    joined = losses.withColumn("weighted", weighted).join(metrics, "class")
+    return joined.select("class", "auc", "sensitivity", "specificity", "threshold", "n_positive", "n_total",
+                         F.round(F.avg("auc").over(overall), 6).alias("mean_auc"),
+                         F.round("weighted", 6).alias("weighted_log_loss"))

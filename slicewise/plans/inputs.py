@@ -37,10 +37,11 @@ def results_of(events: DataFrame) -> DataFrame:
            .when(F.col("event_type") == "purchase", "Medical Ward")
            .when(F.col("event_type") == "signup", "")
            .when(F.col("event_type") == "error", "o'neil annex 3rd"))
-    return events.select(
+    rows = events.select(
         F.col("event_id").cast("string").alias("study_uid"), F.col("user_id").cast("string").alias("patient_id"),
-        F.to_date("ts").alias("exam_date"), raw.alias("raw_department"), T.location(raw).alias("location"),
+        F.to_date("ts").alias("exam_date"), raw.alias("raw_department"),
         (F.col("value") >= 100).cast("int").alias("ai_positive"), (F.col("value") / F.lit(500.0)).alias("prob_any"))
+    return T.with_location(rows)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,13 +55,16 @@ def _u(c: str) -> Column:
 
 def slices(spark: SparkSession, sf: str) -> DataFrame:
     """Scored, labelled slices <- lineitem."""
-    u = {c: _u(c) for c in K.CLASSES}
     noise = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1000) / F.lit(1000.0)
-    return table(spark, sf, "lineitem").select(
+    base = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("study_uid"), F.col("l_quantity").alias("z_mm"), *SLICE_ORDER,
+        noise.alias("noise"), *[_u(c).alias(f"u_{c}") for c in K.CLASSES])
+    u = {c: F.col(f"u_{c}") for c in K.CLASSES}
+    return base.select(
+        "study_uid", "z_mm", *SLICE_ORDER,
         *[(u[c] * u[c] * u[c]).alias(f"p_{c}") for c in K.CLASSES],
         *[((u[c] - 0.5) * 8).alias(f"x_{c}") for c in K.CLASSES],
-        *[(u[c] + noise > F.lit(1.5)).cast("int").alias(f"y_{c}") for c in K.CLASSES])
+        *[(u[c] + F.col("noise") > F.lit(1.5)).cast("int").alias(f"y_{c}") for c in K.CLASSES])
 
 
 def labels_long(spark: SparkSession, sf: str) -> DataFrame:
