@@ -64,15 +64,6 @@ def file_groups(headers: DataFrame) -> DataFrame:
             .withColumnRenamed("path", "first_path"))
 
 
-def study_check(groups: DataFrame) -> DataFrame:
-    """One row per study: exam date and reject reason from its first file."""
-    first = F.min_by(F.struct("study_date", "error", "modality", "study_description"), F.col("first_path"))
-    h = groups.groupBy("study_uid").agg(first.alias("h"), F.sum("slice_count").alias("n_files"))
-    return h.select(
-        "study_uid", "n_files", T.compact_date(F.col("h.study_date")).alias("exam_date"),
-        reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"))
-
-
 def date_cutoff(exam_date: Column, as_of: dt.date, days_back: int | None) -> Column:
     """True for studies before the cut-off. ISO text compare; no date passes."""
     if not days_back:
@@ -91,14 +82,15 @@ def _series(groups: DataFrame) -> DataFrame:
             .withColumn("series_folder", T.parent_path(F.col("first_path"))))
 
 
-def qualifying_series(series: DataFrame, min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
-    """Axial non-contrast head CT candidates with their score and numeric thickness."""
+def scored_series(series: DataFrame, min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
+    """Adds description score, numeric thickness and whether the series is an axial non-contrast head CT."""
     contrast = F.lower(T.strip(T.text(F.col("contrast_bolus_agent"))))
     first_type = F.upper(T.text(F.get("image_type", F.lit(0))))
     scored = series.withColumns({
         "score": T.description_score(F.col("series_description")),
         "thickness": T.number_or(F.col("slice_thickness"), K.UNKNOWN_THICKNESS)})
-    return scored.filter(
+    return scored.withColumn(
+        "qualifies",
         (F.upper(T.text(F.col("modality"))) == "CT")
         & contrast.isin("", "none", "n/a")
         & (first_type != "DERIVED")
@@ -106,14 +98,18 @@ def qualifying_series(series: DataFrame, min_slices: int = K.MIN_SERIES_SLICES)
         & ((F.col("score") > 0) | (T.strip(T.text(F.col("series_description"))) == "")))
 
 
+def _series_rank() -> Column:
+    """Score, then thinnest, then file order."""
+    return F.struct((-F.col("score")).alias("a"), F.col("thickness").alias("b"), F.col("first_path").alias("c"))
+
+
 def select_series(series: DataFrame, min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
-    """The best qualifying series per study: score, then thinnest, then file order.
+    """The best qualifying series per study.
 
     An aggregate, not a window: map tasks already reduce each study to one row.
     """
-    return _best_per_study(qualifying_series(series, min_slices),
-                           F.struct((-F.col("score")).alias("a"), F.col("thickness").alias("b"),
-                                    F.col("first_path").alias("c")))
+    able = scored_series(series, min_slices).filter("qualifies").drop("qualifies")
+    return _best_per_study(able, _series_rank())
 
 
 def select_series_simple(series: DataFrame) -> DataFrame:
@@ -135,22 +131,26 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
                   min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
     """Status of every study and, where it is ready, its chosen series.
 
-    Order: not_head_ct, date_filtered, already_processed, error (nothing
-    readable), no_ncct_series, ready. Single files are aggregated once; checks
-    and series choice share that result.
+    Order: not_head_ct, date_filtered, already_processed, no_ncct_series,
+    ready. An unreadable first file rejects the study. Files are aggregated to series once, and
+    one more aggregate takes both the first header and the best series from them.
     """
-    groups = file_groups(headers)
-    early = (F.when(F.col("reason") != "", F.lit("not_head_ct"))
-             .when(date_cutoff(F.col("exam_date"), as_of, days_back), F.lit("date_filtered"))
-             .when(F.col("_known"), F.lit("already_processed")))
+    groups = scored_series(file_groups(headers).withColumn("series_folder", T.parent_path(F.col("first_path"))), min_slices)
+    able = F.col("readable") & F.col("qualifies")
+    studies = groups.groupBy("study_uid").agg(
+        F.min_by(F.struct("study_date", "error", "modality", "study_description"), F.col("first_path")).alias("h"),
+        F.min_by(F.struct("series_uid", "series_folder", "slice_count"), F.when(able, _series_rank())).alias("s"),
+        F.sum("slice_count").alias("n_files"))
+    checked = studies.select(
+        "study_uid", "n_files", "s", T.compact_date(F.col("h.study_date")).alias("exam_date"),
+        reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"))
     known = existing.select("study_uid").distinct().withColumn("_known", F.lit(True))
-    chosen = select_series(_series(groups), min_slices).select(
-        "study_uid", "series_uid", "series_folder", "slice_count")
-    joined = (study_check(groups).join(known, "study_uid", "left").withColumn("_early", early)
-              .join(chosen, "study_uid", "left"))
-    status = F.coalesce(F.col("_early"), F.when(F.col("series_uid").isNull(), F.lit("no_ncct_series")), F.lit("ready"))
-    routed = joined.withColumn("status", status)
-    picked = [F.when(F.col("status") == "ready", F.col(c)).alias(c) for c in ("series_uid", "series_folder", "slice_count")]
+    status = (F.when(F.col("reason") != "", F.lit("not_head_ct"))
+              .when(date_cutoff(F.col("exam_date"), as_of, days_back), F.lit("date_filtered"))
+              .when(F.col("_known"), F.lit("already_processed"))
+              .when(F.col("s").isNull(), F.lit("no_ncct_series")).otherwise(F.lit("ready")))
+    routed = checked.join(known, "study_uid", "left").withColumn("status", status)
+    picked = [F.when(F.col("status") == "ready", F.col(f"s.{c}")).alias(c) for c in ("series_uid", "series_folder", "slice_count")]
     return routed.select("study_uid", "status", "reason", "exam_date", "n_files", *picked)
 
 
