@@ -65,4 +65,4 @@ def mask_count(hu: Column, low: float, high: float) -> Column:
 
 
 def mask_share(hu: Column, low: float, high: float) -> Column:
-    return mask_count(hu, low, high) / F.size(hu)
+    return F.try_divide(mask_count(hu, low, high), F.size(hu))

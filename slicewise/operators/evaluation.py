@@ -46,8 +46,7 @@ def roc_of_points(points: DataFrame) -> DataFrame:
     totals = points.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = running.join(F.broadcast(totals), "class")  # one row per class
     return joined.select("class", F.col("p").alias("threshold"), "pos", "neg", "tp", "fp", "n_pos", "n_neg",
-                         (F.col("tp") / F.col("n_pos")).alias("tpr"),
-                         (F.col("fp") / F.col("n_neg")).alias("fpr"))
+                         F.try_divide("tp", "n_pos").alias("tpr"), F.try_divide("fp", "n_neg").alias("fpr"))
 
 
 def _operating_points(roc: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def _operating_points(roc: DataFrame) -> DataFrame:
                  F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
             .withColumn("none", ~(F.col("b.j") > 0))
             .select("class", "n_pos", "n_neg",
-                    (F.col("credit") / (F.col("n_pos") * F.col("n_neg").cast("double"))).alias("auc"),
+                    F.try_divide(F.col("credit"), F.col("n_pos") * F.col("n_neg").cast("double")).alias("auc"),
                     F.when(F.col("none"), F.lit(INF)).otherwise(F.col("b.threshold")).alias("threshold"),
                     F.when(F.col("none"), F.lit(0)).otherwise(F.col("b.tp")).alias("tp"),
                     F.when(F.col("none"), F.lit(0)).otherwise(F.col("b.fp")).alias("fp")))
@@ -181,8 +180,8 @@ def class_balance(labels: DataFrame) -> DataFrame:
     n, pos = F.col("n_total"), F.col("positives")
     return (rows.unpivot(["n_total"], K.CLASSES, "class", "positives")
             .select("class", "positives", "n_total",
-                    F.round(100 * pos / n, 2).alias("percent"),
-                    F.round((n - pos) / n, 6).alias("alpha")))
+                    F.round(F.try_divide(100 * pos, n), 2).alias("percent"),
+                    F.round(F.try_divide(n - pos, n), 6).alias("alpha")))
 
 
 def best_epochs(history: DataFrame, run: tuple[str, ...] = (), epoch: str = "epoch",

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from slicewise import schemas
 
-HEADER_FIELDS = T.StructType.fromDDL(schemas.HEADERS)
-
-
 def _files(spark: SparkSession, root: str, any_case: bool) -> DataFrame:
     glob = "*.[dD][cC][mM]" if any_case else "*.dcm"
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -36,7 +33,8 @@ def read_headers(spark: SparkSession, root: str, decode: Callable[[bytes], dict]
     files = _files(spark, root, any_case).select("path", "content")
     if paths is not None:
         files = files.join(paths.select("path"), "path", "left_semi")
-    names = [f.name for f in HEADER_FIELDS]
+    spec = T.StructType.fromDDL(schemas.HEADERS)
+    names = spec.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,7 +53,7 @@ def read_headers(spark: SparkSession, root: str, decode: Callable[[bytes], dict]
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names)
 
-    headers = files.mapInPandas(run, HEADER_FIELDS)
+    headers = files.mapInPandas(run, spec)
     return headers if keep_errors else headers.filter(F.col("error").isNull())
 
 
