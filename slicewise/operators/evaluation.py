@@ -42,11 +42,9 @@ def roc_curve(long: DataFrame) -> DataFrame:
 def roc_of_points(points: DataFrame) -> DataFrame:
     bucket = F.coalesce(-N.score_bucket(F.col("p")), F.lit(1))
     running = scan_by_bucket(points, ["class"], bucket, [F.desc("p")],
-                             sums={"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = points.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    joined = running.join(F.broadcast(totals), "class")  # one row per class
-    return joined.select("class", F.col("p").alias("threshold"), "pos", "neg", "tp", "fp", "n_pos", "n_neg",
-                         F.try_divide("tp", "n_pos").alias("tpr"), F.try_divide("fp", "n_neg").alias("fpr"))
+                             sums={"tp": F.col("pos"), "fp": F.col("neg")}, totals_of={"n_pos": "tp", "n_neg": "fp"})
+    return running.select("class", F.col("p").alias("threshold"), "pos", "neg", "tp", "fp", "n_pos", "n_neg",
+                          F.try_divide("tp", "n_pos").alias("tpr"), F.try_divide("fp", "n_neg").alias("fpr"))
 
 
 def _operating_points(roc: DataFrame) -> DataFrame:

@@ -26,9 +26,14 @@ _CUT = "_cut"
 
 
 def _scan_cuts(df: DataFrame, keys: list[str], cut: str, order: list[Column],
-               position: str | None, size: str | None,
-               sums: dict[str, Column], max_before: dict[str, Column]) -> DataFrame:
-    """Window inside each (keys, cut) plus the offsets of the earlier cuts."""
+               position: str | None, size: str | None, sums: dict[str, Column],
+               max_before: dict[str, Column], totals_of: dict[str, str] | None = None) -> DataFrame:
+    """Window inside each (keys, cut) plus the offsets of the earlier cuts.
+
+    The offsets come from one row per (keys, cut). ``totals_of`` names group
+    totals of running sums to add: {new column: name in ``sums``}.
+    """
+    totals_of = totals_of or {}
     totals = df.groupBy(*keys, cut).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()],
@@ -41,6 +46,7 @@ def _scan_cuts(df: DataFrame, keys: list[str], cut: str, order: list[Column],
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o_n"),
         F.sum("_n").over(whole).alias("_size"),
         *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_o_s_{name}") for name in sums],
+        *[F.sum(f"_s_{name}").over(whole).alias(f"_t_{new}") for new, name in totals_of.items()],
         *[F.max(f"_m_{name}").over(earlier).alias(f"_o_m_{name}") for name in max_before],
     )
     joined = _null_safe_join(df, offsets, [*keys, cut])
@@ -53,6 +59,7 @@ def _scan_cuts(df: DataFrame, keys: list[str], cut: str, order: list[Column],
     if size:
         out.append(F.col("_size").cast("bigint").alias(size))
     out += [(F.sum(c).over(upto) + F.col(f"_o_s_{name}")).alias(name) for name, c in sums.items()]
+    out += [F.col(f"_t_{new}").alias(new) for new in totals_of]
     out += [F.greatest(F.max(c).over(before), F.col(f"_o_m_{name}")).alias(name)
             for name, c in max_before.items()]
     return joined.select(*out)
@@ -76,10 +83,10 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def scan_by_bucket(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], *,
                    position: str | None = None, size: str | None = None,
-                   sums: dict[str, Column] | None = None) -> DataFrame:
+                   sums: dict[str, Column] | None = None, totals_of: dict[str, str] | None = None) -> DataFrame:
     """Scan each group of ``keys`` in ``order``; ``bucket`` must never decrease along it."""
     cut = df.withColumn(_CUT, bucket)
-    return _scan_cuts(cut, keys, _CUT, order, position, size, sums or {}, {}).drop(_CUT)
+    return _scan_cuts(cut, keys, _CUT, order, position, size, sums or {}, {}, totals_of).drop(_CUT)
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[Column], position: str | None,

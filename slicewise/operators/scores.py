@@ -109,8 +109,9 @@ def hot_slice_list(hot: DataFrame) -> DataFrame:
 
 
 def find_slice(requests: DataFrame, slices: DataFrame) -> DataFrame:
-    """Resolve (study_uid, sop_uid, slice_index): by uid, else by position."""
-    by_uid = slices.select("study_uid", "sop_uid", F.col("path").alias("_p_uid"))
+    """Resolve (study_uid, sop_uid, slice_index): by uid (first file that has it), else by position."""
+    by_uid = (slices.filter(F.col("sop_uid") != "").groupBy("study_uid", "sop_uid")
+              .agg(F.min("path").alias("_p_uid")))
     by_pos = slices.select("study_uid", F.col("file_index").alias("slice_index"), F.col("path").alias("_p_pos"))
     return (requests.join(by_uid, ["study_uid", "sop_uid"], "left")
             .join(by_pos, ["study_uid", "slice_index"], "left")

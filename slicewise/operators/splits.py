@@ -69,12 +69,17 @@ def sample_ids(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ids.orderBy(N.shuffle_key(F.col("image_id"), seed), "image_id").limit(n)
 
 
+def _class_counts(wide: DataFrame, cls: str) -> Column:
+    """Rows with label 1 and 0, as a struct that any row can read."""
+    hit = F.col(cls) == 1
+    return wide.agg(F.struct(F.count_if(hit).alias("n1"), F.count_if(~hit).alias("n0")).alias("c")).scalar()
+
+
 def sample_weights(wide: DataFrame, cls: str = "any") -> DataFrame:
     """Weight 1 / (class count + 1) per row, balancing positives and negatives."""
-    counts = wide.groupBy(cls).agg(F.count(F.lit(1)).alias("class_count"))
-    # one row per label value
-    return (wide.select("image_id", cls).join(F.broadcast(counts), cls)
-            .select("image_id", cls, (1.0 / (F.col("class_count") + 1)).alias("weight")))
+    counted = wide.select("image_id", cls).withColumn("_c", _class_counts(wide, cls))
+    count = F.when(F.col(cls) == 1, F.col("_c.n1")).otherwise(F.col("_c.n0"))
+    return counted.select("image_id", cls, (1.0 / (count + 1)).alias("weight"))
 
 
 def weighted_draws(wide: DataFrame, cls: str = "any", seed: int = 42) -> DataFrame:
@@ -86,16 +91,12 @@ def weighted_draws(wide: DataFrame, cls: str = "any", seed: int = 42) -> DataFra
     """
     salted = str(seed)
     numbered = _shuffled(wide.select("image_id", cls), [cls], seed, "_pos")
-    counts = wide.agg(F.count_if(F.col(cls) == 1).alias("n1"), F.count_if(F.col(cls) == 0).alias("n0"))
-    n1, n0 = (counts.select(c).scalar() for c in ("n1", "n0"))
-    draws = (wide.select(F.col("image_id").alias("draw_id"))
-             .withColumns({"_n1": n1, "_n0": n0})
-             .withColumn("_w1", F.col("_n1") / (F.col("_n1") + 1.0))
-             .withColumn("_w0", F.col("_n0") / (F.col("_n0") + 1.0))
-             .withColumn(cls, F.when(N.unit_draw(F.col("draw_id"), "c" + salted) * (F.col("_w0") + F.col("_w1"))
-                                     < F.col("_w1"), 1).otherwise(0))
-             .withColumn("_pos", F.floor(N.unit_draw(F.col("draw_id"), "r" + salted)
-                                         * F.when(F.col(cls) == 1, F.col("_n1")).otherwise(F.col("_n0"))).cast("bigint")))
+    n1, n0 = F.col("_c.n1"), F.col("_c.n0")
+    weight1, weight0 = n1 / (n1 + 1.0), n0 / (n0 + 1.0)
+    pick_one = N.unit_draw(F.col("draw_id"), "c" + salted) * (weight0 + weight1) < weight1
+    row = F.floor(N.unit_draw(F.col("draw_id"), "r" + salted) * F.when(F.col(cls) == 1, n1).otherwise(n0))
+    draws = (wide.select(F.col("image_id").alias("draw_id")).withColumn("_c", _class_counts(wide, cls))
+             .withColumn(cls, F.when(pick_one, 1).otherwise(0)).withColumn("_pos", row.cast("bigint")))
     return (draws.select("draw_id", cls, "_pos").join(numbered, [cls, "_pos"])
             .select("draw_id", "image_id", cls))
 

@@ -557,6 +557,12 @@ SQL["indication_prior"] = _with(WORKLIST, body=f"SELECT study_uid, indication, {
 SQL["class_indications"] = _with(SLICES, STUDY_LABELS, body=f"""SELECT study_uid, CASE {_cases('k', K.CLASS_INDICATIONS)} ELSE {_q(K.DEFAULT_INDICATION)} END AS indication
   FROM (SELECT *, CASE WHEN dominant_class <> '' THEN dominant_class WHEN study_positive THEN 'other' ELSE 'negative' END AS k FROM study_labels)""")
 
+SQL["sql_functions"] = _with(WORKLIST, "loc AS (SELECT *, indication || ' o''hara wing' AS raw FROM worklist)", body=f"""
+SELECT study_uid, {_prior('indication')} AS prior, CASE WHEN physician_stat THEN 0 WHEN ai_positive THEN 1 ELSE 2 END AS tier,
+  {_location('raw')} AS location, {_title('patient_id')} AS patient, substr(exam_time, 1, 10) AS day,
+  round(greatest(0e0, least(1e0, (prob_any * 100 - 48) / 42)), 6) AS enc, round(1e0 / (1e0 + exp(-prob_any)), 6) AS p, study_uid::INT AS number,
+  {_score('indication')} AS score, 'ID_' || study_uid AS image, 'any' AS cls FROM loc""")
+
 # ---- worklist, report, ledger ----------------------------------------------------------------
 
 SQL["worklist_view"] = _with(WORKLIST, f"wp AS (SELECT *, {_prior('indication')} AS prevalence FROM worklist)", _bayes("prevalence", "wp"), body=f"""
@@ -609,6 +615,61 @@ SELECT study_uid, CASE WHEN overall_positive THEN {_lead} || 'The study is POSIT
     || ' at ' || {_p0('prevalence')} || ' prevalence). Study flagged for priority AI-detected review. {_note}'
   ELSE '• No ICH detected by AI screening (NPV ' || {_p1('npv')} || ' at ' || {_p0('prevalence')} || ' prevalence). Routine read appropriate. {_note}' END AS bullet
 FROM bayes""")
+
+def _items() -> str:
+    """Report content as ordered (section, code, scheme, meaning, type, text, number) rows per study."""
+    rows = []
+
+    def add(ord_: str, section: str, code: str, scheme: str, meaning: str, kind: str, text: str, number: str = "NULL", src: str = "r",
+            unit: str = "NULL") -> None:
+        rows.append(f"SELECT study_uid, ({ord_})::INT AS ord, {_q(section)} AS section, {_q(code)} AS code, {_q(scheme)} AS scheme, {meaning} AS meaning, "
+                    f"{_q(kind)} AS type, {text} AS text, ({number})::DOUBLE AS number, {unit}::VARCHAR AS unit FROM {src}")
+
+    add("0", "method", "111001", "DCM", "'Algorithm Name'", "TEXT", "'slice classifier'")
+    add("1", "method", "111003", "DCM", "'Algorithm Version'", "TEXT", "'Mean AUC 0.9864 — defaults'")
+    add("2", "method", "111526", "DCM", "'Image Library'", "TEXT", "''")
+    add("3", "method", "121106", "DCM", "'Key Images'", "TEXT", "'Evaluated ' || slice_count || ' axial NCCT slices'")
+    add("4", "finding", "121071", "DCM", "'Finding'", "TEXT", "CASE WHEN overall_positive THEN 'POSITIVE — ' || dominant_class ELSE 'NEGATIVE' END")
+    for i, c in enumerate(CLASSES):
+        shown = K.CLASS_DISPLAY[c].capitalize()
+        add(str(5 + i), "finding", "121071", "DCM", _q(shown), "TEXT",
+            f"'{shown}: score ' || {_fixed(f'prob_{c} * 100', 1)} || '% (' || CASE WHEN positive_{c} THEN 'POSITIVE' ELSE 'negative' END || ')'")
+    add("11", "key_images", "121106", "DCM", "'Key Images'", "TEXT",
+        "'Slices with highest AI activation for detected ICH class. Spatial localization is approximate (slice-level model).'",
+        src="(SELECT * FROM r WHERE n_hot > 0)")
+    name = f"CASE {_cases('dominant_class', {c: d.capitalize() for c, d in K.CLASS_DISPLAY.items()})} END"
+    add("11 + place", "key_images", "112039", "DCM", "'Tracking Identifier'", "TEXT",
+        f"'Slice ' || slice_index || ' | z=' || printf('%+.1f mm', round_even(slice_z_mm * 10, 0) / 10) || ' | ' || {name} || ' | score ' || {_fixed('prob * 100', 1)} || '%'",
+        src="(SELECT h.*, row_number() OVER (PARTITION BY study_uid ORDER BY slice_index) AS place FROM hot h JOIN (SELECT study_uid FROM r) USING (study_uid))")
+    at = _p0("prevalence")
+    base = "11 + CASE WHEN n_hot > 0 THEN n_hot + 1 ELSE 0 END + "
+    perf = [
+        ("C25429", "NCIt", "Assumed Prevalence", "TEXT", f"{at} || ' (' || indication || ')'", "NULL", "NULL"),
+        ("C0242960", "UMLS", "Metrics Source", "TEXT", "'defaults'", "NULL", "NULL"),
+        ("C41189", "NCIt", "Sensitivity", "NUM", "NULL::VARCHAR", "94e-2", "'%'"),
+        ("C41190", "NCIt", "Specificity", "NUM", "NULL::VARCHAR", "9453e-4", "'%'"),
+        ("C25651", "NCIt", "Mean AUC", "NUM", "NULL::VARCHAR", "9864e-4", "'{1}'"),
+        ("C41192", "NCIt", "Positive Predictive Value", "NUM", "NULL::VARCHAR", "ppv", "'%'"),
+        ("C41194", "NCIt", "Negative Predictive Value", "NUM", "NULL::VARCHAR", "npv", "'%'"),
+        ("C0392762", "UMLS", "Positive Likelihood Ratio", "TEXT", f"'LR+ = ' || {_fixed('lr_positive', 2)}", "NULL", "NULL"),
+        ("C0392762", "UMLS", "Negative Likelihood Ratio", "TEXT", f"'LR- = ' || {_fixed('lr_negative', 4)}", "NULL", "NULL"),
+        ("C0009401", "UMLS", "Confusion Matrix", "TEXT",
+         f"'At assumed prevalence ' || {at} || ', per 1,000 cases:' || chr(10) || chr(10) || '              AI Positive   AI Negative' || chr(10) "
+         "|| '  True ICH    ' || lpad(tp::VARCHAR, 11, ' ') || '   ' || lpad(fn::VARCHAR, 11, ' ') || '   (TP=' || tp || ', FN=' || fn || ')' || chr(10) "
+         "|| '  No ICH      ' || lpad(fp::VARCHAR, 11, ' ') || '   ' || lpad(tn::VARCHAR, 11, ' ') || '   (FP=' || fp || ', TN=' || tn || ')' || chr(10)", "NULL", "NULL"),
+        ("C0030705", "UMLS", "Pain Index", "TEXT",
+         f"'Pain Index (FP:TP ratio) = ' || {_fixed('pain_index', 2)} || ' at ' || {at} || ' prevalence: for every ' || tp || ' true ICH detections, the radiologist must "
+         "review and override ' || fp || ' false positive AI flags. Each override represents additional review time and cognitive load required to reject an incorrect AI positive call.'",
+         "NULL", "NULL")]
+    for i, (code, scheme, meaning, kind, text, number, unit) in enumerate(perf):
+        add(base + str(i), "performance", code, scheme, _q(meaning), kind, text, number, unit=unit)
+    add(base + "11", "disclaimer", "121106", "DCM", "'Key Images'", "TEXT", _q(K.DISCLAIMER))
+    return " UNION ALL ".join(rows)
+
+
+SQL["report_items"] = _with(SLICES, INDEXED, HOT, STUDY, WORKLIST, SCREENED,
+                            "r AS (SELECT b.*, coalesce(n, 0) AS n_hot FROM bayes b LEFT JOIN (SELECT study_uid, count(*) AS n FROM hot GROUP BY study_uid) USING (study_uid))",
+                            body=_items())
 _ws = "E' \\t\\n\\r\\x0b\\x0c'"
 SQL["report_sections"] = f"""WITH t AS (
   SELECT conv_id || '/' || turn || '/' || role AS study_uid, CASE turn % 4

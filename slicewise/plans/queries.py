@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from slicewise import constants as K
 from slicewise.functions import numeric as N
 from slicewise.functions import pixels as P
+from slicewise.functions import sql
 from slicewise.functions import text as T
 from slicewise.operators import (bayes, encodings, evaluation, geometry, imaging, labels, ledger, prevalence,
                                  report, scores, splits, triage, worklist)
@@ -542,6 +543,20 @@ def class_indications(spark, sf):
     return s.select("study_uid", T.lookup(key, K.CLASS_INDICATIONS, K.DEFAULT_INDICATION).alias("indication"))
 
 
+@query
+def sql_functions(spark, sf):
+    """The SQL functions on worklist rows."""
+    sql.register(spark)
+    return spark.sql("""
+        SELECT study_uid, indication_prior(indication) AS prior, worklist_tier(physician_stat, ai_positive) AS tier,
+               department_location(concat(indication, " o'hara wing")) AS location, title_text(patient_id) AS patient,
+               compact_date(substring(replace(exam_time, '-', ''), 1, 8)) AS day, round(hu_window(prob_any * 100, 48, 90), 6) AS enc,
+               round(sigmoid(prob_any), 6) AS p, trailing_number(concat('X-', study_uid)) AS number,
+               series_description_score(indication) AS score, label_image(concat('ID_', study_uid, '_any')) AS image,
+               label_class(concat('ID_', study_uid, '_any')) AS cls
+        FROM {w}""", w=I.worklist(spark, sf))
+
+
 # ---- worklist, report, ledger --------------------------------------------------------------
 
 @query

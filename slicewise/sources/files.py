@@ -23,14 +23,19 @@ def list_files(spark: SparkSession, root: str, any_case: bool = False) -> DataFr
 
 
 def read_headers(spark: SparkSession, root: str, decode: Callable[[bytes], dict],
-                 paths: DataFrame | None = None, any_case: bool = False, keep_errors: bool = False) -> DataFrame:
+                 paths: DataFrame | None = None, any_case: bool = False, keep_errors: bool = False,
+                 since: str | None = None) -> DataFrame:
     """One header row per file. ``decode`` turns file bytes into a dict of header fields.
 
     Absent fields become blank text, everything is text. Files the decoder
     rejects are dropped, or kept with ``error`` set. ``paths`` (column path)
-    restricts the files before any is decoded.
+    restricts the files before any is decoded; ``since`` (a timestamp) is pushed
+    into the scan, so older files are not even opened.
     """
-    files = _files(spark, root, any_case).select("path", "content")
+    files = _files(spark, root, any_case)
+    if since:
+        files = files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    files = files.select("path", "content")
     if paths is not None:
         files = files.join(paths.select("path"), "path", "left_semi")
     spec = T.StructType.fromDDL(schemas.HEADERS)

@@ -202,7 +202,7 @@ def test_hot_study_is_split(spark):
 
 
 def test_find_slice(spark):
-    df = spark.createDataFrame([("s", "u1", 0, "p1"), ("s", "u2", 1, "p2")], "study_uid string, sop_uid string, file_index int, path string")
-    asked = spark.createDataFrame([("s", "u2", 0), ("s", "zz", 1), ("s", "zz", 9)], "study_uid string, sop_uid string, slice_index int")
+    df = spark.createDataFrame([("s", "u1", 0, "p1"), ("s", "u2", 1, "p2"), ("s", "", 2, "p3"), ("s", "", 3, "p4")], "study_uid string, sop_uid string, file_index int, path string")
+    asked = spark.createDataFrame([("s", "u2", 0), ("s", "zz", 1), ("s", "zz", 9), ("s", "", 0)], "study_uid string, sop_uid string, slice_index int")
     assert {(r["sop_uid"], r["slice_index"]): r["path"] for r in scores.find_slice(asked, df).collect()} == {
-        ("u2", 0): "p2", ("zz", 1): "p2", ("zz", 9): None}
+        ("u2", 0): "p2", ("zz", 1): "p2", ("zz", 9): None, ("", 0): "p1"}

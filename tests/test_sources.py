@@ -29,6 +29,8 @@ def test_files_and_headers(spark, tmp_path):
     assert kept.filter("error IS NOT NULL").count() == 1
     few = files.read_headers(spark, str(tmp_path), decode, paths=listed.filter(F.col("path").endswith("1.dcm")))
     assert few.count() == 1
+    assert files.read_headers(spark, str(tmp_path), decode, since="2100-01-01").count() == 0
+    assert files.read_headers(spark, str(tmp_path), decode, since="2000-01-01").count() == 1
 
 
 def test_quarantine(spark):
