@@ -135,6 +135,14 @@ CLASS_INDICATIONS = {
     "subarachnoid": "Thunderclap headache, worst of life",
     "negative": "Headache, rule out intracranial pathology",
 }
+CLASS_PATIENT_NAMES = {
+    "subdural": "DEMO^SUBDURAL",
+    "epidural": "DEMO^EPIDURAL",
+    "intraparenchymal": "DEMO^INTRAPARENCHYMAL",
+    "intraventricular": "DEMO^INTRAVENTRICULAR",
+    "subarachnoid": "DEMO^SUBARACHNOID",
+    "negative": "DEMO^NEGATIVE",
+}
 DEFAULT_INDICATION = "Head CT — rule out intracranial pathology"
 
 # Reader-vote column codes per class, in picking order.

@@ -128,12 +128,14 @@ def _best_per_study(rows: DataFrame, rank: Column) -> DataFrame:
 
 
 def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_back: int | None = None,
-                  min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
+                  min_slices: int = K.MIN_SERIES_SLICES, requested: DataFrame | None = None) -> DataFrame:
     """Status of every study and, where it is ready, its chosen series.
 
     Order: not_head_ct, date_filtered, already_processed, no_ncct_series,
     ready. An unreadable first file rejects the study. Files are aggregated to series once, and
     one more aggregate takes both the first header and the best series from them.
+    With ``requested`` (study_uid) exactly those studies come back, also the ones
+    without any file.
     """
     groups = scored_series(file_groups(headers).withColumn("series_folder", T.parent_path(F.col("first_path"))), min_slices)
     able = F.col("readable") & F.col("qualifies")
@@ -144,6 +146,9 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
     checked = studies.select(
         "study_uid", "n_files", "s", T.compact_date(F.col("h.study_date")).alias("exam_date"),
         reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"))
+    if requested is not None:
+        checked = (requested.select("study_uid").distinct().join(checked, "study_uid", "left")
+                   .fillna(0, ["n_files"]).fillna("", ["exam_date"]).fillna("no_dcm_files", ["reason"]))
     known = existing.select("study_uid").distinct().withColumn("_known", F.lit(True))
     status = (F.when(F.col("reason") != "", F.lit("not_head_ct"))
               .when(date_cutoff(F.col("exam_date"), as_of, days_back), F.lit("date_filtered"))

@@ -10,7 +10,27 @@ from pyspark.sql import functions as F
 
 from slicewise import constants as K
 from slicewise.functions import text as T
-from slicewise.operators import bayes, evaluation, scores, triage
+from slicewise.operators import bayes, evaluation, report, scores, triage
+
+
+def result_rows(scores_: DataFrame, studies: DataFrame, processed: Column, checkpoint: str = "") -> DataFrame:
+    """Scored studies as rows of the result table.
+
+    ``studies`` brings study_uid and exam_date, and may bring patient_id,
+    exam_datetime, raw_department, location and series_folder. The location is
+    the department's, else the given one, normalised. Studies without an exam
+    date are refused by the join of the caller, not dated today.
+    """
+    optional = ("patient_id", "exam_datetime", "raw_department", "location", "series_folder")
+    have = studies.select("study_uid", F.col("exam_date").cast("date").alias("exam_date"), *[
+        T.text(F.col(c)).alias(c) if c in studies.columns else F.lit("").alias(c) for c in optional])
+    named = have.withColumn("_raw", F.coalesce(F.nullif("raw_department", F.lit("")), "location")).drop("location")
+    return T.with_location(scores_.join(named, "study_uid"), "_raw").select(
+        "study_uid", "patient_id", "exam_date",
+        F.coalesce(F.nullif("exam_datetime", F.lit("")), F.col("exam_date").cast("string")).alias("exam_datetime"),
+        "location", "raw_department", F.col("overall_positive").cast("int").alias("ai_positive"), "dominant_class",
+        *[F.col(f"prob_{c}") for c in ("any", *K.SUBTYPES)], "series_folder", F.lit(checkpoint).alias("checkpoint"),
+        processed.cast("string").alias("processed_datetime"))
 
 
 def scanned_results(headers: DataFrame, scored_slices: DataFrame, existing: DataFrame, as_of: dt.date,
@@ -23,10 +43,8 @@ def scanned_results(headers: DataFrame, scored_slices: DataFrame, existing: Data
     ready = triage.route_studies(headers, existing, as_of, days_back, min_slices).filter("status = 'ready'")
     ready = ready.select("study_uid", "exam_date", "series_folder")
     live = scored_slices.join(ready.select("study_uid"), "study_uid", "left_semi")
-    s = scores.study_scores(live)
-    return s.join(ready, "study_uid").select(
-        "study_uid", "exam_date", "series_folder", F.col("overall_positive").cast("int").alias("ai_positive"),
-        "dominant_class", *[F.col(f"prob_{c}") for c in ("any", *K.SUBTYPES)])
+    dated = ready.withColumn("exam_date", F.try_to_date(F.nullif("exam_date", F.lit("")), "yyyy-MM-dd"))
+    return result_rows(scores.study_scores(live), dated, F.lit(None))
 
 
 def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, specificity: float,
@@ -45,6 +63,31 @@ def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, spec
     return bayes.metrics_at_prevalence(joined, F.col("prevalence"), sensitivity, specificity)
 
 
+def batch_run(manifest: DataFrame, existing: DataFrame, slices: DataFrame, sensitivity: float, specificity: float,
+              order: tuple[str, ...], stored_prevalence: Column | None = None) -> DataFrame:
+    """Batch run over a manifest (study_uid, dominant_class, group): one row per study with its outcome.
+
+    Studies on the worklist already are skipped, studies without slices are
+    errors, the others carry what goes to the worklist and the report.
+    """
+    key = F.coalesce(F.nullif("dominant_class", F.lit("")), "group")
+    wanted = manifest.select(
+        "study_uid", "group", T.lookup(key, K.CLASS_INDICATIONS, K.DEFAULT_INDICATION).alias("indication"),
+        T.lookup(key, K.CLASS_PATIENT_NAMES, F.concat(F.lit("DEMO^"), F.upper(key))).alias("patient_name"))
+    seen = existing.select("study_uid").distinct().withColumn("_seen", F.lit(True))
+    todo = wanted.join(seen, "study_uid", "left_anti")
+    done = screened(slices.join(todo.select("study_uid"), "study_uid", "left_semi"), todo, sensitivity, specificity,
+                    order, stored_prevalence)
+    texts = report.report_text(done, sensitivity, specificity)
+    results = done.select("study_uid", F.col("overall_positive").alias("ai_positive"),
+                          F.when(F.col("overall_positive"), F.col("dominant_class")).otherwise("").alias("dominant_class"),
+                          "prob_any", "prevalence", "ppv", "npv", "pain_index").join(texts, "study_uid")
+    status = (F.when(F.col("_seen"), "skipped").when(F.col("ai_positive").isNull(), "ERROR — no slices")
+              .when(F.col("ai_positive"), "OK — POSITIVE").otherwise("OK — negative"))
+    return (wanted.join(seen, "study_uid", "left").join(results, "study_uid", "left")
+            .withColumn("status", status).drop("_seen"))
+
+
 def evaluation_summary(scored: DataFrame) -> DataFrame:
     """Test-set evaluation: class metrics beside mean AUC and weighted log loss.
 

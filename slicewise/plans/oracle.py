@@ -707,8 +707,32 @@ SELECT study_uid, patient_id, exam_date, NULL::VARCHAR AS exam_datetime, locatio
   CASE WHEN exam_date >= DATE '2024-01-11' THEN 1 - ai_positive ELSE ai_positive END AS ai_positive, NULL::VARCHAR AS dominant_class, prob_any,
   NULL::DOUBLE AS prob_epidural, NULL::DOUBLE AS prob_intraparenchymal, NULL::DOUBLE AS prob_intraventricular, NULL::DOUBLE AS prob_subarachnoid,
   NULL::DOUBLE AS prob_subdural, NULL::VARCHAR AS series_folder, NULL::VARCHAR AS checkpoint, NULL::VARCHAR AS processed_datetime FROM results""")
-SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {SLICES}, {STUDY} SELECT study_uid, exam_date, series_folder, overall_positive::INT AS ai_positive, dominant_class,
-  {', '.join(f'prob_{c}' for c in CLASSES)} FROM scored JOIN (SELECT * FROM routed WHERE status = 'ready') USING (study_uid)"""
+SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {SLICES}, {STUDY} SELECT study_uid, '' AS patient_id, TRY_CAST(exam_date AS DATE) AS exam_date,
+  TRY_CAST(exam_date AS DATE)::VARCHAR AS exam_datetime, 'Unknown' AS location, '' AS raw_department, overall_positive::INT AS ai_positive, dominant_class,
+  {', '.join(f'prob_{c}' for c in CLASSES)}, series_folder, '' AS checkpoint, NULL::VARCHAR AS processed_datetime
+  FROM scored JOIN (SELECT * FROM routed WHERE status = 'ready') USING (study_uid)"""
+BATCH = f"""manifest AS (SELECT study_uid, CASE WHEN study_positive THEN 'positive' ELSE 'negative' END AS grp,
+  CASE WHEN dominant_class <> '' THEN dominant_class WHEN study_positive THEN 'positive' ELSE 'negative' END AS k FROM study_labels),
+wanted AS (SELECT study_uid, grp, CASE {_cases('k', K.CLASS_INDICATIONS)} ELSE {_q(K.DEFAULT_INDICATION)} END AS indication,
+  'DEMO^' || upper(k) AS patient_name, p.study_uid IS NOT NULL AS seen FROM manifest LEFT JOIN processed p USING (study_uid)),
+kept AS (SELECT CASE WHEN count(*) >= 30 THEN round(sum(ai_positive) / count(*), 6) END AS stored FROM results),
+span AS (SELECT study_uid, min(slice_index) AS first_hot, max(slice_index) AS last_hot FROM hot GROUP BY study_uid),
+joined AS (SELECT s.*, w.grp, w.indication, w.patient_name, w.seen, coalesce(stored, {_prior('w.indication')}) AS prevalence FROM wanted w JOIN scored s USING (study_uid) CROSS JOIN kept),
+{_bayes('prevalence', 'joined')}"""
+_score_text = "CASE dominant_key " + " ".join(f"WHEN '{c}' THEN prob_{c}" for c in K.SUBTYPES) + " ELSE prob_any END"
+BATCH_ROWS = f"""SELECT study_uid, grp AS "group", indication, patient_name,
+  CASE WHEN seen THEN NULL ELSE overall_positive END AS ai_positive,
+  CASE WHEN NOT seen THEN CASE WHEN overall_positive THEN dominant_class ELSE '' END END AS dominant_class,
+  CASE WHEN NOT seen THEN prob_any END AS prob_any, CASE WHEN NOT seen THEN prevalence END AS prevalence,
+  CASE WHEN NOT seen THEN ppv END AS ppv, CASE WHEN NOT seen THEN npv END AS npv, CASE WHEN NOT seen THEN pain_index END AS pain_index,
+  CASE WHEN NOT seen THEN CASE WHEN overall_positive THEN '• Suspected ' || dominant_class || ' identified by AI screening (model score ' || {_p0(_score_text)} || ', PPV ' || {_p1('ppv')}
+    || ' at ' || {_p0('prevalence')} || ' prevalence). Study flagged for priority AI-detected review. {_note}'
+  ELSE '• No ICH detected by AI screening (NPV ' || {_p1('npv')} || ' at ' || {_p0('prevalence')} || ' prevalence). Routine read appropriate. {_note}' END END AS bullet,
+  CASE WHEN seen THEN 'skipped' WHEN overall_positive THEN 'OK — POSITIVE' ELSE 'OK — negative' END AS status FROM bayes"""
+_batch = (SLICES, INDEXED, HOT, STUDY, STUDY_LABELS, PROCESSED, RESULTS, BATCH)
+SQL["batch_run"] = _with(*_batch, body=BATCH_ROWS)
+SQL["batch_counters"] = _with(*_batch, body="""SELECT grp AS "group", count(*) FILTER (WHERE seen) AS skipped, 0::BIGINT AS errors,
+  count(*) FILTER (WHERE NOT seen) AS processed FROM bayes GROUP BY grp""")
 SQL["stream_results"] = _with(RESULTS, body="SELECT study_uid, exam_date, location, ai_positive, prob_any FROM results")
 SQL["stream_prevalence"] = _with(RESULTS, body="""SELECT DATE '1970-01-01' + (datediff('day', DATE '1970-01-01', exam_date) // 7 * 7)::INT AS start, location,
   count(*) AS n_total, sum(ai_positive)::BIGINT AS n_positive, round(sum(ai_positive) / count(*), 6) AS prevalence FROM results GROUP BY 1, 2""")

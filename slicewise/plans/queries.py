@@ -692,6 +692,21 @@ def evaluation_run(spark, sf):
     return flows.evaluation_summary(I.slices(spark, sf))
 
 
+@query
+def batch_run(spark, sf):
+    """Every labelled study, finished orders being on the worklist already."""
+    manifest = _study_labels(spark, sf).select(
+        "study_uid", "dominant_class", F.when(F.col("study_positive"), "positive").otherwise("negative").alias("group"))
+    best = prevalence.best_prevalence(I.results(spark, sf), I.AS_OF).filter("location IS NULL").select("prevalence")
+    out = flows.batch_run(manifest, I.processed(spark, sf), I.slices(spark, sf), SENS, SPEC, I.SLICE_ORDER, best.scalar())
+    return out.drop("paragraph")
+
+
+@query
+def batch_counters(spark, sf):
+    return triage.run_counters(batch_run(spark, sf))
+
+
 @query
 def archive_scan(spark, sf):
     return flows.scanned_results(I.headers(spark, sf), I.slices(spark, sf), I.processed(spark, sf), TRIAGE_AS_OF,

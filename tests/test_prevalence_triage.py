@@ -3,8 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from slicewise import constants as K
+from slicewise import schemas
 from slicewise.operators import prevalence as P
-from slicewise.operators import triage, worklist
+from slicewise.operators import scores, triage, worklist
+from slicewise.plans import flows
 from slicewise.sources import tables
 
 DAY = dt.date(2024, 12, 30)
@@ -126,6 +129,14 @@ def test_routing(spark):
     assert got["mr"]["reason"] == "wrong_modality_MR" and got["spine"]["reason"] == "non_head_desc" and got["bad"]["reason"] == "header_read_error"
 
 
+def test_requested_studies_without_files(spark):
+    df = spark.createDataFrame(head("a", "x", 10) + head("b", "x", 10), HEAD)
+    none = spark.createDataFrame([], "study_uid string")
+    asked = spark.createDataFrame([("a",), ("gone",)], "study_uid string")
+    got = {r["study_uid"]: (r["status"], r["reason"], r["n_files"]) for r in triage.route_studies(df, none, DAY, requested=asked).collect()}
+    assert got == {"a": ("ready", "", 10), "gone": ("not_head_ct", "no_dcm_files", 0)}
+
+
 def test_series_ties_and_simple_rule(spark):
     rows = head("s", "b", 10, thick="x") + head("s", "a", 10, thick="99") + head("s", "d", 10, thick="1", kind="DERIVED")
     df = triage.series_rollup(spark.createDataFrame(rows, HEAD))
@@ -145,6 +156,34 @@ def test_run_counters(spark):
     assert {tuple(r) for r in triage.run_counters(df).collect()} == {("p", 1, 0, 1), ("n", 0, 2, 1)}
 
 
+def test_result_rows(spark):
+    p = {f"p_{c}": 0.1 for c in K.CLASSES}
+    rows = [{"study_uid": u, **p, "p_any": v, "p_subdural": v} for u, v in (("a", 0.2), ("a", 0.91), ("b", 0.3), ("c", 0.3))]
+    scored = scores.study_scores(spark.createDataFrame(rows))
+    studies = spark.createDataFrame([("a", DAY, "Medical Ward", ""), ("b", DAY, "", "Neuro ICU"), ("c", DAY, None, None)],
+                                    "study_uid string, exam_date date, raw_department string, location string")
+    out = flows.result_rows(scored, studies, F.lit("now"))
+    assert out.columns == [c.split()[0] for c in schemas.STUDY_RESULTS.replace("\n", " ").split(",")]
+    got = {r["study_uid"]: r for r in out.collect()}
+    assert (got["a"]["location"], got["a"]["ai_positive"], got["a"]["dominant_class"], got["a"]["prob_any"]) == ("ER", 1, "subdural hematoma", 0.91)
+    assert (got["b"]["location"], got["b"]["exam_datetime"], got["c"]["location"]) == ("Neuro ICU", "2024-12-30", "Unknown")
+    path = tables.new_results_store(spark)
+    tables.upsert_results(spark, path, out)
+    assert tables.read_results(spark, path).count() == 3
+
+
+def test_batch_run_outcomes(spark):
+    manifest = spark.createDataFrame([("a", "subdural", "positive"), ("b", None, "negative"), ("c", "epidural", "positive"), ("d", "", "negative")],
+                                     "study_uid string, dominant_class string, group string")
+    p = {f"p_{c}": 0.1 for c in K.CLASSES}
+    rows = [{"study_uid": u, "z_mm": 1.0, "path": "x", **p, "p_any": v, "p_subdural": v} for u, v in (("a", 0.9), ("b", 0.2), ("c", 0.9))]
+    out = flows.batch_run(manifest, manifest.filter("study_uid = 'c'"), spark.createDataFrame(rows), 0.94, 0.9453, ("path",))
+    got = {r["study_uid"]: r for r in out.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"a": "OK — POSITIVE", "b": "OK — negative", "c": "skipped", "d": "ERROR — no slices"}
+    assert got["a"]["patient_name"] == "DEMO^SUBDURAL" and got["a"]["prevalence"] == 0.08 and got["b"]["prevalence"] == 0.02
+    assert {tuple(r) for r in triage.run_counters(out).collect()} == {("positive", 1, 0, 1), ("negative", 0, 1, 1)}
+
+
 def test_result_store(spark):
     path = tables.new_results_store(spark)
     assert tables.read_results(spark, path).count() == 0
