@@ -21,8 +21,8 @@ def _pct1(c: Column) -> Column:
 
 
 def report_text(studies: DataFrame, sensitivity: float, specificity: float,
-                model: str = MODEL_PHRASE) -> DataFrame:
-    """Paragraph and bullet per study.
+                model: str = MODEL_PHRASE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Paragraph and bullet per study, beside the columns to ``keep``.
 
     Needs the columns of ``study_scores`` plus ``ppv``, ``npv``, ``prevalence``
     and ``first_hot`` / ``last_hot`` (lowest and highest hot slice index, null
@@ -60,7 +60,7 @@ def report_text(studies: DataFrame, sensitivity: float, specificity: float,
         F.lit("• No ICH detected by AI screening (NPV "), _pct1(F.col("npv")), F.lit(" at "), at,
         F.lit(" prevalence). Routine read appropriate. " + K.SCREENING_NOTE))
     pos = F.col("overall_positive")
-    return studies.select("study_uid", F.when(pos, pos_par).otherwise(neg_par).alias("paragraph"),
+    return studies.select("study_uid", *keep, F.when(pos, pos_par).otherwise(neg_par).alias("paragraph"),
                           F.when(pos, pos_bul).otherwise(neg_bul).alias("bullet"))
 
 

@@ -39,12 +39,12 @@ def scanned_results(headers: DataFrame, scored_slices: DataFrame, existing: Data
 
     ``scored_slices`` is what the scorer returned for the chosen series
     (:func:`slicewise.operators.scores.score_batches`); only ready studies count.
+    Slices are reduced to studies before they meet the triage result.
     """
     ready = triage.route_studies(headers, existing, as_of, days_back, min_slices).filter("status = 'ready'")
     ready = ready.select("study_uid", "exam_date", "series_folder")
-    live = scored_slices.join(ready.select("study_uid"), "study_uid", "left_semi")
     dated = ready.withColumn("exam_date", F.try_to_date(F.nullif("exam_date", F.lit("")), "yyyy-MM-dd"))
-    return result_rows(scores.study_scores(live), dated, F.lit(None))
+    return result_rows(scores.study_scores(scored_slices), dated, F.lit(None))
 
 
 def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, specificity: float,
@@ -78,10 +78,11 @@ def batch_run(manifest: DataFrame, existing: DataFrame, slices: DataFrame, sensi
     todo = wanted.join(seen, "study_uid", "left_anti")
     done = screened(slices.join(todo.select("study_uid"), "study_uid", "left_semi"), todo, sensitivity, specificity,
                     order, stored_prevalence)
-    texts = report.report_text(done, sensitivity, specificity)
-    results = done.select("study_uid", F.col("overall_positive").alias("ai_positive"),
-                          F.when(F.col("overall_positive"), F.col("dominant_class")).otherwise("").alias("dominant_class"),
-                          "prob_any", "prevalence", "ppv", "npv", "pain_index").join(texts, "study_uid")
+    positive = F.col("overall_positive")
+    results = report.report_text(
+        done.withColumn("called", F.when(positive, F.col("dominant_class")).otherwise("")), sensitivity, specificity,
+        keep=("overall_positive", "called", "prob_any", "prevalence", "ppv", "npv", "pain_index"))
+    results = results.withColumnsRenamed({"overall_positive": "ai_positive", "called": "dominant_class"})
     status = (F.when(F.col("_seen"), "skipped").when(F.col("ai_positive").isNull(), "ERROR — no slices")
               .when(F.col("ai_positive"), "OK — POSITIVE").otherwise("OK — negative"))
     return (wanted.join(seen, "study_uid", "left").join(results, "study_uid", "left")

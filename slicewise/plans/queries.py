@@ -19,7 +19,7 @@ from slicewise.operators import (bayes, encodings, evaluation, geometry, imaging
 from slicewise.operators.ordered import scan
 from slicewise.plans import flows
 from slicewise.plans import inputs as I
-from slicewise.session import table
+from slicewise.session import durable, table
 from slicewise.sources import documents, tables
 from slicewise.streaming import jobs
 
@@ -695,8 +695,9 @@ def evaluation_run(spark, sf):
 @query
 def batch_run(spark, sf):
     """Every labelled study, finished orders being on the worklist already."""
-    manifest = _study_labels(spark, sf).select(
-        "study_uid", "dominant_class", F.when(F.col("study_positive"), "positive").otherwise("negative").alias("group"))
+    manifest = durable(_study_labels(spark, sf).select(
+        "study_uid", "dominant_class", F.when(F.col("study_positive"), "positive").otherwise("negative").alias("group")),
+        "manifest")
     best = prevalence.best_prevalence(I.results(spark, sf), I.AS_OF).filter("location IS NULL").select("prevalence")
     out = flows.batch_run(manifest, I.processed(spark, sf), I.slices(spark, sf), SENS, SPEC, I.SLICE_ORDER, best.scalar())
     return out.drop("paragraph")
