@@ -636,7 +636,7 @@ def ledger_count_only(spark, sf):
 @query
 def series_geometry(spark, sf):
     g = geometry.series_affine(I.geometry_slices(spark, sf), tie=I.SLICE_ORDER)
-    return g.select("study_uid", *[F.round(F.get("affine", F.lit(i)), 6).alias(f"a{i:02d}") for i in range(12)])
+    return g.select("study_uid", *[(F.round(F.get("affine", F.lit(i)), 6) + F.lit(0.0)).alias(f"a{i:02d}") for i in range(12)])
 
 
 # ---- documents and tables: written, then read back ------------------------------------------

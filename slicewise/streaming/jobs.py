@@ -59,7 +59,9 @@ def windowed_prevalence(results: DataFrame, event_time: str = "exam_ts", width:
 
 def run_prevalence_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> DataFrame:
     path = fresh_path(spark, "prevalence")
-    rows = I.results_of(file_stream(spark, sf, "events")).withColumn("exam_ts", F.col("exam_date").cast("timestamp"))
+    # Midnight UTC, whatever the session's time zone: windows are cut in UTC.
+    midnight = F.timestamp_seconds(F.unix_date("exam_date").cast("bigint") * 86400)
+    rows = I.results_of(file_stream(spark, sf, "events")).withColumn("exam_ts", midnight)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
@@ -67,7 +69,8 @@ def run_prevalence_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -
 
     _run(windowed_prevalence(rows).writeStream.outputMode("update").foreachBatch(write), spark, "prevalence", trigger)
     counts = tables.latest(spark.read.parquet(path), ["start", "location"])
-    return counts.select(F.to_date("start").alias("start"), "location", "n_total", "n_positive",
+    start = F.date_from_unix_date(F.floor(F.unix_timestamp("start") / 86400).cast("int"))
+    return counts.select(start.alias("start"), "location", "n_total", "n_positive",
                          F.round(F.col("n_positive") / F.col("n_total"), 6).alias("prevalence"))
 
 
@@ -86,7 +89,7 @@ def run_dedupe_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> Da
     writer = (new_studies(arrivals().union(arrivals()), "arrived", lateness="60 days")
               .writeStream.format("parquet").option("path", path))
     _run(writer, spark, "new-studies", trigger)
-    return spark.read.parquet(path).select("study_uid", "arrived")
+    return spark.read.parquet(path).select("study_uid", F.col("arrived").cast("timestamp_ntz").alias("arrived"))
 
 
 def triage_stream(headers: DataFrame, existing: DataFrame, visited_path: str, as_of: dt.date,

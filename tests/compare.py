@@ -22,7 +22,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(v + 0.0) if v else "0.0"
+        return repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return "null" if v is None else str(v)
