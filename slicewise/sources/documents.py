@@ -12,13 +12,15 @@ from slicewise.session import fresh_path
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Long labels; ``ord`` is the row order (file by file)."""
+    """Long labels; ``ord`` is the row order: file, place of the split in it, row."""
     rows = spark.read.schema(schemas.LABELS).csv(path, header=True)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    return rows.select("*", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row")).alias("ord"))
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    """Reader votes as text columns ``R1:SDH`` ... plus the row order."""
+    """Reader votes (one file) as text columns ``R1:SDH`` ... plus the row order."""
     return spark.read.csv(path, header=True).withColumn("ord", F.monotonically_increasing_id())
 
 

@@ -68,20 +68,25 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_results(spark: SparkSession, path: str) -> str:
-    """Write the current rows as load 0 of a new store, laid out by exam month; returns its path.
+    """Write the current rows as load 0 of a new store; returns its path.
 
-    Later loads go on top of it as before.
+    Rows are laid out in ranges of exam date (and uid, so a busy day spans several
+    files), which lets date filters skip files. Later loads go on top as before.
     """
     new = new_results_store(spark)
     (read_results(spark, path).withColumn("load", F.lit(0).cast("bigint"))
-     .repartition(F.date_trunc("month", "exam_date")).sortWithinPartitions("location", "exam_date")
+     .repartitionByRange("exam_date", "study_uid")
      .write.partitionBy("load").parquet(new))
     return new
 
 
 def save_as_table(rows: DataFrame, name: str) -> None:
-    """A catalog table of results, partitioned by exam month."""
-    (rows.withColumn("exam_month", F.date_format("exam_date", "yyyy-MM"))
+    """A catalog table of results, partitioned by exam month.
+
+    The rebalance hint gathers a month's rows into few files and lets adaptive
+    execution split a month that is too large for one task.
+    """
+    (rows.withColumn("exam_month", F.date_format("exam_date", "yyyy-MM")).hint("rebalance", F.col("exam_month"))
      .write.mode("overwrite").partitionBy("exam_month").saveAsTable(name))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slicewise import schemas
-from slicewise.operators import ledger
+from slicewise.operators import labels, ledger
 from slicewise.session import fresh_path, local_session, shared_folder
 from slicewise.sources import documents, files, tables
 
@@ -45,6 +45,13 @@ def test_labels_and_votes(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("ID,Label\nID_a_any,1\nID_b_any,0\n")
     rows = documents.read_labels(spark, str(tmp_path / "labels.csv")).orderBy("ord").collect()
     assert [(r["ID"], r["Label"]) for r in rows] == [("ID_a_any", 1), ("ID_b_any", 0)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ID,Label\nID_a_any,1\n")
+    (folder / "b.csv").write_text("ID,Label\nID_a_any,0\n" + "".join(f"ID_x{i}_any,0\n" for i in range(50)))
+    both = documents.read_labels(spark, str(folder))
+    assert {r["image_id"]: r["any"] for r in labels.labels_wide(both).collect()}["ID_a"] == 1
+    assert {r["image_id"]: r["any"] for r in labels.labels_wide(both, "last").collect()}["ID_a"] == 0
     (tmp_path / "reads.csv").write_text("name,R1:SDH,R2:SDH\nX-1,1,\n")
     row = documents.read_votes(spark, str(tmp_path / "reads.csv")).first()
     assert row["R1:SDH"] == "1" and row["R2:SDH"] is None
