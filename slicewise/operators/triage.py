@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
@@ -163,9 +164,8 @@ def scan_counters(routed: DataFrame, elapsed_seconds: float | None = None) -> Da
     """Studies and slices per status, each with its share of all studies."""
     per = routed.groupBy("status").agg(F.count(F.lit(1)).alias("n_studies"),
                                        F.coalesce(F.sum("slice_count"), F.lit(0)).alias("n_slices"))
-    total = per.agg(F.sum("n_studies").alias("t"))
-    out = per.withColumn("_t", total.scalar()).select(
-        "status", "n_studies", "n_slices", F.round(F.col("n_studies") / F.col("_t"), 6).alias("share"))
+    total = F.sum("n_studies").over(W.partitionBy(F.lit(1)))  # one row per status: a handful
+    out = per.select("status", "n_studies", "n_slices", F.round(F.col("n_studies") / total, 6).alias("share"))
     if elapsed_seconds:
         out = out.withColumn("slices_per_second", F.col("n_slices") / F.lit(float(elapsed_seconds)))
     return out
