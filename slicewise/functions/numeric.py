@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-10
+OCTAVES = 150
 
 
 def sigmoid(c: Column) -> Column:
@@ -34,16 +35,16 @@ def score_bucket(p: Column, steps: int = 1024) -> Column:
     """A bucket number that never decreases with ``p`` in [0, 1].
 
     Every binary octave of p (below one half) or of 1 - p (above) is cut into
-    ``steps`` equal parts, 60 octaves a side, so there are at most 120 * steps
-    buckets. A bucket of single-precision scores holds at most 2^23 / steps
-    distinct values, however the scores are spread.
+    ``steps`` equal parts, 150 octaves a side (all of single precision), so there
+    are at most 300 * steps buckets. A bucket of single-precision scores holds at
+    most 2^23 / steps distinct values, however the scores are spread.
     """
     def code(x: Column) -> Column:
-        exponent = F.greatest(F.floor(F.log2(x)), F.lit(-60)).cast("double")
+        exponent = F.greatest(F.floor(F.log2(x)), F.lit(-OCTAVES)).cast("double")
         inside = F.floor(x / F.pow(F.lit(2.0), exponent) * steps)
-        return ((exponent + 60) * steps + inside).cast("int")
+        return ((exponent + OCTAVES) * steps + inside).cast("int")
 
-    top = 60 * steps
+    top = OCTAVES * steps
     low_side = F.when(p <= 0, F.lit(0)).otherwise(code(p))
     high_side = 2 * top - F.when(p >= 1, F.lit(0)).otherwise(code(F.lit(1.0) - p))
     return F.when(p < 0.5, low_side).otherwise(high_side)

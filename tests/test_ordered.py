@@ -59,10 +59,10 @@ def test_scan_by_bucket(spark):
 
 def test_score_bucket_never_decreases(spark):
     rng = random.Random(1)
-    values = sorted([0.0, 1.0, 0.5, 0.25, 0.125, 1e-30, 5e-324, 1 - 2**-53, 0.49999999999999994]
+    values = sorted([0.0, 1.0, 0.5, 0.25, 0.125, 1e-30, 1e-45, 5e-324, 1 - 2**-53, 0.49999999999999994]
                     + [rng.random() for _ in range(2000)] + [2.0 ** -rng.uniform(0, 80) for _ in range(2000)]
                     + [1 - 2.0 ** -rng.uniform(0, 52) for _ in range(2000)])
     df = spark.createDataFrame([(v,) for v in values], "p double").select("p", score_bucket(F.col("p")).alias("b"))
     got = [r["b"] for r in sorted(df.collect(), key=lambda r: r["p"])]
     assert got == sorted(got)
-    assert 0 <= got[0] and got[-1] <= 120 * 1024
+    assert 0 <= got[0] and got[-1] <= 300 * 1024
