@@ -3,7 +3,8 @@
 Every rule looks at one figure of the text and votes good (1), bad (-1) or abstains
 (0). Expectation-maximisation over all documents estimates, without labels, how often
 each rule votes what on good and on bad texts. Its sufficient statistic is the count of
-every vote pattern, at most ``3 ** len(RULES)`` rows, so the driver never sees documents.
+every vote pattern (two or three votes a rule: fewer than 7,000 patterns), so the driver
+never sees documents.
 The posterior probability of "good" replaces a filter in which all rules must pass.
 
 Defined results: a null text has no words; a text without words gets posterior 0; with
@@ -13,7 +14,6 @@ repeated rows, ties and extra columns change nothing.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,38 +24,54 @@ from pyspark.sql import functions as F
 from slicewise.llm.common import BLANKS, byte_texts, code_points
 
 SYMBOLS = b"#*$%&|<>"
+#: ASCII characters that are neither letters nor blanks.
+NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in BLANKS)
 MIN_WORDS = 50
 #: Share of posterior from which a text is kept.
 KEEP_FROM = 0.5
+#: Pseudo-cases of the fit, as a share of all cases.
+PSEUDO = 0.003
+#: A rule calls at most this share of good texts bad: its bounds lie far from prose.
+FALSE_ALARM = 0.01
 
-#: Fixed values: (figure, good up to, bad from). A rule abstains in between.
+#: Fixed values: (figure, good up to, bad from). A rule abstains in between; one without
+#: a "good" bound looks for one kind of junk only and never calls a text good.
 RULES = (
-    ("symbols_per_word", 0.02, 0.15),
-    ("duplicate_line_share", 0.05, 0.4),
-    ("repeated_word_share", 0.15, 0.4),
+    ("symbols_per_word", None, 0.1),
+    ("letterless_word_share", None, 0.25),
+    ("symbol_run_share", None, 0.1),
+    ("duplicate_line_share", None, 0.4),
+    ("repeated_word_share", None, 0.5),
+    ("stutter_share", None, 0.2),
     ("top_word_share", 0.12, 0.3),
-    ("upper_word_share", 0.1, 0.4),
-    ("shouted_word_share", 0.02, 0.2),
+    ("upper_word_share", None, 0.5),
+    ("shouted_word_share", None, 0.2),
     ("odd_word_length", 0.0, 4.0),
-    ("words_per_stop", 40.0, 120.0),
+    ("odd_sentence_length", 0.0, 3.0),
 )
 FIGURES = [name for name, _, _ in RULES]
-#: Figures of texts with fewer words say too little for a good vote.
-FEW_WORDS = 5
-_STOPS = re.compile(rb"[.!?]")
-_SHOUT = re.compile(rb"!!")
-_WORD_LENGTH = (2.0, 12.0)
+#: Texts with fewer words say too little for a vote.
+FEW_WORDS = 20
+#: Usual characters a word and words a sentence.
+WORD_LENGTH = (3.0, 8.0)
+SENTENCE_LENGTH = (2.0, 40.0)
+STOPS = (b".", b"!", b"?")
+RUNS = tuple(bytes([c]) * 3 for c in b"#*$%&|<>=~_-")
 
 
-def repeat_words(words: list[bytes]) -> int:
+def codes(words: list[bytes]) -> np.ndarray:
+    """The words as numbers from 0, in order of first use."""
+    ids: dict[bytes, int] = {}
+    return np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+
+
+def repeat_words(code: np.ndarray) -> int:
     """Words that lie in a 3-word window found twice or more, each word counted once."""
-    n = len(words)
+    n = len(code)
     if n < 4:
         return 0
-    ids: dict[bytes, int] = {}
-    code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
-    m = len(ids)
-    if m >= 1 << 20:  # three ids no longer fit 63 bits
+    m = int(code.max()) + 1
+    if m >= 1 << 20:  # three numbers no longer fit 63 bits
         pairs = np.unique(code[:-1] * m + code[1:], return_inverse=True)[1]
         key = pairs[:-1] * m + code[2:]
     else:
@@ -77,33 +93,27 @@ def measure(data: bytes) -> tuple[list[int], list[int]]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the votes of a text."""
     words = data.split()
     n = len(words)
-    solid = data.translate(None, BLANKS)
     n_symbols = len(data) - len(data.translate(None, SYMBOLS))
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    n_dup = len(lines) - len(set(lines))
-    n_repeat = repeat_words(words)
-    chars = code_points(solid)
     if not n:
         return [0, 0, n_symbols, 0, 0], [0] * len(RULES)
-    common = max(_counts(words).values())
-    upper = sum(map(bytes.isupper, words))
-    length = chars / n
-    low, high = _WORD_LENGTH
-    figures = (
-        n_symbols / n, n_dup / len(lines), n_repeat / n, common / n if n >= 20 else 0.0, upper / n,
-        len(_SHOUT.findall(data)) / n, max(low - length, length - high, 0.0),
-        n / max(1, len(_STOPS.findall(data))))
-    votes = [1 if f <= good else -1 if f >= bad else 0 for f, (_, good, bad) in zip(figures, RULES, strict=True)]
+    chars = code_points(data.translate(None, BLANKS))
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    n_dup = len(lines) - len(set(lines))
+    code = codes(words)
+    n_repeat = repeat_words(code)
     if n < FEW_WORDS:
-        votes = [min(v, 0) for v in votes]
+        return [n, chars, n_symbols, n_dup, n_repeat], [0] * len(RULES)
+    length, sentence = chars / n, n / max(1, sum(map(data.count, STOPS)))
+    figures = (
+        n_symbols / n, 1 - len(data.translate(None, NO_LETTERS).split()) / n, sum(map(data.count, RUNS)) / n, n_dup / len(lines),
+        n_repeat / n, float(np.count_nonzero(code[1:] == code[:-1])) / n, float(np.bincount(code).max()) / n, sum(map(bytes.isupper, words)) / n,
+        data.count(b"!!") / n, max(WORD_LENGTH[0] - length, length - WORD_LENGTH[1], 0.0),
+        max(SENTENCE_LENGTH[0] / sentence, sentence / SENTENCE_LENGTH[1], 1.0) - 1)
+    votes = [-1 if f >= bad else 1 if good is not None and f <= good else 0
+             for f, (_, good, bad) in zip(figures, RULES, strict=True)]
     return [n, chars, n_symbols, n_dup, n_repeat], votes
 
 
-def _counts(words: list[bytes]) -> dict[bytes, int]:
-    from collections import Counter
-    return Counter(words)
-
-
 def pattern_of(votes: list[int]) -> int:
     """Votes as one number in base 3."""
     out = 0
@@ -141,13 +151,15 @@ class Model:
     """Class prior and, per rule, the chance of each vote on good (0) and bad (1) texts."""
 
     def __init__(self) -> None:
-        good, bad = [0.05, 0.15, 0.8], [0.4, 0.3, 0.3]  # bad vote, abstain, good vote
-        self.prior = np.array([0.85, 0.15])
-        self.chance = np.array([[good, bad]] * len(RULES))
+        both = [[0.01, 0.19, 0.8], [0.3, 0.4, 0.3]]  # bad vote, abstain, good vote
+        hunts = [[0.01, 0.99, 1e-9], [0.3, 0.7, 1e-9]]  # of rules that never vote good
+        self.prior = np.array([0.9, 0.1])
+        self.chance = np.array([hunts if good is None else both for _, good, _ in RULES])
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        """Probability of a good text for each pattern."""
-        return self._classes(votes_of(np.asarray(pattern, np.int64)))[:, 0]
+        """Probability of a good text for each pattern; without any vote it is the prior."""
+        votes = votes_of(np.asarray(pattern, np.int64))
+        return np.where((votes == 1).all(1), self.prior[0], self._classes(votes)[:, 0])
 
     def _classes(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.prior) + sum(np.log(self.chance[j][:, votes[:, j]]).T for j in range(len(RULES)))
@@ -156,27 +168,32 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
     def fit(self, pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> "Model":
-        """EM over pattern counts, with one pseudo-case per class and vote.
+        """EM over pattern counts, with a few pseudo-cases per class and vote.
+
+        Patterns without any vote take no part.
 
-        A rule may never come out worse than chance (a bad vote more likely on good
-        texts), so that the classes cannot change places.
+        The share of false alarms is bounded, so that the classes cannot change places
+        and a kind of junk that only one or two rules see is not taken for good text.
         """
         votes, count = votes_of(np.asarray(pattern, np.int64)), np.asarray(count, np.float64)
+        count = np.where((votes == 1).all(1), 0.0, count)
+        few = 1 + PSEUDO * count.sum()
         for _ in range(rounds if len(count) else 0):
             weight = self._classes(votes) * count[:, None]
             self.prior = (weight.sum(0) + 1) / (weight.sum() + 2)
             for j in range(len(RULES)):
-                sums = np.stack([np.bincount(votes[:, j], weight[:, c], minlength=3) for c in (0, 1)]) + 1.0
+                sums = np.stack([np.bincount(votes[:, j], weight[:, c], minlength=3) for c in (0, 1)]) + few
                 chance = sums / sums.sum(1, keepdims=True)
-                if chance[0, 0] > chance[1, 0]:
-                    chance[:] = chance.mean(0)
+                if chance[0, 0] > FALSE_ALARM:
+                    chance[0, 1:] *= (1 - FALSE_ALARM) / chance[0, 1:].sum()
+                    chance[0, 0] = FALSE_ALARM
                 self.chance[j] = chance
         return self
 
 
 def estimate(signal: DataFrame) -> Model:
     """Fits the model to the vote patterns of all rows."""
-    rows = sorted(signal.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3 ** rules rows
+    rows = sorted(signal.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each pattern
     return Model().fit(np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows]))
 
 
@@ -187,7 +204,9 @@ def posterior_column(model: Model, pattern: Column, n_words: Column) -> Column:
     for j, d in enumerate(digit):
         bad, none, good = (float(x) for x in np.log(model.chance[j][0] / model.chance[j][1]))
         odds = odds + F.when(d == 0, F.lit(bad)).when(d == 1, F.lit(none)).otherwise(F.lit(good))
-    return F.when(n_words > 0, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
+    silent = F.lit((3 ** len(RULES) - 1) // 2)
+    return (F.when(n_words == 0, F.lit(0.0)).when(pattern == silent, F.lit(float(model.prior[0])))
+            .otherwise(1 / (1 + F.exp(-odds))))
 
 
 def judge(signal: DataFrame, model: Model) -> DataFrame:
