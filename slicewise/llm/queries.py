@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, langid, maxent, mixing, neardup, quality
+from slicewise.llm import bpe, fingerprints, langid, maxent, mixing, neardup, quality
 from slicewise.llm.common import id_crc
 from slicewise.session import durable, table
 
@@ -30,6 +30,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 == 2)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = durable(quality.signals(table(spark, sf_dir, "documents")), "quality-signals")
     return quality.judge(signal, quality.estimate(signal)).select(
@@ -52,4 +56,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_lm_scoring, op5_quality_rules, op6_byte_bpe, op8_near_duplicates, op9_language_id)}
+    op1_mixing, op2_lm_scoring, op3_fingerprints, op5_quality_rules, op6_byte_bpe, op8_near_duplicates, op9_language_id)}
