@@ -103,8 +103,8 @@ def successors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(range, nth, doc_id, text, next_text, last) in descending order of ids."""
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LEAST_ID))
     rows = docs.select(F.shiftright(key, RANGE_BITS).alias("range"), key.alias("id"), F.col(doc_id).alias("doc_id"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    down = W.partitionBy("range").orderBy(F.desc("id"), F.xxhash64("text"))
+                       F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    down = W.partitionBy("range").orderBy(F.desc("id"), "tie")
     ordered = (rows.withColumn("nth", F.row_number().over(down)).withColumn("next_text", F.lead("text").over(down))
                .withColumn("last", F.col("next_text").isNull()))
     heads = ordered.filter("nth = 1").select(F.col("range").alias("next_range"), F.col("text").alias("head_text"))
@@ -127,8 +127,9 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     one = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
     bodies = F.when(F.col("last"), F.array(one(0, F.col("text")), one(1, F.col("edited")), one(2, F.col("next_text")))).otherwise(
         F.array(one(0, F.col("text")), one(1, F.col("edited"))))
-    each = rows.select("range", "nth", F.explode(bodies).alias("b")).select("range", "nth", "b.kind", "b.body")
-    prints = samples(bags(each, ["range", "nth", "kind"], "body"), ["range", "nth", "kind"])
+    each = rows.select("range", "nth", "doc_id", F.explode(bodies).alias("b")).select("range", "nth", "doc_id", "b.kind", "b.body")
+    keys = ["range", "nth", "doc_id", "kind"]  # with doc_id both uses of the ranges read the same columns and share one shuffle
+    prints = samples(bags(each, keys, "body"), keys)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
     wide = prints.groupBy("range", "nth").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"), of(2).alias("head"))
     following = F.coalesce(F.lead("fingerprint").over(W.partitionBy("range").orderBy("nth")), F.col("head"))
