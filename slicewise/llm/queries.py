@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, fingerprints, langid, maxent, mixing, neardup, quality
+from slicewise.llm import bpe, extraction, fingerprints, langid, maxent, mixing, neardup, quality, warc
 from slicewise.llm.common import id_crc
 from slicewise.session import durable, table
 
@@ -34,6 +34,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = durable(quality.signals(table(spark, sf_dir, "documents")), "quality-signals")
     return quality.judge(signal, quality.estimate(signal)).select(
@@ -44,6 +48,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -56,4 +64,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_lm_scoring, op3_fingerprints, op5_quality_rules, op6_byte_bpe, op8_near_duplicates, op9_language_id)}
+    op1_mixing, op2_lm_scoring, op3_fingerprints, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_warc, op8_near_duplicates, op9_language_id)}

@@ -35,12 +35,23 @@ placed AS (
 copies AS (
   SELECT *, CAST(greatest(0, least(size, floor(target) - start)) AS BIGINT) AS first_words,
          CAST(greatest(0, least(size, floor(target) - (start + source_size))) AS BIGINT) AS second_words,
-         start / nullif(target, 0) * area AS at
+         start / nullif(target, 0) * area AS reach
   FROM placed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, first_words + second_words AS taken,
-       CASE WHEN first_words = 0 THEN NULL WHEN at <= 0 THEN 0.0
-            ELSE least(1.0, 2 * at / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * at, 0.0)))) END AS position
+       CASE WHEN first_words = 0 THEN NULL WHEN reach <= 0 THEN 0.0
+            ELSE least(1.0, 2 * reach / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * reach, 0.0)))) END AS position
 FROM copies
 """
 
-SQL = {"op1_mixing": OP1}
+OP7 = """
+WITH rows AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT payload_digest, max(page_id) AS first_id FROM rows WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND (page_id IS NULL OR page_id < first_id) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < first_id THEN first_id END AS refers_to
+FROM rows LEFT JOIN firsts USING (payload_digest)
+"""
+
+SQL = {"op1_mixing": OP1, "op7_warc": OP7}
