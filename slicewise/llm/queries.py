@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, extraction, fingerprints, langid, maxent, mixing, neardup, quality, warc
+from slicewise.llm import bpe, extraction, fingerprints, langid, licenses, maxent, mixing, neardup, quality, warc
 from slicewise.llm.common import id_crc
 from slicewise.session import durable, table
 
@@ -63,5 +63,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, *licenses.train(spark, docs))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_lm_scoring, op3_fingerprints, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_warc, op8_near_duplicates, op9_language_id)}
+    op1_mixing, op2_lm_scoring, op3_fingerprints, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_warc, op8_near_duplicates, op9_language_id,
+    op10_license_scan)}
