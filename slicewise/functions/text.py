@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
+from slicewise.functions import numeric as N
 
 _BLANKS = " \t\n\r\x0b\x0c"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -183,9 +184,8 @@ def report_section(c: Column, which: str, body: str = K.BODY_MARKER,
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Fixed decimals, halves to even."""
-    scale = 10.0 ** digits
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.rint(c * scale) / scale))
+    """Fixed decimals of the exact binary value, halves to even."""
+    return N.decimals(c.cast("double"), digits)
 
 
 def percent(c: Column, digits: int = 1) -> Column:
@@ -194,8 +194,7 @@ def percent(c: Column, digits: int = 1) -> Column:
 
 def signed_mm(c: Column) -> Column:
     """``+12.5 mm`` / ``-3.0 mm``."""
-    shown = F.rint(c * 10) / 10
-    return F.when(c.isNotNull(), F.format_string("%+.1f mm", shown))
+    return F.concat(N.decimals(c.cast("double"), 1, plus=True), F.lit(" mm"))
 
 
 def clock(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
+from slicewise.functions import numeric as N
 
 
 def metrics_at_prevalence(df: DataFrame, prevalence: Column, sensitivity: Column | float = K.DEFAULT_SENSITIVITY,
@@ -13,7 +14,7 @@ def metrics_at_prevalence(df: DataFrame, prevalence: Column, sensitivity: Column
                           lr_positive: Column | None = None, lr_negative: Column | None = None) -> DataFrame:
     """Adds counts per ``n_cases``, PPV, NPV, pain index (FP per TP) and likelihood ratios.
 
-    Counts round half to even; the likelihood ratios are derived unless given.
+    All figures round half to even on the binary value; the likelihood ratios are derived unless given.
     """
     sens = F.lit(sensitivity) if not isinstance(sensitivity, Column) else sensitivity
     spec = F.lit(specificity) if not isinstance(specificity, Column) else specificity
@@ -29,7 +30,7 @@ def metrics_at_prevalence(df: DataFrame, prevalence: Column, sensitivity: Column
         *df.columns,
         tp.cast("bigint").alias("tp"), fn.cast("bigint").alias("fn"),
         fp.cast("bigint").alias("fp"), tn.cast("bigint").alias("tn"),
-        F.round(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), 4).alias("ppv"),
-        F.round(F.when(tn + fn > 0, tn / (tn + fn)).otherwise(0.0), 4).alias("npv"),
-        F.when(tp > 0, F.round(fp / tp, 2)).otherwise(F.lit(float("inf"))).alias("pain_index"),
-        F.round(lr_pos, 2).alias("lr_positive"), F.round(lr_neg, 4).alias("lr_negative"))
+        N.round_even(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), 4).alias("ppv"),
+        N.round_even(F.when(tn + fn > 0, tn / (tn + fn)).otherwise(0.0), 4).alias("npv"),
+        F.when(tp > 0, N.round_even(fp / tp, 2)).otherwise(F.lit(float("inf"))).alias("pain_index"),
+        N.round_even(lr_pos, 2).alias("lr_positive"), N.round_even(lr_neg, 4).alias("lr_negative"))

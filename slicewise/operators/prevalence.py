@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slicewise.functions import numeric as N
 from slicewise.functions import text as T
 
 
 def rate(n: Column, pos: Column, min_n: int) -> Column:
     """Positives over studies, six digits; null below ``min_n`` studies or on none."""
-    return F.when((n >= min_n) & (n > 0), F.round(pos / n, 6))
+    return F.when((n >= min_n) & (n > 0), N.round_even(pos / n, 6))
 
 
 def window_filter(results: DataFrame, as_of: dt.date, location: str | None = None,

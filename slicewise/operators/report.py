@@ -16,8 +16,8 @@ def _pct0(c: Column) -> Column:
 
 
 def _pct1(c: Column) -> Column:
-    """One decimal as plain number text (``74.4``, ``100.0``) and a percent sign."""
-    return F.concat(F.round(c * 100, 1).cast("string"), F.lit("%"))
+    """One decimal (``74.4``, ``100.0``) and a percent sign."""
+    return T.percent(c)
 
 
 def report_text(studies: DataFrame, sensitivity: float, specificity: float,

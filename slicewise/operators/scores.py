@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise import constants as K
+from slicewise.functions import numeric as N
 from slicewise.operators.ordered import HOT_ROWS, scan
 
 
@@ -49,7 +50,7 @@ def study_scores(slices: DataFrame, threshold: float = K.POSITIVE_AT) -> DataFra
     top = slices.groupBy("study_uid").agg(
         F.count(F.lit(1)).alias("slice_count"),
         *[F.max(f"p_{c}").alias(f"m_{c}") for c in K.CLASSES])
-    rounded = top.select("*", *[F.round(f"m_{c}", 4).alias(f"prob_{c}") for c in K.CLASSES],
+    rounded = top.select("*", *[N.round_even(F.col(f"m_{c}"), 4).alias(f"prob_{c}") for c in K.CLASSES],
                          *[(F.col(f"m_{c}") >= threshold).alias(f"positive_{c}") for c in K.CLASSES])
     called = [F.when(F.col(f"positive_{c}"), F.col(f"prob_{c}")) for c in K.SUBTYPES]
     best = F.greatest(*called)
@@ -97,9 +98,9 @@ def hot_slices(indexed: DataFrame, threshold: float = K.POSITIVE_AT,
         F.max("z_mm").alias("z_mm"), F.max("sop_uid").alias("sop_uid"),
         F.max_by(F.struct("cls", "p"), F.struct("p", -F.col("ord"))).alias("s"))
     display = F.coalesce(*[F.when(F.col("s.cls") == c, F.lit(K.CLASS_DISPLAY[c])) for c in K.CLASSES])
-    return best.select("study_uid", "slice_index", F.round("z_mm", 1).alias("slice_z_mm"), "sop_uid",
+    return best.select("study_uid", "slice_index", N.round_even(F.col("z_mm").cast("double"), 1).alias("slice_z_mm"), "sop_uid",
                        F.col("s.cls").alias("dominant_class"), display.alias("display_class"),
-                       F.round("s.p", 4).alias("prob"))
+                       N.round_even(F.col("s.p"), 4).alias("prob"))
 
 
 def hot_slice_list(hot: DataFrame) -> DataFrame:

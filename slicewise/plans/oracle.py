@@ -32,7 +32,7 @@ def _location(raw: str) -> str:
 
 
 def _fixed(x: str, d: int) -> str:
-    return f"printf('%.{d}f', round_even(({x}) * 1e{d}, 0) / 1e{d})"
+    return f"printf('%.{d}f', ({x})::DOUBLE)"
 
 
 def _prior(c: str) -> str:
@@ -162,13 +162,13 @@ def _with(*ctes: str, body: str) -> str:
 
 
 def _rate(n: str, p: str, k: int) -> str:
-    return f"CASE WHEN {n} >= {k} AND {n} > 0 THEN round({p} / {n}, 6) END"
+    return f"CASE WHEN {n} >= {k} AND {n} > 0 THEN printf('%.6f', ({p} / {n})::DOUBLE)::DOUBLE END"
 
 
 # ---- prevalence ------------------------------------------------------------------------------
 
 _PREV = """SELECT count(*) AS n_total, coalesce(sum(ai_positive), 0)::BIGINT AS n_positive,
-  CASE WHEN count(*) >= 10 THEN round(sum(ai_positive) / count(*), 6) END AS prevalence FROM results"""
+  CASE WHEN count(*) >= 10 THEN printf('%.6f', (sum(ai_positive) / count(*))::DOUBLE)::DOUBLE END AS prevalence FROM results"""
 SQL["prevalence_overall"] = _with(RESULTS, body=_PREV)
 SQL["prevalence_filtered"] = _with(RESULTS, body=_PREV + " WHERE location = 'ER' AND exam_date >= DATE '2024-01-31' - 14")
 
@@ -178,7 +178,7 @@ def _by_location(days: int | None) -> str:
     return f"""by_loc AS (
   SELECT location, 0 AS is_total, count(*) AS n_total, sum(ai_positive)::BIGINT AS n_positive FROM results {where} GROUP BY location
   UNION ALL SELECT 'TOTAL', 1, count(*), sum(ai_positive)::BIGINT FROM results {where}),
-rated AS (SELECT *, CASE WHEN n_total >= CASE WHEN is_total = 1 THEN 1 ELSE 10 END THEN round(n_positive / n_total, 6) END AS prevalence FROM by_loc)"""
+rated AS (SELECT *, CASE WHEN n_total >= CASE WHEN is_total = 1 THEN 1 ELSE 10 END THEN printf('%.6f', (n_positive / n_total)::DOUBLE)::DOUBLE END AS prevalence FROM by_loc)"""
 
 
 SQL["prevalence_by_location"] = _with(RESULTS, _by_location(20), body=f"""SELECT location, is_total, n_total, n_positive, prevalence,
@@ -198,7 +198,7 @@ def _trend(period: str, n: int, where: str = "TRUE", min_n: int = 10) -> str:
         rows = f"{s} AS start_date, last_day({s}) AS end_date, strftime({s}, '%Y-%m') AS period_label"
     return _with(RESULTS, f"buckets AS (SELECT {rows} FROM range({n}) t(i))", body=f"""
 SELECT period_label, start_date, end_date, count(study_uid) AS n_total, coalesce(sum(ai_positive), 0)::BIGINT AS n_positive,
-  CASE WHEN count(study_uid) >= {min_n} THEN round(sum(ai_positive) / count(study_uid), 6) END AS prevalence
+  CASE WHEN count(study_uid) >= {min_n} THEN printf('%.6f', (sum(ai_positive) / count(study_uid))::DOUBLE)::DOUBLE END AS prevalence
 FROM buckets LEFT JOIN (SELECT * FROM results WHERE {where}) r ON exam_date BETWEEN start_date AND end_date GROUP BY ALL""")
 
 
@@ -213,13 +213,13 @@ SQL["prevalence_fallback"] = _with(RESULTS, """per AS (
     coalesce(sum(ai_positive) FILTER (WHERE exam_date >= DATE '2024-01-31' - 3), 0)::BIGINT AS pr,
     count(*) AS na, sum(ai_positive)::BIGINT AS pa FROM results GROUP BY location),
 tot AS (SELECT sum(nr)::BIGINT AS nr, sum(pr)::BIGINT AS pr, sum(na)::BIGINT AS na, sum(pa)::BIGINT AS pa FROM per)""", body="""
-SELECT p.location, CASE WHEN p.nr >= 160 THEN round(p.pr / p.nr, 6) WHEN p.na >= 160 THEN round(p.pa / p.na, 6)
-    WHEN t.na >= 160 THEN round(t.pa / t.na, 6) ELSE 0.05 END::DOUBLE AS prevalence,
+SELECT p.location, CASE WHEN p.nr >= 160 THEN printf('%.6f', (p.pr / p.nr)::DOUBLE)::DOUBLE WHEN p.na >= 160 THEN printf('%.6f', (p.pa / p.na)::DOUBLE)::DOUBLE
+    WHEN t.na >= 160 THEN printf('%.6f', (t.pa / t.na)::DOUBLE)::DOUBLE ELSE 0.05 END::DOUBLE AS prevalence,
   CASE WHEN p.nr >= 160 THEN 'observed (local ' || p.location || ', last 3d, n=' || p.nr || ', ' || p.pr || ' positive)'
     WHEN p.na >= 160 THEN 'observed (local ' || p.location || ', all time, n=' || p.na || ', ' || p.pa || ' positive)'
     WHEN t.na >= 160 THEN 'observed (all locations, all time, n=' || t.na || ', ' || t.pa || ' positive)'
     ELSE 'indication default (insufficient local data)' END AS source FROM per p CROSS JOIN tot t
-UNION ALL SELECT NULL, CASE WHEN nr >= 160 THEN round(pr / nr, 6) WHEN na >= 160 THEN round(pa / na, 6) ELSE 0.05 END::DOUBLE,
+UNION ALL SELECT NULL, CASE WHEN nr >= 160 THEN printf('%.6f', (pr / nr)::DOUBLE)::DOUBLE WHEN na >= 160 THEN printf('%.6f', (pa / na)::DOUBLE)::DOUBLE ELSE 0.05 END::DOUBLE,
   CASE WHEN nr >= 160 THEN 'observed (all locations, last 3d, n=' || nr || ', ' || pr || ' positive)'
     WHEN na >= 160 THEN 'observed (all locations, all time, n=' || na || ', ' || pa || ' positive)'
     ELSE 'indication default (insufficient local data)' END FROM tot""")
@@ -265,7 +265,7 @@ SQL["slice_index"] = _with(SLICES, INDEXED, body="SELECT study_uid, z_mm, l_line
 
 _subs = K.SUBTYPES
 STUDY = "top AS (SELECT study_uid, count(*) AS slice_count, " + ", ".join(
-    f"round(max(p_{c}), 4) AS prob_{c}, max(p_{c}) >= 0.5 AS positive_{c}" for c in CLASSES) + " FROM slices GROUP BY study_uid)," + \
+    f"printf('%.4f', (max(p_{c}))::DOUBLE)::DOUBLE AS prob_{c}, max(p_{c}) >= 0.5 AS positive_{c}" for c in CLASSES) + " FROM slices GROUP BY study_uid)," + \
     "best AS (SELECT *, greatest(" + ", ".join(f"CASE WHEN positive_{c} THEN prob_{c} END" for c in _subs) + ") AS b FROM top)," + \
     "keyed AS (SELECT *, positive_any AS overall_positive, CASE " + " ".join(
         f"WHEN positive_{c} AND prob_{c} = b THEN '{c}'" for c in _subs) + " ELSE '' END AS dominant_key FROM best)," + \
@@ -279,8 +279,8 @@ HOT = "cand AS (" + " UNION ALL ".join(
     f"SELECT study_uid, slice_index, z_mm, {i} AS ord, '{c}' AS cls, p_{c} AS p FROM indexed WHERE p_{c} >= 0.5"
     for i, c in enumerate(CLASSES)) + f"""),
 top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_uid, cls ORDER BY p DESC, slice_index) AS rn FROM cand) WHERE rn <= 3),
-hot AS (SELECT study_uid, slice_index, round(z_mm, 1) AS slice_z_mm, '' AS sop_uid, cls AS dominant_class,
-  CASE {_cases('cls', K.CLASS_DISPLAY)} END AS display_class, round(p, 4) AS prob FROM (
+hot AS (SELECT study_uid, slice_index, printf('%.1f', (z_mm)::DOUBLE)::DOUBLE AS slice_z_mm, '' AS sop_uid, cls AS dominant_class,
+  CASE {_cases('cls', K.CLASS_DISPLAY)} END AS display_class, printf('%.4f', (p)::DOUBLE)::DOUBLE AS prob FROM (
   SELECT *, row_number() OVER (PARTITION BY study_uid, slice_index ORDER BY p DESC, ord) AS r2 FROM top3) WHERE r2 = 1)"""
 SQL["hot_slices"] = _with(SLICES, INDEXED, HOT, body="SELECT * FROM hot")
 SQL["slice_lookup"] = _with(SLICES, INDEXED, HOT, body="""
@@ -340,10 +340,10 @@ def _bayes(prev: str, src: str) -> str:
     return f"""b1 AS (SELECT *, round_even(1e3 * {prev}, 0) AS n_pos FROM {src}),
 b2 AS (SELECT *, round_even(n_pos * 94e-2, 0) AS tpd, round_even((1e3 - n_pos) * (1e0 - 9453e-4), 0) AS fpd FROM b1),
 bayes AS (SELECT *, tpd::BIGINT AS tp, (n_pos - tpd)::BIGINT AS fn, fpd::BIGINT AS fp, (1e3 - n_pos - fpd)::BIGINT AS tn,
-  round(CASE WHEN tpd + fpd > 0 THEN tpd / (tpd + fpd) ELSE 0 END, 4) AS ppv,
-  round(CASE WHEN 1e3 - tpd - fpd > 0 THEN (1e3 - n_pos - fpd) / (1e3 - fpd - tpd) ELSE 0 END, 4) AS npv,
-  CASE WHEN tpd > 0 THEN round(fpd / tpd, 2) ELSE 'inf'::DOUBLE END AS pain_index,
-  round(94e-2 / (1e0 - 9453e-4), 2) AS lr_positive, round((1e0 - 94e-2) / 9453e-4, 4) AS lr_negative FROM b2)"""
+  printf('%.4f', (CASE WHEN tpd + fpd > 0 THEN tpd / (tpd + fpd) ELSE 0 END)::DOUBLE)::DOUBLE AS ppv,
+  printf('%.4f', (CASE WHEN 1e3 - tpd - fpd > 0 THEN (1e3 - n_pos - fpd) / (1e3 - fpd - tpd) ELSE 0 END)::DOUBLE)::DOUBLE AS npv,
+  CASE WHEN tpd > 0 THEN printf('%.2f', (fpd / tpd)::DOUBLE)::DOUBLE ELSE 'inf'::DOUBLE END AS pain_index,
+  printf('%.2f', (94e-2 / (1e0 - 9453e-4))::DOUBLE)::DOUBLE AS lr_positive, printf('%.4f', ((1e0 - 94e-2) / 9453e-4)::DOUBLE)::DOUBLE AS lr_negative FROM b2)"""
 
 
 SQL["bayes_metrics"] = _with(RESULTS, _by_location(None), "known AS (SELECT location, prevalence FROM rated WHERE prevalence IS NOT NULL)",
@@ -550,7 +550,7 @@ SQL["exam_times"] = """SELECT event_id, CASE WHEN event_type IN ('error', 'signu
   CASE WHEN event_type IN ('error', 'signup') THEN '' WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS exam_datetime,
   CASE WHEN event_type NOT IN ('error', 'signup') THEN ts::DATE END AS typed FROM events"""
 SQL["display_formats"] = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_fixed('l_tax * 100', 1)} || '%' AS pct,
-  printf('%+.1f mm', round_even((l_quantity - 25.25::DOUBLE) * 10, 0) / 10) AS z,
+  printf('%+.1f mm', (l_quantity - 25.25)::DOUBLE) AS z,
   printf('%d:%02d:%02d', floor(l_extendedprice)::BIGINT // 3600, floor(l_extendedprice)::BIGINT % 3600 // 60, floor(l_extendedprice)::BIGINT % 60) AS elapsed,
   CASE WHEN l_quantity > 10 THEN {_fixed('l_tax * 100', 2)} || '%' ELSE '<10 studies' END AS rate FROM lineitem"""
 SQL["indication_prior"] = _with(WORKLIST, body=f"SELECT study_uid, indication, {_prior('indication')} AS prior FROM worklist")
@@ -597,7 +597,7 @@ def _p0(x: str) -> str:
 
 
 def _p1(x: str) -> str:
-    return f"round({x} * 100, 1)::VARCHAR || '%'"
+    return f"printf('%.1f', (({x}) * 100)::DOUBLE) || '%'"
 
 
 _lead = ("'AI-assisted screening for intracranial hemorrhage (ICH) was performed on the submitted axial noncontrast CT head series (' "
@@ -639,7 +639,7 @@ def _items() -> str:
         src="(SELECT * FROM r WHERE n_hot > 0)")
     name = f"CASE {_cases('dominant_class', {c: d.capitalize() for c, d in K.CLASS_DISPLAY.items()})} END"
     add("11 + place", "key_images", "112039", "DCM", "'Tracking Identifier'", "TEXT",
-        f"'Slice ' || slice_index || ' | z=' || printf('%+.1f mm', round_even(slice_z_mm * 10, 0) / 10) || ' | ' || {name} || ' | score ' || {_fixed('prob * 100', 1)} || '%'",
+        f"'Slice ' || slice_index || ' | z=' || printf('%+.1f mm', slice_z_mm::DOUBLE) || ' | ' || {name} || ' | score ' || {_fixed('prob * 100', 1)} || '%'",
         src="(SELECT h.*, row_number() OVER (PARTITION BY study_uid ORDER BY slice_index) AS place FROM hot h JOIN (SELECT study_uid FROM r) USING (study_uid))")
     at = _p0("prevalence")
     base = "11 + CASE WHEN n_hot > 0 THEN n_hot + 1 ELSE 0 END + "

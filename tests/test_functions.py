@@ -117,3 +117,16 @@ def test_to_hu(spark):
     assert at("uint16", None, None) == -1014.0
     assert at("float32", None, None) == 10.0
     assert at("int16", None, None) == 10.0
+
+
+def test_decimals_equal_python(spark):
+    """Fixed decimals and rounded values follow the exact binary value, halves to even."""
+    values = [i / 10_000 for i in range(10_001)] + [i / 128 for i in range(-300, 300)] + [0.35, 2.125, 12345678.125, -0.04, 1e-9]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    out = rows.select("v", N.decimals(F.col("v") * 100, 1).alias("p"), N.decimals(F.col("v"), 2).alias("d"), N.decimals(F.col("v"), 0).alias("w"),
+                      N.round_even(F.col("v"), 2).alias("r2"), N.round_even(F.col("v"), 6).alias("r6")).collect()
+    for r in out:
+        assert (r.p, r.d, r.w) == (f"{r.v * 100:.1f}", f"{r.v:.2f}", f"{r.v:.0f}"), r.v
+        assert (r.r2, r.r6) == (round(r.v, 2), round(r.v, 6)), r.v
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
+    assert [r.d for r in odd.select(N.decimals(F.col("v"), 2).alias("d")).collect()] == ["inf", "-inf", "nan", None]
