@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicewise import constants as K
 from slicewise import schemas
@@ -122,12 +123,16 @@ def read_worklist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_worklist_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """The last snapshot that is whole."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).json(path)
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch", "left_semi").drop("batch")
 
 
-def write_worklist(entries: DataFrame, path: str) -> None:
-    """A snapshot in serving order, globally sorted across its files."""
-    wl.ordered(entries).write.mode("overwrite").json(path)
+def write_worklist(entries: DataFrame, path: str, batch: int = 0) -> None:
+    """A snapshot in serving order, globally sorted across its files; earlier snapshots stay."""
+    (wl.ordered(entries).withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path))
 
 
 def export_results(results: DataFrame, path: str) -> None:

@@ -7,6 +7,9 @@ take the latest row per study. :func:`compact_results` folds the loads.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ def new_results_store(spark: SparkSession) -> str:
     return new_store(spark, "study-results")
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table, or an empty one where nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -33,48 +36,57 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _next_load(spark: SparkSession, path: str) -> int:
-    last = _read(spark, path, "load BIGINT").agg(F.max("load")).first()[0]
-    return 0 if last is None else last + 1
+RESULT_ROWS = schemas.STUDY_RESULTS + ", version BIGINT, load STRING"
 
 
-def upsert_results(spark: SparkSession, path: str, rows: DataFrame, load: int | None = None) -> int:
+def upsert_results(spark: SparkSession, path: str, rows: DataFrame, load: str | None = None) -> str:
     """Write one load. Columns beyond the table's are refused, missing ones are null.
 
-    Without ``load`` the next number is taken; a stream passes its batch number,
-    which makes a repeated batch harmless.
+    Every load has a name of its own, so that writers never replace each other's rows:
+    a random one, or the writer's name and batch number, which makes a repeated batch
+    harmless. ``version`` orders the loads; a repeated load keeps its first version.
     """
-    load = _next_load(spark, path) if load is None else load
     table = spark.createDataFrame([], schemas.STUDY_RESULTS)
     unknown = set(rows.columns) - set(table.columns)
     if unknown:
         raise ValueError(f"not in the result table: {sorted(unknown)}")
+    version = None
+    if load is not None:
+        version = stored(spark, path, RESULT_ROWS).filter(F.col("load") == load).agg(F.min("version")).first()[0]
+    load = load or uuid.uuid4().hex
+    version = version or time.time_ns() // 1000
     aligned = rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
-    (aligned.withColumn("load", F.lit(load).cast("bigint")).write.mode("overwrite")
+    (aligned.withColumn("version", F.lit(version).cast("bigint")).withColumn("load", F.lit(load)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path))
     return load
 
 
-def latest(rows: DataFrame, keys: list[str], version: str = "load") -> DataFrame:
-    """The row of the highest version per key, as an aggregate (reduced on the map side)."""
+def latest(rows: DataFrame, keys: list[str], version: str = "load", then: tuple[str, ...] = ()) -> DataFrame:
+    """The row of the highest version per key, as an aggregate (reduced on the map side).
+
+    Rows of one version are told apart by ``then`` and, last, by their own fields, so
+    that the winner is always the same.
+    """
     fields = [c for c in rows.columns if c not in (*keys, version)]
-    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col(version)).alias("_r"))
-            .select(*keys, "_r.*"))
+    return (rows.groupBy(*keys).agg(F.max(F.struct(version, *then, *[F.col(c).alias(f"f_{c}") for c in fields])).alias("_r"))
+            .select(*keys, *[F.col(f"_r.f_{c}").alias(c) for c in fields]))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return latest(_read(spark, path, schemas.STUDY_RESULTS + ", load BIGINT"), ["study_uid"])
+    """The latest row of every study; in one load the one processed last."""
+    rows = stored(spark, path, RESULT_ROWS)
+    return latest(rows.drop("load"), ["study_uid"], "version", ("processed_datetime",))
 
 
 def compact_results(spark: SparkSession, path: str) -> str:
-    """Write the current rows as load 0 of a new store; returns its path.
+    """Write the current rows as the first load of a new store; returns its path.
 
     Rows are laid out in ranges of exam date (and uid, so a busy day spans several
     files), which lets date filters skip files. Later loads go on top as before.
     """
     new = new_results_store(spark)
-    (read_results(spark, path).withColumn("load", F.lit(0).cast("bigint"))
+    (read_results(spark, path).withColumn("version", F.lit(0).cast("bigint")).withColumn("load", F.lit("compacted"))
      .repartitionByRange("exam_date", "study_uid")
      .write.partitionBy("load").parquet(new))
     return new
@@ -91,7 +103,7 @@ def save_as_table(rows: DataFrame, name: str) -> None:
 
 
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, schemas.TENSORS)
+    return stored(spark, path, schemas.TENSORS)
 
 
 def append_tensors(spark: SparkSession, path: str, tensors: DataFrame) -> None:
@@ -106,7 +118,7 @@ VISITED = "study_folder STRING, status STRING"
 
 
 def read_visited(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, VISITED)
+    return stored(spark, path, VISITED)
 
 
 def mark_visited(folders: DataFrame, path: str) -> None:

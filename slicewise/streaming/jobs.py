@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicewise.operators import triage, worklist
 from slicewise.plans import inputs as I
@@ -27,21 +28,29 @@ def file_stream(spark: SparkSession, sf: str, name: str, files_per_trigger: int
             .option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf))
 
 
+def split_stream(spark: SparkSession, sf: str, name: str, files: int = 3) -> DataFrame:
+    """One table of the folder dealt row by row over several files, one file per trigger."""
+    path = fresh_path(spark, f"{name}-files")
+    rows = table(spark, sf, name)
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _run(writer, spark: SparkSession, name: str, trigger: dict) -> None:
     query = writer.option("checkpointLocation", fresh_path(spark, f"{name}-progress")).trigger(**trigger).start()
     query.awaitTermination()
 
 
-def results_stream(results: DataFrame, path: str):
-    """Upsert every micro-batch into the result store; the batch number is the load number."""
+def results_stream(results: DataFrame, path: str, writer: str = "results-stream"):
+    """Upsert every micro-batch into the result store; the load is named by writer and batch number."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables.upsert_results(batch.sparkSession, path, batch, load=batch_id)
+        tables.upsert_results(batch.sparkSession, path, batch, load=f"{writer}-{batch_id}")
     return results.writeStream.foreachBatch(write)
 
 
 def run_results_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> DataFrame:
     path = tables.new_results_store(spark)
-    _run(results_stream(I.results_of(file_stream(spark, sf, "events")), path), spark, "results", trigger)
+    _run(results_stream(I.results_of(split_stream(spark, sf, "events")), path), spark, "results", trigger)
     return tables.read_results(spark, path).select("study_uid", "exam_date", "location", "ai_positive", "prob_any")
 
 
@@ -64,8 +73,7 @@ def run_prevalence_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -
     rows = I.results_of(file_stream(spark, sf, "events")).withColumn("exam_ts", midnight)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path))
+        _append(batch, batch_id, path)
 
     _run(windowed_prevalence(rows).writeStream.outputMode("update").foreachBatch(write), spark, "prevalence", trigger)
     counts = tables.latest(spark.read.parquet(path), ["start", "location"])
@@ -92,49 +100,78 @@ def run_dedupe_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> Da
     return spark.read.parquet(path).select("study_uid", F.col("arrived").cast("timestamp_ntz").alias("arrived"))
 
 
-def triage_stream(headers: DataFrame, existing: DataFrame, visited_path: str, as_of: dt.date,
+def _append(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Keep a micro-batch as one partition; a repeated batch writes the same one again."""
+    (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path))
+
+
+def _kept(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """The kept micro-batches up to this one, with their number as ``load``."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("load", T.LongType())])
+    return batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("load") <= batch_id)
+
+
+def triage_stream(headers: DataFrame, existing: DataFrame, visited_path: str, state_path: str, as_of: dt.date,
                   days_back: int | None, min_slices: int, dry_run: bool = False):
-    """Route the studies of every micro-batch and log them as visited afterwards.
+    """Route the studies of every micro-batch from all their headers so far.
 
-    A micro-batch must hold whole studies (one header file per study or more).
-    Studies seen before are skipped; a dry run writes no log.
+    Files of a study may come in any number of micro-batches: headers are kept, and a
+    study is routed anew whenever files of it arrive. Outcomes are kept per batch beside
+    the headers; :func:`visited_studies` has the last one of each study. Studies that an
+    earlier scan has logged under ``visited_path`` are skipped. A dry run leaves nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = tables.read_visited(spark, visited_path).select(F.col("study_folder").alias("study_uid"))
-        fresh = batch.join(seen, "study_uid", "left_anti")
-        routed = triage.route_studies(fresh, existing, as_of, days_back, min_slices)
-        if not dry_run:
-            tables.mark_visited(routed.select(F.col("study_uid").alias("study_folder"), "status"), visited_path)
+        batch = batch.join(seen, "study_uid", "left_anti")
+        if dry_run:
+            return
+        _append(batch, batch_id, f"{state_path}/headers")
+        kept = _kept(batch, batch_id, f"{state_path}/headers")
+        touched = kept.filter(F.col("load") == batch_id).select("study_uid").distinct()
+        routed = triage.route_studies(kept.drop("load").join(touched, "study_uid", "left_semi"), existing, as_of, days_back, min_slices)
+        _append(routed.select(F.col("study_uid").alias("study_folder"), "status"), batch_id, f"{state_path}/outcomes")
     return headers.writeStream.foreachBatch(write)
 
 
+def visited_studies(spark: SparkSession, visited_path: str, state_path: str) -> DataFrame:
+    """(study_folder, status): what earlier scans logged, and the last outcome of every study of the stream."""
+    outcomes = tables.stored(spark, f"{state_path}/outcomes", tables.VISITED + ", load BIGINT")
+    return tables.read_visited(spark, visited_path).unionByName(tables.latest(outcomes, ["study_folder"]))
+
+
 def run_triage_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> DataFrame:
-    path = fresh_path(spark, "visited")
-    stream = I.headers_of(file_stream(spark, sf, "lineitem"), table(spark, sf, "part"))
-    _run(triage_stream(stream, I.processed(spark, sf), path, I.TRIAGE_AS_OF, I.TRIAGE_DAYS, 2), spark, "triage", trigger)
-    return tables.read_visited(spark, path)
+    path, state = fresh_path(spark, "visited"), fresh_path(spark, "triage-state")
+    stream = I.headers_of(split_stream(spark, sf, "lineitem"), table(spark, sf, "part"))
+    _run(triage_stream(stream, I.processed(spark, sf), path, state, I.TRIAGE_AS_OF, I.TRIAGE_DAYS, 2), spark, "triage", trigger)
+    return visited_studies(spark, path, state)
+
+
+def overlaid(arrivals: DataFrame, key: str = "study_uid", version: str = "load") -> DataFrame:
+    """One row per key: of every field the last value that an arrival brought; null brings none."""
+    fields = [c for c in arrivals.columns if c not in (key, version)]
+    return arrivals.groupBy(key).agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(version, F.hash(c)))).alias(c) for c in fields]).select(key, *fields)
 
 
 def worklist_stream(entries: DataFrame, snapshot_path: str, state_path: str):
-    """Merge arriving entries into the worklist and publish a snapshot in serving order.
+    """Merge arriving entries into the worklist, field by field, and publish a snapshot in serving order.
 
     Arrivals are kept as one load per micro-batch; the snapshot of a batch is a
-    function of the loads up to it, so a repeated batch publishes the same rows.
+    function of the loads up to it, so a repeated batch publishes the same rows. Each
+    batch has a snapshot of its own: readers keep the last one until the next is whole.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(state_path))
-        current = tables.latest(spark.read.parquet(state_path), ["study_uid"])
-        documents.write_worklist(current, snapshot_path)
+        _append(batch, batch_id, state_path)
+        documents.write_worklist(overlaid(_kept(batch, batch_id, state_path)), snapshot_path, batch_id)
     return entries.writeStream.foreachBatch(write)
 
 
 def run_worklist_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> DataFrame:
     """A served worklist polls with ``trigger={"processingTime": "15 seconds"}``."""
     snapshot, state = fresh_path(spark, "worklist"), fresh_path(spark, "worklist-state")
-    stream = I.worklist_of(file_stream(spark, sf, "orders"), table(spark, sf, "customer"))
+    stream = I.worklist_of(split_stream(spark, sf, "orders"), table(spark, sf, "customer"))
     _run(worklist_stream(stream, snapshot, state), spark, "worklist", trigger)
     shown = documents.read_worklist_snapshot(spark, snapshot, stream.schema)
     return shown.select("study_uid", worklist.tier(F.col("physician_stat"), F.col("ai_positive")).alias("tier"), "exam_time")

@@ -37,7 +37,7 @@ def test_results_stream_resumes_and_upserts(spark):
     rows = {r["study_uid"]: r["ai_positive"] for r in tables.read_results(spark, store).collect()}
     assert rows == {"a": 1, "b": 1, "c": 0}
     # a repeated micro-batch writes the same load again
-    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 1), ("c", D, "ICU", 0)]).select(*keep), load=1)
+    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 1), ("c", D, "ICU", 0)]).select(*keep), load="results-stream-1")
     assert tables.read_results(spark, store).count() == 3
     assert prevalence.prevalence(tables.read_results(spark, store), D, min_n=1).first()["n_positive"] == 2
 
@@ -72,21 +72,60 @@ def heads(spark, study, n):
     return spark.createDataFrame([(study, "x", f"{study}/{i}.dcm", "CT", "head", "", "5", "", ["ORIGINAL"], "20240101", None) for i in range(n)], HEAD)
 
 
-def test_triage_marks_after_success_and_dry_run_marks_nothing(spark):
-    source, visited = fresh_path(spark, "heads"), fresh_path(spark, "visited")
+def test_triage_routes_from_all_files_of_a_study(spark):
+    source, visited, state = (fresh_path(spark, n) for n in ("heads", "visited", "state"))
     heads(spark, "s1", 10).coalesce(1).write.mode("append").parquet(source)
     existing = spark.createDataFrame([], "study_uid string")
 
     def run(progress, dry):
         df = spark.readStream.schema(HEAD).option("maxFilesPerTrigger", 1).parquet(source)
-        drain(jobs.triage_stream(df, existing, visited, D, None, 10, dry_run=dry), progress)
+        drain(jobs.triage_stream(df, existing, visited, state, D, None, 10, dry_run=dry), progress)
+
+    def seen():
+        return sorted(tuple(r) for r in jobs.visited_studies(spark, visited, state).collect())
 
     run(fresh_path(spark, "p"), True)
-    assert tables.read_visited(spark, visited).count() == 0
+    assert seen() == []
     progress = fresh_path(spark, "p")
     run(progress, False)
-    assert [tuple(r) for r in tables.read_visited(spark, visited).collect()] == [("s1", "ready")]
-    heads(spark, "s1", 3).coalesce(1).write.mode("append").parquet(source)
-    heads(spark, "s2", 3).coalesce(1).write.mode("append").parquet(source)
+    assert seen() == [("s1", "ready")]
+    # twelve files of one series in two micro-batches, and a study an earlier scan has visited
+    heads(spark, "s2", 6).coalesce(1).write.mode("append").parquet(source)
+    tables.mark_visited(spark.createDataFrame([("old", "ready")], tables.VISITED), visited)
+    heads(spark, "old", 3).coalesce(1).write.mode("append").parquet(source)
+    run(progress, False)
+    assert seen() == [("old", "ready"), ("s1", "ready"), ("s2", "no_ncct_series")]
+    heads(spark, "s2", 12).filter("path >= 's2/6'").coalesce(1).write.mode("append").parquet(source)
+    heads(spark, "s2", 12).filter("path like 's2/1_.dcm'").coalesce(1).write.mode("append").parquet(source)
     run(progress, False)
-    assert sorted(tuple(r) for r in tables.read_visited(spark, visited).collect()) == [("s1", "ready"), ("s2", "no_ncct_series")]
+    assert seen() == [("old", "ready"), ("s1", "ready"), ("s2", "ready")]
+
+
+def test_two_writers_share_a_store(spark):
+    store = fresh_path(spark, "store")
+    keep = ["study_uid", "exam_date", "location", "ai_positive"]
+    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 0), ("b", D, "ER", 0)]).select(*keep))
+    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 1)]).select(*keep), load="w-0")
+    tables.upsert_results(spark, store, batch(spark, [("c", D, "ER", 1)]).select(*keep), load="v-0")
+    rows = {r["study_uid"]: r["ai_positive"] for r in tables.read_results(spark, store).collect()}
+    assert rows == {"a": 1, "b": 0, "c": 1}
+    # a repeated load keeps its version, so it does not overtake what came later
+    tables.upsert_results(spark, store, batch(spark, [("c", D, "ER", 0)]).select(*keep))
+    tables.upsert_results(spark, store, batch(spark, [("c", D, "ER", 1)]).select(*keep), load="v-0")
+    assert {r["study_uid"]: r["ai_positive"] for r in tables.read_results(spark, store).collect()}["c"] == 0
+    # in one load the row processed last wins, wherever it stands
+    twice = spark.createDataFrame([("d", 1, "2024-01-02"), ("d", 0, "2024-01-01")], "study_uid string, ai_positive int, processed_datetime string")
+    tables.upsert_results(spark, store, twice)
+    assert tables.read_results(spark, store).filter("study_uid = 'd'").first()["ai_positive"] == 1
+
+
+def test_worklist_stream_overlays_fields(spark):
+    source, snapshot, state, progress = (fresh_path(spark, n) for n in ("entries", "snapshot", "state", "progress"))
+    kind = "study_uid string, physician_stat boolean, ai_positive boolean, report_paragraph string, exam_time string"
+    for rows in ([("a", True, True, "text", "1")], [("a", False, None, None, "2"), ("b", False, False, None, "3")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+    entries = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    drain(jobs.worklist_stream(entries, snapshot, state), progress)
+    from slicewise.sources import documents
+    got = sorted(tuple(r) for r in documents.read_worklist_snapshot(spark, snapshot, entries.schema).collect())
+    assert got == [("a", False, True, "text", "2"), ("b", False, False, None, "3")]
