@@ -129,24 +129,26 @@ def _best_per_study(rows: DataFrame, rank: Column) -> DataFrame:
 
 
 def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_back: int | None = None,
-                  min_slices: int = K.MIN_SERIES_SLICES, requested: DataFrame | None = None) -> DataFrame:
+                  min_slices: int = K.MIN_SERIES_SLICES, requested: DataFrame | None = None,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """Status of every study and, where it is ready, its chosen series.
 
     Order: not_head_ct, date_filtered, already_processed, no_ncct_series,
     ready. An unreadable first file rejects the study. Files are aggregated to series once, and
     one more aggregate takes both the first header and the best series from them.
     With ``requested`` (study_uid) exactly those studies come back, also the ones
-    without any file.
+    without any file. ``carry`` names columns of the first header to hand on.
     """
     groups = scored_series(file_groups(headers).withColumn("series_folder", T.parent_path(F.col("first_path"))), min_slices)
     able = F.col("readable") & F.col("qualifies")
     studies = groups.groupBy("study_uid").agg(
-        F.min_by(F.struct("study_date", "error", "modality", "study_description"), F.col("first_path")).alias("h"),
+        F.min_by(F.struct("study_date", "error", "modality", "study_description", *carry), F.col("first_path")).alias("h"),
         F.min_by(F.struct("series_uid", "series_folder", "slice_count"), F.when(able, _series_rank())).alias("s"),
         F.sum("slice_count").alias("n_files"))
     checked = studies.select(
         "study_uid", "n_files", "s", T.compact_date(F.col("h.study_date")).alias("exam_date"),
-        reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"))
+        reject_reason(F.col("h.error"), F.col("h.modality"), F.col("h.study_description")).alias("reason"),
+        *[F.col(f"h.{c}").alias(c) for c in carry])
     if requested is not None:
         checked = (requested.select("study_uid").distinct().join(checked, "study_uid", "left")
                    .fillna(0, ["n_files"]).fillna("", ["exam_date"]).fillna("no_dcm_files", ["reason"]))
@@ -157,7 +159,7 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
               .when(F.col("s").isNull(), F.lit("no_ncct_series")).otherwise(F.lit("ready")))
     routed = checked.join(known, "study_uid", "left").withColumn("status", status)
     picked = [F.when(F.col("status") == "ready", F.col(f"s.{c}")).alias(c) for c in ("series_uid", "series_folder", "slice_count")]
-    return routed.select("study_uid", "status", "reason", "exam_date", "n_files", *picked)
+    return routed.select("study_uid", "status", "reason", "exam_date", "n_files", *picked, *carry)
 
 
 def scan_counters(routed: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:

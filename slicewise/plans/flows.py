@@ -18,8 +18,8 @@ def result_rows(scores_: DataFrame, studies: DataFrame, processed: Column, check
 
     ``studies`` brings study_uid and exam_date, and may bring patient_id,
     exam_datetime, raw_department, location and series_folder. The location is
-    the department's, else the given one, normalised. Studies without an exam
-    date are refused by the join of the caller, not dated today.
+    the department's, else the given one, normalised. The caller leaves out studies
+    without an exam date; they are not dated today.
     """
     optional = ("patient_id", "exam_datetime", "raw_department", "location", "series_folder")
     have = studies.select("study_uid", F.col("exam_date").cast("date").alias("exam_date"), *[
@@ -35,16 +35,23 @@ def result_rows(scores_: DataFrame, studies: DataFrame, processed: Column, check
 
 def scanned_results(headers: DataFrame, scored_slices: DataFrame, existing: DataFrame, as_of: dt.date,
                     days_back: int | None = None, min_slices: int = K.MIN_SERIES_SLICES) -> DataFrame:
-    """Archive scan: triage -> series choice -> scores of the ready studies -> result rows.
+    """Archive scan: triage -> series choice -> scores of the chosen series -> result rows.
 
-    ``scored_slices`` is what the scorer returned for the chosen series
-    (:func:`slicewise.operators.scores.score_batches`); only ready studies count.
-    Slices are reduced to studies before they meet the triage result.
+    ``scored_slices`` bring study_uid, series_uid and the scores; slices of other series
+    and other studies take no part. Patient, exam time and department come from the
+    study's first header, where the headers have them. Studies without a valid exam date
+    give no result.
     """
-    ready = triage.route_studies(headers, existing, as_of, days_back, min_slices).filter("status = 'ready'")
-    ready = ready.select("study_uid", "exam_date", "series_folder")
-    dated = ready.withColumn("exam_date", F.try_to_date(F.nullif("exam_date", F.lit("")), "yyyy-MM-dd"))
-    return result_rows(scores.study_scores(scored_slices), dated, F.lit(None))
+    carry = tuple(c for c in ("study_date", "study_time", "patient_id", "institutional_department") if c in headers.columns)
+    ready = triage.route_studies(headers, existing, as_of, days_back, min_slices, carry=carry[1:]).filter("status = 'ready'")
+    dated = ready.withColumn("exam_date", F.try_to_date(F.nullif("exam_date", F.lit("")), "yyyy-MM-dd")).filter("exam_date is not null")
+    day = F.date_format("exam_date", "yyyyMMdd")
+    told = {"exam_datetime": T.compact_datetime(day, F.col("study_time") if "study_time" in carry else F.lit(""))}
+    if "institutional_department" in carry:
+        told["raw_department"] = F.col("institutional_department")
+    dated = dated.withColumns(told)
+    chosen = scored_slices.join(dated.select("study_uid", "series_uid"), ["study_uid", "series_uid"], "left_semi")
+    return result_rows(scores.study_scores(chosen), dated.drop("series_uid", "slice_count"), F.lit(None))
 
 
 def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, specificity: float,

@@ -85,7 +85,18 @@ def headers(spark: SparkSession, sf: str) -> DataFrame:
     return headers_of(table(spark, sf, "lineitem"), table(spark, sf, "part"))
 
 
-def headers_of(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+def scan_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """File headers with patient, study time and department <- lineitem join part."""
+    return headers_of(table(spark, sf, "lineitem"), table(spark, sf, "part"), scan=True)
+
+
+def scan_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored slices with the series they belong to <- lineitem join part."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return slices(spark, sf).join(part, "l_partkey").withColumn("series_uid", F.concat("study_uid", F.lit("."), F.col("p_type"))).drop("p_type")
+
+
+def headers_of(lineitem: DataFrame, part: DataFrame, scan: bool = False) -> DataFrame:
     """File headers <- lineitem join part."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     part = part.select("p_partkey", "p_type", "p_size")
@@ -95,7 +106,13 @@ def headers_of(lineitem: DataFrame, part: DataFrame) -> DataFrame:
             .when(F.col("p_type") == "PROMO", "Brain noncontrast thin").when(F.col("p_type") == "STANDARD", "BONE RECON")
             .when(F.col("p_type") == "ECONOMY", "").otherwise("CHEST"))
     day = F.date_format("l_shipdate", "yyyyMMdd")
+    seen = [F.concat(F.lit("P"), s["l_suppkey"]).alias("patient_id"),
+            F.concat(F.lpad((F.col("l_suppkey") % 24).cast("string"), 2, "0"), F.when(F.col("l_linenumber") == 3, "").otherwise("3015.5"))
+            .alias("study_time"),
+            F.when(F.col("p_size") % 4 == 0, "Emergency Dept 2").when(F.col("p_size") % 4 == 1, "Neuro ICU")
+            .when(F.col("p_size") % 4 == 2, "o'neil annex 3rd").otherwise("").alias("institutional_department")]
     return j.select(
+        *(seen if scan else []),
         s["l_orderkey"].alias("study_uid"), F.concat(s["l_orderkey"], F.lit("."), F.col("p_type")).alias("series_uid"),
         F.concat(s["l_orderkey"], F.lit("/"), F.col("p_type"), F.lit("/"), s["l_linenumber"], F.lit("_"),
                  s["l_partkey"], F.lit("_"), s["l_suppkey"], F.lit(".dcm")).alias("path"),

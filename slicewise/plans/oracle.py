@@ -707,10 +707,21 @@ SELECT study_uid, patient_id, exam_date, NULL::VARCHAR AS exam_datetime, locatio
   CASE WHEN exam_date >= DATE '2024-01-11' THEN 1 - ai_positive ELSE ai_positive END AS ai_positive, NULL::VARCHAR AS dominant_class, prob_any,
   NULL::DOUBLE AS prob_epidural, NULL::DOUBLE AS prob_intraparenchymal, NULL::DOUBLE AS prob_intraventricular, NULL::DOUBLE AS prob_subarachnoid,
   NULL::DOUBLE AS prob_subdural, NULL::VARCHAR AS series_folder, NULL::VARCHAR AS checkpoint, NULL::VARCHAR AS processed_datetime FROM results""")
-SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {SLICES}, {STUDY} SELECT study_uid, '' AS patient_id, TRY_CAST(exam_date AS DATE) AS exam_date,
-  TRY_CAST(exam_date AS DATE)::VARCHAR AS exam_datetime, 'Unknown' AS location, '' AS raw_department, overall_positive::INT AS ai_positive, dominant_class,
+_SCAN_SLICES = SLICES.replace("slices AS (SELECT", "all_slices AS (SELECT")
+SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {_SCAN_SLICES},
+slices AS (SELECT a.* FROM all_slices a JOIN part ON l_partkey = p_partkey
+  JOIN routed r ON r.status = 'ready' AND r.study_uid = a.study_uid AND r.series_uid = a.study_uid || '.' || p_type), {STUDY},
+about AS (SELECT CAST(l_orderkey AS VARCHAR) AS study_uid, arg_min('P' || l_suppkey, path) AS patient_id,
+  arg_min(CASE WHEN l_linenumber = 3 THEN '' ELSE lpad(CAST(l_suppkey % 24 AS VARCHAR), 2, '0') || ':30:15' END, path) AS clock,
+  arg_min(CASE p_size % 4 WHEN 0 THEN 'Emergency Dept 2' WHEN 1 THEN 'Neuro ICU' WHEN 2 THEN 'o''neil annex 3rd' ELSE '' END, path) AS raw_department
+  FROM (SELECT *, l_orderkey || '/' || p_type || '/' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '.dcm' AS path
+    FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1)
+SELECT study_uid, patient_id, TRY_CAST(exam_date AS DATE) AS exam_date,
+  TRY_CAST(exam_date AS DATE)::VARCHAR || CASE WHEN clock = '' THEN '' ELSE 'T' || clock END AS exam_datetime,
+  {_location('raw_department')} AS location, raw_department, overall_positive::INT AS ai_positive, dominant_class,
   {', '.join(f'prob_{c}' for c in CLASSES)}, series_folder, '' AS checkpoint, NULL::VARCHAR AS processed_datetime
-  FROM scored JOIN (SELECT * FROM routed WHERE status = 'ready') USING (study_uid)"""
+  FROM scored JOIN (SELECT * FROM routed WHERE status = 'ready' AND TRY_CAST(exam_date AS DATE) IS NOT NULL) USING (study_uid)
+  JOIN about USING (study_uid)"""
 BATCH = f"""manifest AS (SELECT study_uid, CASE WHEN study_positive THEN 'positive' ELSE 'negative' END AS grp,
   CASE WHEN dominant_class <> '' THEN dominant_class WHEN study_positive THEN 'positive' ELSE 'negative' END AS k FROM study_labels),
 wanted AS (SELECT study_uid, grp, CASE {_cases('k', K.CLASS_INDICATIONS)} ELSE {_q(K.DEFAULT_INDICATION)} END AS indication,

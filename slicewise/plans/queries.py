@@ -710,7 +710,7 @@ def batch_counters(spark, sf):
 
 @query
 def archive_scan(spark, sf):
-    return flows.scanned_results(I.headers(spark, sf), I.slices(spark, sf), I.processed(spark, sf), TRIAGE_AS_OF,
+    return flows.scanned_results(I.scan_headers(spark, sf), I.scan_slices(spark, sf), I.processed(spark, sf), TRIAGE_AS_OF,
                                  TRIAGE_DAYS, min_slices=2)
 
 

@@ -188,14 +188,35 @@ def test_result_store(spark):
     path = tables.new_results_store(spark)
     assert tables.read_results(spark, path).count() == 0
     rows = results(spark, many("ER", DAY, 4, 1))
-    assert tables.upsert_results(spark, path, rows) == 0
+    first = tables.upsert_results(spark, path, rows)
     later = rows.limit(2).withColumn("ai_positive", F.lit(9)).withColumn("exam_date", F.lit(dt.date(2023, 1, 1)))
-    assert tables.upsert_results(spark, path, later) == 1
-    tables.upsert_results(spark, path, later, load=1)  # a repeated load changes nothing
+    second = tables.upsert_results(spark, path, later)
+    assert first != second
+    tables.upsert_results(spark, path, later, load=second)  # a repeated load changes nothing
     now = tables.read_results(spark, path)
     assert now.count() == 4 and now.filter("ai_positive = 9").count() == 2
     compact = tables.compact_results(spark, path)
     assert tables.read_results(spark, compact).exceptAll(now).count() == 0
-    assert tables.upsert_results(spark, compact, rows.limit(1)) == 1
+    tables.upsert_results(spark, compact, rows.limit(1))
+    assert tables.read_results(spark, compact).count() == 4
     with pytest.raises(ValueError):
         tables.upsert_results(spark, path, rows.withColumn("extra", F.lit(1)))
+
+
+def test_archive_scan_scores_only_the_chosen_series(spark):
+    """A study that is positive on its bone series only comes out negative; an undated study gives no result."""
+    head = ("study_uid string, series_uid string, path string, modality string, series_description string, study_description string, "
+            "slice_thickness string, contrast_bolus_agent string, image_type array<string>, study_date string, error string, "
+            "patient_id string, study_time string, institutional_department string")
+
+    def files(study, series, description, day):
+        return [(study, series, f"{study}/{series}/{i}.dcm", "CT", description, "HEAD", "5", "", ["ORIGINAL"], day, None, "P7", "101500.2", "Neuro ICU")
+                for i in range(3)]
+
+    headers = spark.createDataFrame(files("a", "a.1", "AXIAL HEAD W/O", "20240105") + files("a", "a.2", "BONE RECON", "20240105")
+                                    + files("b", "b.1", "AXIAL HEAD W/O", "2024"), head)
+    scores = {"a.1": 0.1, "a.2": 0.9, "b.1": 0.9}
+    rows = [{"study_uid": s[0], "series_uid": s, "z_mm": float(i), **{f"p_{c}": p for c in K.CLASSES}} for s, p in scores.items() for i in range(3)]
+    got = flows.scanned_results(headers, spark.createDataFrame(rows), spark.createDataFrame([], "study_uid string"), dt.date(2024, 1, 31), None, 2).collect()
+    assert [(r["study_uid"], r["ai_positive"], r["prob_any"], r["patient_id"], r["exam_datetime"], r["location"]) for r in got] == [
+        ("a", 0, 0.1, "P7", "2024-01-05T10:15:00", "Neuro ICU")]
