@@ -6,22 +6,20 @@ cuts as an offset:
 
 * :func:`scan_by_bucket` - the order has a natural bucket that is a pure function
   of the row (a hash prefix, a score bucket). Lazy, one shuffle of the rows.
-* :func:`scan` - no such bucket. Groups up to ``hot_rows`` rows use the plain
-  window. Larger ones are range-partitioned on the order, written once with
+* :func:`scan` - no such bucket. A plain lazy window for groups that fit a task's disk
+  (one study's slices, one run's epochs). For groups without bound the caller names a
+  number of ranges: rows are then range-partitioned on the order, written once with
   their range number, and scanned per range. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slicewise.session import durable
 
-HOT_ROWS = 4_000_000
 _CUT = "_cut"
 
 
@@ -108,30 +106,15 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], *,
          position: str | None = None, size: str | None = None,
          sums: dict[str, Column] | None = None,
          max_before: dict[str, Column] | None = None,
-         hot_rows: int = HOT_ROWS) -> DataFrame:
+         ranges: int | None = None) -> DataFrame:
     """Scan each group of ``keys`` in ``order`` (which must leave no ties).
 
     ``position`` is the 0-based rank, ``size`` the group's row count, ``sums``
     running sums up to the row, ``max_before`` maxima over the earlier rows.
+    A lazy window, unless the caller declares groups without bound by ``ranges``.
     """
     sums, max_before = sums or {}, max_before or {}
-    big = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") > hot_rows))
-    # At most (all rows / hot_rows) groups can be in here; usually none is.
-    if big.isEmpty():
+    if ranges is None:
         return _plain(df, keys, order, position, size, sums, max_before)
-    big = durable(big, "hot-groups")
-    if keys:
-        hot = _null_safe_join(df, big.select(*keys), keys, "left_semi")
-        cool = _null_safe_join(df, big.select(*keys), keys, "left_anti")
-    else:
-        hot, cool = df, None
-    rows = big.agg(F.sum("_rows")).first()[0]
-    ranges = max(2, math.ceil(2 * rows / hot_rows))
-    cut = (hot.repartitionByRange(ranges, *keys, *order)
-           .withColumn(_CUT, F.spark_partition_id()))
-    scanned = _scan_cuts(durable(cut, "ranges"), keys, _CUT, order,
-                         position, size, sums, max_before).drop(_CUT)
-    if cool is None:
-        return scanned
-    return _plain(cool, keys, order, position, size, sums, max_before).unionByName(scanned)
+    cut = df.repartitionByRange(ranges, *keys, *order).withColumn(_CUT, F.spark_partition_id())
+    return _scan_cuts(durable(cut, "ranges"), keys, _CUT, order, position, size, sums, max_before).drop(_CUT)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from slicewise import constants as K
 from slicewise.functions import numeric as N
-from slicewise.operators.ordered import HOT_ROWS, scan
+from slicewise.operators.ordered import scan
 
 
 def score_columns(classes: list[str] = K.CLASSES, prefix: str = "p_") -> list[str]:
@@ -25,7 +25,7 @@ def score_columns(classes: list[str] = K.CLASSES, prefix: str = "p_") -> list[st
 
 def slice_index(slices: DataFrame, group: tuple[str, ...] = ("study_uid",), z: str = "z_mm",
                 order: tuple[str, ...] = ("path",), read_error: str | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """0-based index from the highest z down, ties in file order.
 
     An absent z counts as 0. Where ``read_error`` is set, the running file
@@ -34,10 +34,10 @@ def slice_index(slices: DataFrame, group: tuple[str, ...] = ("study_uid",), z: s
     keys, files = list(group), [F.col(c) for c in order]
     rank_z: Column = F.coalesce(F.col(z), F.lit(0.0))
     if read_error:
-        slices = scan(slices, keys, files, position="_file_pos", hot_rows=hot_rows)
+        slices = scan(slices, keys, files, position="_file_pos", ranges=ranges)
         rank_z = F.when(F.col(read_error), F.col("_file_pos").cast("double")).otherwise(rank_z)
     placed = slices.withColumn("_z", rank_z)
-    return (scan(placed, keys, [F.desc("_z"), *files], position="slice_index", hot_rows=hot_rows)
+    return (scan(placed, keys, [F.desc("_z"), *files], position="slice_index", ranges=ranges)
             .drop("_z", "_file_pos"))
 
 

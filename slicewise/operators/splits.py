@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slicewise import constants as K
 from slicewise.functions import numeric as N
-from slicewise.operators.ordered import HOT_ROWS, scan, scan_by_bucket
+from slicewise.operators.ordered import scan, scan_by_bucket
 
 
 def signature(classes: list[str] = K.CLASSES) -> Column:
@@ -112,9 +112,9 @@ def _on_even_grid(pos: Column, n: Column, k: int) -> Column:
     return hit(near - 1) | hit(near) | hit(near + 1)
 
 
-def even_subsample(df: DataFrame, k: int, group: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def even_subsample(df: DataFrame, k: int, group: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """At most ``k`` evenly spaced rows per group; 0 keeps all."""
-    placed = scan(df, group, [F.col(c) for c in order], position="position", size="_n", hot_rows=hot_rows)
+    placed = scan(df, group, [F.col(c) for c in order], position="position", size="_n", ranges=ranges)
     if k <= 0:
         return placed.drop("_n")
     keep = (F.col("_n") <= k) | _on_even_grid(F.col("position"), F.col("_n"), k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise import schemas
+from slicewise.session import durable
 
 def _files(spark: SparkSession, root: str, any_case: bool) -> DataFrame:
     glob = "*.[dD][cC][mM]" if any_case else "*.dcm"
@@ -63,7 +64,11 @@ def read_headers(spark: SparkSession, root: str, decode: Callable[[bytes], dict]
 
 
 def with_quarantine(outcomes: DataFrame, good_path: str, bad_path: str, now: Column | None = None) -> None:
-    """Write rows with status ok to one table, the reasons of the others to the quarantine log."""
+    """Write rows with status ok to one table, the reasons of the others to the quarantine log.
+
+    The outcomes are written once first: the failing step runs once, and both tables agree.
+    """
+    outcomes = durable(outcomes, "outcomes")
     stamp = now if now is not None else F.current_timestamp()
     outcomes.filter("status = 'ok'").drop("status", "message").write.mode("append").parquet(good_path)
     (outcomes.filter("status <> 'ok'")

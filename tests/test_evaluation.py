@@ -147,5 +147,5 @@ def test_no_positives(spark):
 def test_best_epochs(spark):
     rows = [(e, v) for e, v in enumerate([0.0, 0.5, 0.4, 0.5, 0.7, 0.7, 0.9])]
     for limit in (1000, 3):
-        got = evaluation.best_epochs(spark.createDataFrame(rows, "epoch int, mean_auc double"), hot_rows=limit)
+        got = evaluation.best_epochs(spark.createDataFrame(rows, "epoch int, mean_auc double"), ranges=limit)
         assert [r["is_best"] for r in got.orderBy("epoch").collect()] == [False, True, False, False, True, False, True]

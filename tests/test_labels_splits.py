@@ -114,7 +114,7 @@ def test_even_subsample(spark, k):
     rows = [(n, i) for n in sizes for i in range(n)]
     df = spark.createDataFrame(rows, "g int, i int")
     got = {}
-    for r in splits.even_subsample(df, k, ["g"], ["i"], hot_rows=60).collect():
+    for r in splits.even_subsample(df, k, ["g"], ["i"], ranges=5).collect():
         got.setdefault(r["g"], set()).add(r["i"])
     for n in sizes:
         want = {int(i * (n / k)) for i in range(k)} if n > k else set(range(n))
@@ -194,7 +194,7 @@ def test_hot_study_is_split(spark):
     rng = random.Random(3)
     rows = [("big" if i % 3 == 0 else f"s{i % 40}", float(rng.randrange(30)), f"f{i:05d}", *[0.2] * 6) for i in range(900)]
     a = scores.slice_index(slices(spark, rows)).collect()
-    b = scores.slice_index(slices(spark, rows), hot_rows=60).collect()
+    b = scores.slice_index(slices(spark, rows), ranges=5).collect()
     assert {(r["path"], r["slice_index"]) for r in a} == {(r["path"], r["slice_index"]) for r in b}
 
 

@@ -33,22 +33,39 @@ def brute(data):
     return want
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 50, 7])
-def test_scan_splits_hot_groups(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 6, 40])
+def test_scan_splits_hot_groups(spark, ranges):
     data = rows()
     df = spark.createDataFrame(data, "g string, a int, i int, v int").repartition(5)
     got = scan(df, ["g"], [F.desc("a"), F.col("i")], position="pos", size="n", sums={"s": F.col("v")},
-               max_before={"m": F.col("v")}, hot_rows=hot_rows).collect()
+               max_before={"m": F.col("v")}, ranges=ranges).collect()
     assert len(got) == len(data)
     assert {r["i"]: (r["pos"], r["n"], r["s"], r["m"]) for r in got} == brute(data)
 
 
 def test_scan_without_keys(spark):
     df = spark.range(500).withColumn("k", (F.col("id") * 37) % 503)
-    got = {r["k"]: r["pos"] for r in scan(df, [], [F.col("k")], position="pos", hot_rows=40).collect()}
+    got = {r["k"]: r["pos"] for r in scan(df, [], [F.col("k")], position="pos", ranges=12).collect()}
     assert got == {k: i for i, k in enumerate(sorted(got))}
 
 
+def test_one_huge_group_with_equal_and_null_keys(spark):
+    data = [(None, None if i % 3 == 0 else 7, i, 1) for i in range(700)]
+    df = spark.createDataFrame(data, "g string, a int, i int, v int").repartition(4)
+    got = {r["i"]: r["pos"] for r in scan(df, ["g"], [F.desc("a"), F.col("i")], position="pos", ranges=9).collect()}
+    order = sorted(data, key=lambda r: (r[1] is None, r[2]))
+    assert got == {r[2]: k for k, r in enumerate(order)}
+
+
+def test_no_job_while_the_plan_is_built(spark):
+    df = spark.createDataFrame(rows(), "g string, a int, i int, v int")
+    spark.sparkContext.setJobGroup("plan", "building a plan")
+    scan(df, ["g"], [F.desc("a"), F.col("i")], position="pos")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
+
+
 def test_scan_by_bucket(spark):
     data = rows(8)
     df = spark.createDataFrame(data, "g string, a int, i int, v int")
