@@ -356,6 +356,11 @@ SQL["labels_wide_first"] = _with(WIDE, body="SELECT * FROM wide")
 SQL["labels_wide_first_non_null"] = _with(LABELS, _wide("arg_min", False), body="SELECT * FROM wide")
 SQL["labels_wide_last"] = _with(LABELS, _wide("arg_max", False), body="SELECT * FROM wide")
 SQL["labels_available"] = _with(WIDE, DOCS, body='SELECT image_id FROM wide WHERE "any" = 1 AND image_id IN (SELECT image_id FROM docs)')
+SQL["labels_inner"] = _with(WIDE, DOCS, body='SELECT image_id, "any", "subdural" FROM docs JOIN wide USING (image_id)')
+SQL["label_file"] = _with(LABELS, body="SELECT image_id || '_' || cls AS ID, label::INT AS Label FROM labels_long")
+SQL["vote_file"] = _with(READS, body="SELECT name, " + ", ".join(
+    f"CASE WHEN r{j + 1}_{c.lower()} = 1 THEN '1' ELSE '{'0' if j else ''}' END AS {r}_{c}"
+    for j, r in enumerate(K.READERS) for c in ("ICH", "SDH")) + " FROM reads")
 SQL["labels_pending"] = _with(WIDE, DOCS, body='SELECT image_id, "any", "any" IS NULL AS unlabelled FROM docs LEFT JOIN wide USING (image_id)')
 _DOM = "CASE " + " ".join(f"WHEN \"{c}\" = 1 THEN '{c}'" for c in K.DOMINANT_ORDER) + " ELSE '' END"
 STUDY_LABELS = "rolled AS (SELECT study_uid, count(*) AS n_slices, count(*) AS n_labelled, " + ", ".join(
@@ -522,6 +527,12 @@ SELECT image_id, copy::INT AS copy, flip, turns, round(shift, 6) AS shift,
   round(list_sum(list_transform(b, lambda v: greatest(0, least(1, v + shift)))), 5) AS total FROM drawn""")
 SQL["quarantine"] = _with(BLOCKS, body="""SELECT image_id, CASE WHEN list_max(hu) < 100 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN list_max(hu) < 100 THEN 'no bright pixel' END AS message, CASE WHEN list_max(hu) >= 100 THEN round(hu[1], 6) END AS first FROM blocks""")
+SQL["quarantine_log"] = _with(BLOCKS, body="""SELECT image_id, CASE WHEN list_max(hu) < 100 THEN 'no bright pixel' END AS reason,
+  CASE WHEN list_max(hu) >= 100 THEN round(hu[2], 6) END AS second FROM blocks""")
+SQL["windows_three"] = _with(BLOCKS, "enc AS (SELECT image_id, " + ", ".join(
+    f"list_transform(hu, lambda v: {_half(f'greatest(0, least(1, (v::FLOAT - ({lo})::FLOAT) / ({hi - lo})::FLOAT))::DOUBLE')}) AS {n}"
+    for n, (lo, hi) in K.WINDOWS.items() if n != "balanced") + " FROM blocks)",
+    body="SELECT image_id, " + ", ".join(_digest(n, n) for n in ("wide", "medium", "narrow")) + " FROM enc")
 SQL["tensor_store"] = """SELECT 'medium' AS "window", CASE WHEN label < 5 THEN 'train' ELSE 'val' END AS split, count(*) AS n, count(DISTINCT vec_id) AS ids
   FROM embeddings GROUP BY ALL"""
 
@@ -684,6 +695,7 @@ _nums = [*K.LEDGER_NUMBERS, "total_tokens"]
 TOTALS = "totals AS (SELECT study_id, count(*) AS calls, " + ", ".join(
     f"sum({c})::BIGINT AS {c}" for c in K.LEDGER_NUMBERS) + ", sum(" + " + ".join(K.LEDGER_NUMBERS) + ")::BIGINT AS total_tokens FROM ledger GROUP BY study_id)"
 SQL["ledger_totals"] = _with(LEDGER, TOTALS, body="SELECT * FROM totals")
+SQL["ledger_file"] = SQL["ledger_totals"]
 SQL["ledger_average"] = _with(LEDGER, TOTALS, body="""SELECT count(*) AS studies, round(avg(input_tokens), 1) AS avg_input_tokens,
   round(avg(output_tokens), 1) AS avg_output_tokens, round(avg(total_tokens), 1) AS avg_total_tokens FROM totals""")
 SQL["ledger_count_only"] = """SELECT role || ' [count_only]' AS stage, count(*) AS calls, sum(length(text))::BIGINT AS input_tokens
@@ -708,6 +720,7 @@ SELECT study_uid, patient_id, exam_date, NULL::VARCHAR AS exam_datetime, locatio
   NULL::DOUBLE AS prob_epidural, NULL::DOUBLE AS prob_intraparenchymal, NULL::DOUBLE AS prob_intraventricular, NULL::DOUBLE AS prob_subarachnoid,
   NULL::DOUBLE AS prob_subdural, NULL::VARCHAR AS series_folder, NULL::VARCHAR AS checkpoint, NULL::VARCHAR AS processed_datetime FROM results""")
 _SCAN_SLICES = SLICES.replace("slices AS (SELECT", "all_slices AS (SELECT")
+SQL["result_export"] = _with(RESULTS, body="SELECT study_uid, exam_date, location, ai_positive, prob_any FROM results")
 SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {_SCAN_SLICES},
 slices AS (SELECT a.* FROM all_slices a JOIN part ON l_partkey = p_partkey
   JOIN routed r ON r.status = 'ready' AND r.study_uid = a.study_uid AND r.series_uid = a.study_uid || '.' || p_type), {STUDY},

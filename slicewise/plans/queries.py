@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise import constants as K
+from slicewise import schemas
 from slicewise.functions import numeric as N
 from slicewise.functions import pixels as P
 from slicewise.functions import sql
@@ -19,8 +20,8 @@ from slicewise.operators import (bayes, encodings, evaluation, geometry, imaging
 from slicewise.operators.ordered import scan
 from slicewise.plans import flows
 from slicewise.plans import inputs as I
-from slicewise.session import durable, table
-from slicewise.sources import documents, tables
+from slicewise.session import durable, fresh_path, table
+from slicewise.sources import documents, files, tables
 from slicewise.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +276,21 @@ def labels_available(spark, sf):
     return labels.positive_ids(wide).intersect(docs)
 
 
+@query
+def labels_inner(spark, sf):
+    """Documents with their labels; those without any are left out."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("ID_"), F.col("doc_id").cast("string")).alias("image_id"))
+    return labels.with_labels(docs, labels.labels_wide(I.labels_long(spark, sf)), "inner").select("image_id", "any", "subdural")
+
+
+@query
+def label_file(spark, sf):
+    """Long labels through CSV files."""
+    path = fresh_path(spark, "labels")
+    I.labels_long(spark, sf).select("ID", "Label").write.csv(path, header=True)
+    return documents.read_labels(spark, path).select("ID", "Label")
+
+
 @query
 def labels_pending(spark, sf):
     """Documents without a label row, and the labels of the others, kept apart by a left join."""
@@ -339,6 +355,15 @@ def spaced_picks(spark, sf):
     return splits.spaced_picks(_indexed(spark, sf), 6)
 
 
+@query
+def vote_file(spark, sf):
+    """Reader votes through CSV files."""
+    path = fresh_path(spark, "votes")
+    I.reads(spark, sf).drop("ord").write.csv(path, header=True)
+    return documents.read_votes(spark, path).select("name", *[
+        F.coalesce(F.col(f"`{r}:{c}`"), F.lit("")).alias(f"{r}_{c}") for r in K.READERS for c in ("ICH", "SDH")])
+
+
 @query
 def votes_majority(spark, sf):
     return labels.votes_majority(I.reads(spark, sf))
@@ -480,6 +505,30 @@ def quarantine(spark, sf):
     return out.select("image_id", "status", "message", F.round(F.get("values", F.lit(0)), 6).alias("first"))
 
 
+@query
+def quarantine_log(spark, sf):
+    """What the good table and the log of a guarded step hold together."""
+    def make():
+        def step(values):
+            if max(values) < 100:
+                raise ValueError("no bright pixel")
+            return np.asarray(values[:2])
+        return step
+    good, bad = fresh_path(spark, "good"), fresh_path(spark, "bad")
+    files.with_quarantine(imaging.guarded(I.blocks(spark, sf), make, "hu"), good, bad)
+    kept = spark.read.parquet(good).select("image_id", F.lit(None).cast("string").alias("reason"), F.round(F.get("values", F.lit(1)), 6).alias("second"))
+    return kept.unionByName(spark.read.parquet(bad).select("image_id", "reason"), allowMissingColumns=True)
+
+
+@query
+def windows_three(spark, sf):
+    """Three windows at half precision from one read."""
+    three = {n: K.WINDOWS[n] for n in ("wide", "medium", "narrow")}
+    b = imaging.windows_once(I.blocks(spark, sf), three)
+    wide = lambda n: F.transform(f"hu_{n}", lambda v: v.cast("double"))
+    return b.select("image_id", *[c for n in three for c in _pixel_digest(b, wide(n), n)])
+
+
 # ---- text ----------------------------------------------------------------------------------
 
 @query
@@ -624,6 +673,18 @@ def ledger_average(spark, sf):
     return ledger.average_per_study(ledger_totals(spark, sf))
 
 
+@query
+def ledger_file(spark, sf):
+    """Calls appended to a CSV ledger in two goes, read back and totalled."""
+    names = [f.split()[0] for f in schemas.LEDGER.split(",")]
+    calls = I.ledger(spark, sf)
+    rows = calls.select(*[F.col(c) if c in calls.columns else F.lit(None).cast("string").alias(c) for c in names])
+    path = fresh_path(spark, "ledger")
+    for part in (0, 1):
+        documents.append_ledger(rows.filter(F.pmod(F.crc32("study_id"), F.lit(2)) == part), path)
+    return ledger.totals_per_study(ledger.with_total(documents.read_ledger(spark, path)))
+
+
 @query
 def ledger_count_only(spark, sf):
     counted = I.ledger(spark, sf).filter(F.col("output_tokens").isNull())
@@ -667,6 +728,15 @@ def results_table(spark, sf):
     return tables.read_results(spark, path)
 
 
+@query
+def result_export(spark, sf):
+    """Results through the JSON export, without the per-slice block."""
+    path = fresh_path(spark, "export")
+    documents.export_results(I.results(spark, sf).withColumn("per_slice_probs", F.array(F.lit(0.5))), path)
+    assert "per_slice_probs" not in spark.read.json(path).columns
+    return spark.read.schema("study_uid STRING, exam_date DATE, location STRING, ai_positive INT, prob_any DOUBLE").json(path)
+
+
 @query
 def tensor_store(spark, sf):
     path = tables.new_store(spark, "tensors")
