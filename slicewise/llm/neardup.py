@@ -13,9 +13,10 @@ and equal registers are as likely as the sets are alike. Steps:
 4. the rest is checked on the full sets: first each node's most alike hub, then, while
    components differ, its other hubs;
 5. buckets whose nodes still fall into several components are compared across
-   components, in blocks of ``BLOCK`` nodes, so that links between nodes that are no
-   hub are found too. A block pair hands on few pairs of two components at first and
-   more each round, until nothing was held back: no link among bucket mates is lost.
+   components, in cells of two blocks of ``BLOCK`` nodes, so that links between nodes that
+   are no hub are found too. A pair counts in the first bucket it shares; likely pairs are
+   checked on full sets where they are, and a cell hands on links only. No link among bucket
+   mates is lost: each pair is checked, too unlike by its estimate, or joined already.
 
 Sets at the threshold share no band with a chance below 1e-4 (0.8) or 1e-6 (0.85).
 
@@ -50,8 +51,6 @@ RATE = 20.0
 TOP = 65534
 SIGMAS = 4.5
 BLOCK = 128
-#: Pairs of two components that a block pair hands on in the first round; eight times more each round.
-FIRST_PAIRS = 4
 #: Words kept with their hash in a task; the store is emptied when it is full.
 MEMO_ENTRIES = 250_000
 
@@ -189,33 +188,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return met.mapInArrow(step, f"x {kind}, y {kind}")
 
 
-def _across(rows: DataFrame, cut: float, most: int) -> DataFrame:
-    """Pairs of different components inside each (bucket, i, j) block pair: (x, y, held).
+def _cross_pairs(cell: np.ndarray, band: np.ndarray, component: np.ndarray, block: np.ndarray, within: np.ndarray, n: np.ndarray,
+                 regs: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of rows sorted by cell: the likely pairs of different components in each cell, likeliest first.
 
-    ``held`` tells that more pairs of the two components would have passed than the
-    ``most`` likeliest that are handed on.
+    ``within`` tells that a cell compares one block with itself; otherwise only pairs
+    across its two blocks count. A pair that shares several buckets counts in the first.
     """
-    kind = rows.schema["node"].dataType.simpleString()
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(start, len(cell)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in np.unique(size[size > 1]):
+        first, second = np.triu_indices(s, 1)
+        of_size = start[size == s]
+        step = max(1, 200_000 // len(first))  # cells at once
+        for k in range(0, len(of_size), step):
+            at = of_size[k:k + step, None]
+            a, b = (at + first).ravel(), (at + second).ravel()
+            keep = (component[a] != component[b]) & (within[a] | (block[a] != block[b]))
+            a, b = a[keep], b[keep]
+            for c in range(0, len(a), 20_000):
+                x, y = a[c:c + 20_000], b[c:c + 20_000]
+                equal = regs[x] == regs[y]
+                # a loose bound on equal registers first; the estimate below is within it
+                near = equal.sum(1) >= (cut - 0.1) * REGISTERS
+                near &= equal.reshape(-1, BANDS, BAND_ROWS).all(2).argmax(1) == band[x]
+                found.append((x[near], y[near]))
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    estimate = likeness(n[a], n[b], (regs[a] > regs[b]).sum(1), (regs[a] < regs[b]).sum(1))
+    a, b, estimate = (v[estimate >= cut] for v in (a, b, estimate))
+    order = np.lexsort((b, a, -estimate, cell[a]))
+    return a[order], b[order]
+
+
+def _across(cells: DataFrame, cut: float, k: int, percent: int) -> DataFrame:
+    """Links (x, y) between components from rows (bucket, i, j, band, block, node, component, n, regs, text).
+
+    Likely pairs of a cell are checked on their full sets, unless links found in the cell
+    have joined their components before; so a cell hands on fewer links than it has rows.
+    """
+    kind = cells.schema["node"].dataType.simpleString()
+    names = ["bucket", "i", "j", "band", "block", "node", "component", "n", "regs", "text"]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(k)
 
-    def step(table: pa.Table) -> pa.Table:
-        node, component, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "block"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        found: dict[tuple, list] = {}
-        for a in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & (component != component[a]))
-            others = others[others > a] if i == j else others
-            if not len(others):
+        def out(table: pa.Table) -> pa.RecordBatch:
+            bucket, i, j, band, block, node, component, n = (table.column(c).to_numpy() for c in names[:-2])
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            cell = np.cumsum(np.append(False, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            a, b = _cross_pairs(cell, band, component, block, i == j, n, regs, cut)
+            text = byte_texts(table.column("text").combine_chunks()) if len(a) else []
+            sets: dict[bytes, np.ndarray] = {}
+            links: list[tuple[int, int]] = []
+            up: dict[int, int] = {}  # joined components of the current cell
+            last = -1
+
+            def members(row: int) -> np.ndarray:
+                if text[row] not in sets:
+                    sets[text[row]] = shingle(text[row])
+                return sets[text[row]]
+
+            def root(c: int) -> int:
+                while (above := up.get(c, c)) != c:
+                    c = above
+                return c
+
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if cell[x] != last:
+                    last = cell[x]
+                    up.clear()
+                c, d = root(component[x]), root(component[y])
+                if c != d and alike(members(x), members(y), percent):
+                    up[max(c, d)] = min(c, d)
+                    links.append((x, y))
+            of = table.schema.field("node").type
+            return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in links], of), pa.array([node[y] for _, y in links], of)], ["x", "y"])
+
+        rest: pa.Table | None = None  # the last cell may go on in the next batch; a cell has few rows
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            if not table.num_rows:
                 continue
-            estimate = likeness(np.full(len(others), n[a]), n[others], (regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1))
-            for b, e in zip(others, estimate, strict=True):
-                if e >= cut:
-                    found.setdefault(tuple(sorted((component[a], component[b]))), []).append((-e, node[a], node[b]))
-        out = [(x, y, len(pairs) > most) for pairs in found.values() for _, x, y in sorted(pairs)[:most]]
-        x, y, held = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"x": pa.array(x, table.schema.field("node").type), "y": pa.array(y, table.schema.field("node").type), "held": pa.array(held, pa.bool_())})
+            bucket, i, j = (table.column(c).to_numpy() for c in names[:3])
+            last = int(np.flatnonzero((bucket == bucket[-1]) & (i == i[-1]) & (j == j[-1]))[0])
+            if last:
+                yield out(table.slice(0, last).combine_chunks())
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield out(rest.combine_chunks())
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(step, f"x {kind}, y {kind}, held boolean")
+    dealt = cells.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(step, f"x {kind}, y {kind}")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +291,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     nodes = durable(rows.filter("key is not null and doc_id is not null").groupBy("key")
                     .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
     band = [F.xxhash64(F.lit(b), F.substring("regs", 1 + 2 * BAND_ROWS * b, 2 * BAND_ROWS)) for b in range(BANDS)]
-    banded = nodes.select("node", F.explode(F.array(*band)).alias("bucket"))
+    banded = nodes.select("node", F.posexplode(F.array(*band)).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")).filter("hub <> last")
     mates = durable(banded.join(shared.select("bucket", "hub", "members"), "bucket"), "mates")
     pairs = mates.filter("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
@@ -251,21 +316,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
         return links, components(links, "x", "y")
 
     links, component = add(differ(candidates, component), links, component)
-    most = FIRST_PAIRS
-    while True:
-        placed = (mates.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-                  .select("bucket", "node", "component", "members"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        cells = (placed.join(split, "bucket").join(nodes.select("node", "n", "regs"), "node")
-                 .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                 .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-        crossing = durable(_across(cells.select("bucket", "i", "j", "block", "node", "component", "n", "regs"), cut, most), "crossing")
-        links, component = add(crossing.select("x", "y").distinct(), links, component)
-        if not crossing.filter("held").limit(1).count():
-            break
-        most *= 8
+    placed = (mates.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+              .select("bucket", "band", "node", "component", "members"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    cells = (placed.join(split, "bucket").join(nodes.select("node", "n", "regs"), "node").join(texts, "node")
+             .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    crossing = durable(_across(cells, cut, k, percent), "crossing")
+    if not crossing.isEmpty():
+        component = components(links.unionAll(crossing), "x", "y")
     by_key = nodes.join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), F.col("doc_id")))
