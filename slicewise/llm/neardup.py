@@ -50,7 +50,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 65534
 SIGMAS = 4.5
-BLOCK = 128
+BLOCK = 512
 #: Words kept with their hash in a task; the store is emptied when it is full.
 MEMO_ENTRIES = 250_000
 
