@@ -1,10 +1,10 @@
 """Quality rules by weak supervision: rules vote or abstain, EM weighs them.
 
 Every rule looks at one figure of the text and votes good (1), bad (-1) or abstains
-(0). Expectation-maximisation over all documents estimates, without labels, how often
-each rule votes what on good and on bad texts. Its sufficient statistic is the count of
-every vote pattern (two or three votes a rule: fewer than 7,000 patterns), so the driver
-never sees documents.
+(0); a rule that cannot tell anything about a text is not asked (2).
+Expectation-maximisation over all documents estimates, without labels, how often each
+rule votes what on good and on bad texts, false alarms included. Its sufficient statistic
+is the count of every vote pattern (a few thousand), so the driver never sees documents.
 The posterior probability of "good" replaces a filter in which all rules must pass.
 
 Defined results: a null text has no words; a text without words gets posterior 0; with
@@ -14,6 +14,7 @@ repeated rows, ties and extra columns change nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ MIN_WORDS = 50
 KEEP_FROM = 0.5
 #: Pseudo-cases of the fit, as a share of all cases.
 PSEUDO = 0.003
-#: A rule calls at most this share of good texts bad: its bounds lie far from prose.
-FALSE_ALARM = 0.01
+#: Expected share of good texts that a rule calls bad, and the weight of that belief as a share of all cases.
+FALSE_ALARM, BELIEF = 0.005, 1.0
 
 #: Fixed values: (figure, good up to, bad from). A rule abstains in between; one without
 #: a "good" bound looks for one kind of junk only and never calls a text good.
@@ -50,12 +51,24 @@ RULES = (
     ("odd_sentence_length", 0.0, 3.0),
 )
 FIGURES = [name for name, _, _ in RULES]
+#: The vote of a rule that has nothing to go by; it weighs nothing.
+NOT_ASKED = 2
+#: Rules on what scripts, languages and kinds of text differ in.
+HABITS = frozenset(("odd_word_length", "odd_sentence_length"))
+#: Figures that are shares of blank-separated words.
+TOKEN_SHARES = frozenset(("letterless_word_share", "repeated_word_share", "stutter_share", "top_word_share", "upper_word_share"))
 #: Texts with fewer words say too little for a vote.
 FEW_WORDS = 20
 #: Usual characters a word and words a sentence.
 WORD_LENGTH = (3.0, 8.0)
 SENTENCE_LENGTH = (2.0, 40.0)
 STOPS = (b".", b"!", b"?")
+#: Sentence ends of other scripts: Indic, CJK, Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan; the ellipsis.
+FAR_STOPS = tuple(c.encode() for c in "।॥。！？｡．؟۔։።፧၊။។៕།…")
+#: Letters of scripts that put no blanks between words, their usual number a word, and the bytes that may begin one.
+LOOSE = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+LOOSE_WORD = 3.0
+LOOSE_LEAD = re.compile(b"[\xe0\xe1\xe3-\xe9\xef\xf0]")
 RUNS = tuple(bytes([c]) * 3 for c in b"#*$%&|<>=~_-")
 
 
@@ -95,37 +108,52 @@ def measure(data: bytes) -> tuple[list[int], list[int]]:
     n = len(words)
     n_symbols = len(data) - len(data.translate(None, SYMBOLS))
     if not n:
-        return [0, 0, n_symbols, 0, 0], [0] * len(RULES)
+        return [0, 0, n_symbols, 0, 0], [NOT_ASKED] * len(RULES)
     chars = code_points(data.translate(None, BLANKS))
     lines = [x for x in data.split(b"\n") if x.strip()]
     n_dup = len(lines) - len(set(lines))
     code = codes(words)
     n_repeat = repeat_words(code)
-    if n < FEW_WORDS:
-        return [n, chars, n_symbols, n_dup, n_repeat], [0] * len(RULES)
-    length, sentence = chars / n, n / max(1, sum(map(data.count, STOPS)))
+    base, full_words, ends = [n, chars, n_symbols, n_dup, n_repeat], float(n), sum(map(data.count, STOPS))
+    if not data.isascii():
+        ends += sum(map(data.count, FAR_STOPS))
+        if LOOSE_LEAD.search(data) and (loose := len(LOOSE.findall(data.decode()))):
+            tied = sum(LOOSE.search(w.decode()) is not None for w in words)
+            full_words, ends = n - tied + loose / LOOSE_WORD, max(ends, tied)  # their blanks end phrases
+    runs, stutters, shouts = sum(map(data.count, RUNS)), int(np.count_nonzero(code[1:] == code[:-1])), data.count(b"!!")
+    if full_words < FEW_WORDS:
+        return base, [NOT_ASKED] * len(RULES)
+    # lines of verse and lists end as sentences do
+    length, sentence = chars / full_words, full_words / max(1, ends, len(lines))
     figures = (
-        n_symbols / n, 1 - len(data.translate(None, NO_LETTERS).split()) / n, sum(map(data.count, RUNS)) / n, n_dup / len(lines),
-        n_repeat / n, float(np.count_nonzero(code[1:] == code[:-1])) / n, float(np.bincount(code).max()) / n, sum(map(bytes.isupper, words)) / n,
-        data.count(b"!!") / n, max(WORD_LENGTH[0] - length, length - WORD_LENGTH[1], 0.0),
+        n_symbols / full_words, 1 - len(data.translate(None, NO_LETTERS).split()) / n, runs / full_words, n_dup / len(lines),
+        n_repeat / n, stutters / n, float(np.bincount(code).max()) / n, sum(map(bytes.isupper, words)) / n,
+        shouts / full_words, max(WORD_LENGTH[0] - length, length - WORD_LENGTH[1], 0.0),
         max(SENTENCE_LENGTH[0] / sentence, sentence / SENTENCE_LENGTH[1], 1.0) - 1)
     votes = [-1 if f >= bad else 1 if good is not None and f <= good else 0
              for f, (_, good, bad) in zip(figures, RULES, strict=True)]
-    return [n, chars, n_symbols, n_dup, n_repeat], votes
+    if n < FEW_WORDS:  # too few tokens for shares of tokens
+        votes = [NOT_ASKED if name in TOKEN_SHARES else v for v, name in zip(votes, FIGURES, strict=True)]
+    return base, votes
 
 
 def pattern_of(votes: list[int]) -> int:
-    """Votes as one number in base 3."""
+    """Votes as one number in base 4."""
     out = 0
     for v in votes:
-        out = out * 3 + v + 1
+        out = out * 4 + v + 1
     return out
 
 
 def votes_of(pattern: np.ndarray) -> np.ndarray:
     """Inverse of :func:`pattern_of`: (patterns, rules) of vote + 1."""
-    powers = 3 ** np.arange(len(RULES) - 1, -1, -1)
-    return pattern[:, None] // powers % 3
+    powers = 4 ** np.arange(len(RULES) - 1, -1, -1)
+    return pattern[:, None] // powers % 4
+
+
+def silent(votes: np.ndarray) -> np.ndarray:
+    """Whether no rule votes in a row of :func:`votes_of`."""
+    return ((votes == 1) | (votes == NOT_ASKED + 1)).all(1)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -148,18 +176,22 @@ def signals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 class Model:
-    """Class prior and, per rule, the chance of each vote on good (0) and bad (1) texts."""
+    """Class prior and, per rule, the chance of each vote on usual good (0), bad (1) and other good (2) texts.
+
+    Other good texts have no junk, but words or sentences of a length of their own.
+    """
 
     def __init__(self) -> None:
-        both = [[0.01, 0.19, 0.8], [0.3, 0.4, 0.3]]  # bad vote, abstain, good vote
-        hunts = [[0.01, 0.99, 1e-9], [0.3, 0.7, 1e-9]]  # of rules that never vote good
-        self.prior = np.array([0.9, 0.1])
-        self.chance = np.array([hunts if good is None else both for _, good, _ in RULES])
+        both = [[0.01, 0.19, 0.8, 1.0], [0.3, 0.4, 0.3, 1.0]]  # bad vote, abstain, good vote, not asked
+        hunts = [[0.01, 0.99, 1e-9, 1.0], [0.3, 0.7, 1e-9, 1.0]]  # of rules that never vote good
+        self.prior = np.array([0.85, 0.1, 0.05])
+        self.chance = np.array([[*rows, [0.5, 0.25, 0.25, 1.0] if name in HABITS else rows[0]]
+                                for name, good, _ in RULES for rows in [hunts if good is None else both]])
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
         """Probability of a good text for each pattern; without any vote it is the prior."""
         votes = votes_of(np.asarray(pattern, np.int64))
-        return np.where((votes == 1).all(1), self.prior[0], self._classes(votes)[:, 0])
+        return np.where(silent(votes), 1 - self.prior[1], 1 - self._classes(votes)[:, 1])
 
     def _classes(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.prior) + sum(np.log(self.chance[j][:, votes[:, j]]).T for j in range(len(RULES)))
@@ -172,22 +204,22 @@ class Model:
 
         Patterns without any vote take no part.
 
-        The share of false alarms is bounded, so that the classes cannot change places
-        and a kind of junk that only one or two rules see is not taken for good text.
+        The false alarms of a rule are estimated as well, with a belief that they are few
+        (none for the habits of other good texts): a source of clean texts that a rule's
+        bounds do not fit may be any share of all.
         """
         votes, count = votes_of(np.asarray(pattern, np.int64)), np.asarray(count, np.float64)
-        count = np.where((votes == 1).all(1), 0.0, count)
-        few = 1 + PSEUDO * count.sum()
+        count = np.where(silent(votes), 0.0, count)
+        few, belief = 1 + PSEUDO * count.sum(), BELIEF * count.sum()
         for _ in range(rounds if len(count) else 0):
             weight = self._classes(votes) * count[:, None]
-            self.prior = (weight.sum(0) + 1) / (weight.sum() + 2)
+            self.prior = (weight.sum(0) + 1) / (weight.sum() + 3)
             for j in range(len(RULES)):
-                sums = np.stack([np.bincount(votes[:, j], weight[:, c], minlength=3) for c in (0, 1)]) + few
-                chance = sums / sums.sum(1, keepdims=True)
-                if chance[0, 0] > FALSE_ALARM:
-                    chance[0, 1:] *= (1 - FALSE_ALARM) / chance[0, 1:].sum()
-                    chance[0, 0] = FALSE_ALARM
-                self.chance[j] = chance
+                sums = np.stack([np.bincount(votes[:, j], weight[:, c], minlength=4)[:3] for c in range(3)]) + few
+                for c in (0,) if FIGURES[j] in HABITS else (0, 2):
+                    share = self.prior[c] / (1 - self.prior[1])
+                    sums[c] += belief * share * np.array([FALSE_ALARM, *((1 - FALSE_ALARM) * sums[c, 1:] / sums[c, 1:].sum())])
+                self.chance[j, :, :3] = sums / sums.sum(1, keepdims=True)
         return self
 
 
@@ -199,14 +231,18 @@ def estimate(signal: DataFrame) -> Model:
 
 def posterior_column(model: Model, pattern: Column, n_words: Column) -> Column:
     """The posterior as a column: prior and vote log odds through the logistic function."""
-    digit = [F.floor(pattern / F.lit(3 ** (len(RULES) - 1 - j))) % 3 for j in range(len(RULES))]
-    odds = F.lit(float(np.log(model.prior[0] / model.prior[1])))
-    for j, d in enumerate(digit):
-        bad, none, good = (float(x) for x in np.log(model.chance[j][0] / model.chance[j][1]))
-        odds = odds + F.when(d == 0, F.lit(bad)).when(d == 1, F.lit(none)).otherwise(F.lit(good))
-    silent = F.lit((3 ** len(RULES) - 1) // 2)
-    return (F.when(n_words == 0, F.lit(0.0)).when(pattern == silent, F.lit(float(model.prior[0])))
-            .otherwise(1 / (1 + F.exp(-odds))))
+    digit = [F.shiftright(pattern, 2 * (len(RULES) - 1 - j)).bitwiseAND(F.lit(3)) for j in range(len(RULES))]
+    sides = []
+    for c in (0, 2):  # both kinds of good texts against bad ones
+        odds = F.lit(float(np.log(model.prior[c] / model.prior[1])))
+        for j, d in enumerate(digit):
+            bad, none, good = (float(x) for x in np.log(model.chance[j][c, :3] / model.chance[j][1, :3]))
+            odds = odds + F.when(d == 0, F.lit(bad)).when(d == 1, F.lit(none)).when(d == 2, F.lit(good)).otherwise(F.lit(0.0))
+        sides.append(F.exp(odds))
+    # votes are even digits: 0 (bad) and 2 (good)
+    voting = F.lit(sum(4 ** j for j in range(len(RULES))))
+    return (F.when(n_words == 0, F.lit(0.0)).when(pattern.bitwiseAND(voting) == voting, F.lit(float(1 - model.prior[1])))
+            .otherwise(1 - 1 / (1 + sides[0] + sides[1])))
 
 
 def judge(signal: DataFrame, model: Model) -> DataFrame:
