@@ -1,7 +1,8 @@
 """Quality rules by weak supervision: rules vote or abstain, EM weighs them.
 
 Every rule looks at one figure of the text and votes good (1), bad (-1) or abstains
-(0); a rule that cannot tell anything about a text is not asked (2).
+(0); a rule that cannot tell anything about a text is not asked (2): only the rules that
+hunt junk are asked about short texts, and only when they call them bad.
 Expectation-maximisation over all documents estimates, without labels, how often each
 rule votes what on good and on bad texts, false alarms included. Its sufficient statistic
 is the count of every vote pattern (a few thousand), so the driver never sees documents.
@@ -57,8 +58,9 @@ NOT_ASKED = 2
 HABITS = frozenset(("odd_word_length", "odd_sentence_length"))
 #: Figures that are shares of blank-separated words.
 TOKEN_SHARES = frozenset(("letterless_word_share", "repeated_word_share", "stutter_share", "top_word_share", "upper_word_share"))
-#: Texts with fewer words say too little for a vote.
-FEW_WORDS = 20
+#: Texts with fewer words are only asked for junk: so many finds make a bad vote there, and repeats count so much.
+FEW_WORDS, FINDS = 20, 2
+SHORT_REPEAT = 5 / 9
 #: Usual characters a word and words a sentence.
 WORD_LENGTH = (3.0, 8.0)
 SENTENCE_LENGTH = (2.0, 40.0)
@@ -122,7 +124,9 @@ def measure(data: bytes) -> tuple[list[int], list[int]]:
             full_words, ends = n - tied + loose / LOOSE_WORD, max(ends, tied)  # their blanks end phrases
     runs, stutters, shouts = sum(map(data.count, RUNS)), int(np.count_nonzero(code[1:] == code[:-1])), data.count(b"!!")
     if full_words < FEW_WORDS:
-        return base, [NOT_ASKED] * len(RULES)
+        finds = {"symbols_per_word": (n_symbols, n), "symbol_run_share": (runs, n), "duplicate_line_share": (n_dup, len(lines)),
+                 "repeated_word_share": (n_repeat * SHORT_REPEAT, n), "stutter_share": (stutters, n), "shouted_word_share": (shouts, n)}
+        return base, [-1 if name in finds and finds[name][0] >= max(FINDS, bad * finds[name][1]) else NOT_ASKED for name, _, bad in RULES]
     # lines of verse and lists end as sentences do
     length, sentence = chars / full_words, full_words / max(1, ends, len(lines))
     figures = (

@@ -56,3 +56,22 @@ def test_clean_source_of_other_habits(labelled, kind, share):
     assert kept(one) > 0.98
     assert kept([t for t, q in labelled if q == 1]) > 0.98
     assert kept([t for t, q in labelled if q == 0 and len(t.split()) >= 20]) < 0.1
+
+
+def test_short_junk_is_rejected(spark, labelled):
+    texts = ["Ourere | ertible | thheedre. |", "dota dota que que", "BUY!! NOW!! CHEAP!! OFFER!!", "go ### to *** it %%% so", "la la la la la la la"]
+    clean = ["A short clean note.", "OK", "R&D plans for May.", "Price: $5", "USA 1990", "Wow!! It works.", "no no, not that one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in labelled] + texts + clean)], "doc_id bigint, text string")
+    kept = {r.text for r in quality.keep_good(docs).collect()}
+    assert not kept & set(texts) and set(clean) <= kept
+
+
+def test_short_junk_of_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    short = [r for r in docs.collect() if 0 < len((r.text or "").split()) < quality.FEW_WORDS]
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    bad = [r.doc_id for r in short if r.quality == 0]
+    good = [r.doc_id for r in short if r.quality == 1]
+    # two of the labelled ones look like any clean text: 'Laèoueau la ment est éailele.', a telephone number
+    assert sum(d not in kept for d in bad) >= len(bad) - 2 and set(good) <= kept
