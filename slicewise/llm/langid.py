@@ -190,12 +190,12 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows whose language is known (and wanted, if ``languages`` is given) and not ambiguous."""
+    """Rows whose language is known (and wanted, if ``languages`` is given), ambiguous ones too."""
     at = docs.columns.index(text)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [model.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([not a and p != UNKNOWN and (languages is None or p in languages) for p, _, a in out], pa.bool_()))
+            yield batch.filter(pa.array([p != UNKNOWN and (languages is None or p in languages) for p, _, _ in out], pa.bool_()))
 
     return docs.mapInArrow(step, docs.schema)

@@ -10,7 +10,8 @@ import numpy as np
 from test_llm_exact import brute_groups, library
 
 import corpus_pipeline
-from slicewise.llm import quality
+from slicewise.llm import langid, quality
+from slicewise.llm.common import id_crc
 from slicewise.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,20 @@ def test_pipeline(spark):
 
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "language id", "near duplicates", "source mix", "byte bpe"]
+
+
+def test_language_stage_keeps_close_languages(spark):
+    """Two labels for one language: every text is ambiguous, none goes but those without letters."""
+    text = "The fox met a hen near the river and they walked on for a while, {}."
+    rows = [(i, text.format(i % 7), ("en", "en-GB")[i % 2]) for i in range(80)] + [(100, "12345 678", "en"), (101, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, id_crc("doc_id") % 5 != 0)
+    assert langid.identify(docs, model).filter("ambiguous and doc_id < 100").count() > 0
+    kept = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(80))
+
+
+def test_language_stage_is_exact(spark):
+    docs = table(spark, SF, "documents")
+    want = Counter(r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or "")))
+    assert Counter(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == want
