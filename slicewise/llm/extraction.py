@@ -2,7 +2,8 @@
 
 A page is read into a tree (open paragraphs, items and cells close where HTML lets them).
 Menus, headers, footers, sidebars, forms, scripts and parts whose class, id or role says
-advert, notice, comments and the like are cut out. Every paragraph then passes points for
+advert, notice, comments and the like are cut out, unless they hold the page's article or
+most of its text. Every paragraph then passes points for
 its length and commas to its ancestors, in full to the parent and less further up, each
 container's sum is discounted by its share of link text, and the best container is kept,
 with those siblings whose points or prose come near. A best container inside an article
@@ -47,19 +48,30 @@ ASIDE = re.compile(
     r"breadcrumbs?|footer|masthead|comments?|comment-list|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|"
     r"subscribe|subscription|paywall|share|sharing|social|related|recommended|recirc|pagination|pager|login|signin|signup|search|toolbar|"
     r"complementary|contentinfo|alert|dialog|widget)(?:$|[\s_-])", re.I)
+#: Class words that tell of a part elsewhere or of a state, not what the element is.
+STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with|without|is|not|hide|show)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible|"
+                   r"hidden|collapsed|expanded|on|off))(?=\s|$)", re.I)
+#: Cut elements without text of the page.
+HARD = frozenset("head title script style template noscript button select textarea iframe svg object canvas audio video input".split())
+#: From these shares of the page's text a part is not cut: alone, or beside an article.
+MOST, MOST_BESIDE = 0.5, 0.8
 _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Share of link text from which a part is a menu.
+LINKED = 0.5
 #: Siblings stay from this share of the best container's points.
 SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "cut", "points")
+    __slots__ = ("name", "parent", "parts", "cut", "points", "marks", "linked")
 
     def __init__(self, name: str, parent: "Node | None", cut: bool) -> None:
         self.name, self.parent, self.cut, self.points = name, parent, cut, 0.0
+        self.marks, self.linked = "", 0.0
         self.parts: list = []
 
 
@@ -98,7 +110,9 @@ def tree(html: str) -> Node:
         if name in CLOSES:
             here = _closed(here, CLOSES[name], LIMIT.get(name, set()))
         marks = " ".join(a or b or c for a, b, c in _MARK.findall(tag))
-        node = Node(name, here, name in CUT or bool(marks and ASIDE.search(marks)) and name not in ("body", "article", "main"))
+        node = Node(name, here, name in CUT or bool(marks and ASIDE.search(STATE.sub("", marks))) and name not in ("body", "article", "main"))
+        kind = _CLASS.search(tag)
+        node.marks = (kind[1] or kind[2] or kind[3] or "").strip() if kind else ""
         here.parts.append(node)
         if name in RAW:
             lower = html.lower() if lower is None else lower
@@ -122,6 +136,46 @@ def _closed(here: Node, names: set[str], limit: set[str]) -> Node:
     return here
 
 
+def _restore(root: Node) -> bool:
+    """Takes back cuts of parts that hold the article or most of the page's text; whether there were any."""
+    weight: dict[int, int] = {}  # characters outside links of a subtree, cut or not
+    holds: set[int] = set()  # subtrees with an article or main element that has text
+    tops: list[Node] = []
+    stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
+    shown = seen = 0  # text outside of cut parts, and in articles there
+    while stack:
+        node, left, cut, article = stack.pop()
+        if node.name in HARD or node.name == "a":
+            continue
+        cut, article = cut or node.cut, article or node.name in ("article", "main")
+        inner = [c for c in node.parts if isinstance(c, Node)]
+        if not left:
+            if node.cut:
+                tops.append(node)
+            stack.append((node, True, cut, article))
+            stack.extend((c, False, cut, article) for c in inner)
+            continue
+        own = sum(len(c.strip()) for c in node.parts if isinstance(c, str))
+        weight[id(node)] = own + sum(weight.get(id(c), 0) for c in inner)
+        if not cut:
+            shown, seen = shown + own, seen + own * article
+        if weight[id(node)] and (node.name in ("article", "main") or any(id(c) in holds for c in inner)):
+            holds.add(id(node))
+    total = weight.get(id(root), 0)
+    found = False
+    for node in sorted(tops, key=lambda n: -weight[id(n)]):  # outer parts before the equal ones that they hold
+        size = weight[id(node)]
+        if not (size > MOST_BESIDE * total or not seen and (size > MOST * total or id(node) in holds and size >= shown)):
+            continue
+        up = node
+        while up is not None:
+            up.cut, up = False, up.parent
+        found = True
+        if size <= MOST_BESIDE * total:  # the next ones depend on what is shown now
+            break
+    return found
+
+
 def blocks(node: Node, done: set[int] = frozenset()) -> list[str]:
     """Text blocks of a subtree in page order, without the cut parts."""
     out: list[str] = []
@@ -195,13 +249,16 @@ def _scored(root: Node) -> list[Node]:
             up = up.parent
     for node in order:
         size, links, _, _ = sizes.get(id(node), (0, 0, 0, 0))
-        node.points *= 1 - links / size if size else 0
+        node.linked = links / size if size else 0.0
+        node.points *= 1 - node.linked if size else 0
     return [n for n in order if n.points > 0]
 
 
 def main_text(html: str) -> str:
     """The article's text."""
     root = tree(html)
+    while _restore(root):
+        pass
     scored = _scored(root)
     if not scored:
         return "\n\n".join(blocks(root))
