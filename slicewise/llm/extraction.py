@@ -266,18 +266,46 @@ def main_text(html: str) -> str:
     up = best
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
-    if up is not None:
+    if up is not None and (up.name == "main" or up.parent is None):
         return "\n\n".join(blocks(up))
     if best.parent is None:
         return "\n\n".join(blocks(best))
-    out: list[str] = []
-    for sibling in best.parent.parts:
-        if isinstance(sibling, Node) and not sibling.cut:
-            text = blocks(sibling)
-            prose = sibling.name in PARAGRAPH and (len("".join(text)) > 80 or sibling.name[0] == "h")
-            if sibling is best or sibling.points >= SIBLING * best.points or prose:
-                out += text
-    return "\n\n".join(out)
+    chosen = up or best
+    parts = [c for c in chosen.parent.parts if isinstance(c, str) or not c.cut]
+    keep = [not isinstance(c, str) and _stays(c, chosen, up is not None) for c in parts]
+    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+    whole = Node("div", None, False)
+    for at, part in enumerate(parts):
+        loose = isinstance(part, str) or part.name not in BLOCK
+        between = first < at < last and (isinstance(part, str) or part.linked < LINKED)
+        # loose text around the best container is the parent's own; around articles only between them
+        if keep[at] or between or loose and up is None and (isinstance(part, str) or part.linked < LINKED):
+            whole.parts.append(part)
+    return "\n\n".join(blocks(whole))
+
+
+def _stays(node: Node, best: Node, articles: bool) -> bool:
+    """Whether a sibling belongs to the best container (or, of an article, is one as well)."""
+    if node is best:
+        return True
+    if articles:
+        return node.name == "article" and node.points > 0 and node.linked < LINKED
+    text = blocks(node)
+    prose = node.name in PARAGRAPH and (len("".join(text)) > 80 or node.name[0] == "h")
+    return node.points >= SIBLING * best.points or prose or (
+        node.name == best.name and node.marks == best.marks and node.linked < LINKED and node.name in BLOCK and _paragraph(node))
+
+
+def _paragraph(node: Node) -> bool:
+    """Whether an uncut paragraph element lies inside."""
+    stack = [node]
+    while stack:
+        for c in stack.pop().parts:
+            if isinstance(c, Node) and not c.cut:
+                if c.name in PARAGRAPH and c.name != "li" and blocks(c):
+                    return True
+                stack.append(c)
+    return False
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -9,6 +9,7 @@ from slicewise.llm.extraction import main_text
 P = "Paragraph {}, with commas, and a fair length so that it counts for something here."
 LONG = "".join(f"<p>{P.format(i)}</p>" for i in range(30))
 WANT = [P.format(i) for i in range(30)]
+SHORT = ["A short section, of one paragraph.", "Another short one, with some words."]
 
 
 @pytest.mark.parametrize("start", [
@@ -25,3 +26,20 @@ def test_comments_beside_an_article_stay_cut():
     replies = "".join(f"<article><p>{P.format(i)}</p></article>" for i in range(20, 40))
     page = f"<body><article>{LONG}</article><div class=comments>{replies}</div><aside><article><p>More, here.</p></article></aside></body>"
     assert main_text(page).split("\n\n") == WANT
+
+
+def test_short_sections():
+    a, b = (f"<div class=section><p>{t}</p></div>" for t in SHORT)
+    big = f"<div class=section>{LONG}</div>"
+    assert main_text(f"<body><div>{a}{big}{b}</div></body>").split("\n\n") == [SHORT[0], *WANT, SHORT[1]]
+    assert main_text(f"<body><nav>n</nav><div>{big}{a}{b}</div></body>").split("\n\n") == [*WANT, *SHORT]
+
+
+def test_siblings_between_and_loose_text():
+    page = f"<body><div><h2>Head</h2><div class=x>{SHORT[0]}</div><div>{LONG}</div>Loose <b>text</b> here.<ul><li><a href=x>link</a></ul><p>{P.format(99)}</p></div></body>"
+    assert main_text(page).split("\n\n") == ["Head", SHORT[0], *WANT, "Loose text here.", P.format(99)]
+
+
+def test_sibling_articles():
+    page = f"<body><nav>n</nav><article><p>{SHORT[0]}</p></article><article>{LONG}</article><article><p>{SHORT[1]}</p></article><footer>f</footer></body>"
+    assert main_text(page).split("\n\n") == [SHORT[0], *WANT, SHORT[1]]
