@@ -54,4 +54,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM rows LEFT JOIN firsts USING (payload_digest)
 """
 
-SQL = {"op1_mixing": OP1, "op7_warc": OP7}
+OP13 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+cut AS (
+  SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM places JOIN (SELECT DISTINCT m FROM windows) ON i + m - 1 <= len(w)),
+held AS (SELECT r, i, cut.m, item FROM cut JOIN windows USING (win)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM held) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT r, item FROM held) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+SQL = {"op1_mixing": OP1, "op7_warc": OP7, "op13_decontamination": OP13}
