@@ -54,6 +54,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM rows LEFT JOIN firsts USING (payload_digest)
 """
 
+OP12 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+flags AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(again, FALSE) AS INT) AS mask
+  FROM texts LEFT JOIN flags USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] AS bits
+  FROM f a JOIN f b ON b.c <> a.c JOIN f d ON d.c NOT IN (a.c, b.c) JOIN f e ON e.c NOT IN (a.c, b.c, d.c)
+  JOIN f g ON g.c NOT IN (a.c, b.c, d.c, e.c)),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+figures AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (mask & CAST(before + bit AS INT) = 0) AS kept,
+         sum(n) FILTER (mask & bit > 0 AND mask & CAST(before AS INT) = 0) AS removed,
+         sum(n) FILTER (mask & bit > 0 AND mask & CAST(before AS INT) > 0) AS redundant,
+         sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & bit > 0 AND mask & CAST(before AS INT) = 0) AS good_lost,
+         sum(toxic) FILTER (mask & bit > 0 AND mask & CAST(before AS INT) = 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM figures
+"""
+
 OP13 = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -81,4 +120,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-SQL = {"op1_mixing": OP1, "op7_warc": OP7, "op13_decontamination": OP13}
+SQL = {"op1_mixing": OP1, "op7_warc": OP7, "op12_filter_audit": OP12, "op13_decontamination": OP13}
