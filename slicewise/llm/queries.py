@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.llm import audit, bpe, decontam, extraction, fingerprints, langid, licenses, maxent, mixing, neardup, quality, warc
+from slicewise.llm import audit, bpe, decontam, extraction, fingerprints, langid, licenses, maxent, mixing, neardup, quality, variants, warc
 from slicewise.llm.common import id_crc
 from slicewise.session import durable, table
 
@@ -68,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, *licenses.train(spark, docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.counted(table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
@@ -78,4 +82,4 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing, op2_lm_scoring, op3_fingerprints, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_warc, op8_near_duplicates, op9_language_id,
-    op10_license_scan, op12_filter_audit, op13_decontamination)}
+    op10_license_scan, op11_spelling_variants, op12_filter_audit, op13_decontamination)}

