@@ -11,41 +11,25 @@ EPS = 1e-10
 OCTAVES = 150
 
 
-def _steps(c: Column, digits: int) -> Column:
-    """``c`` in steps of 10 ** -digits, rounded on its exact binary value, halves to even.
+def _fixed(c: Column, digits: int) -> Column:
+    """Text of a finite double with fixed decimals: its exact binary value, halves to even.
 
-    The product is split (Veltkamp) so that its rounding error is known exactly, and the
-    error decides where the rounded product lies on a half.
+    One built-in call that holds its argument once, so that displayed values can be
+    built on displayed values without the expression growing by powers.
     """
-    scale = 10.0 ** digits
-    product = c * scale
-    big = c * 134217729.0  # 2 ** 27 + 1
-    high = big - (big - c)
-    error = (high * scale - product) + (c - high) * scale
-    floor = F.floor(product).cast("double")
-    off = (product - floor) - 0.5
-    up = (off + error > 0) | ((off + error == 0) & (F.pmod(floor, F.lit(2.0)) == 1))
-    # from 2 ** 52 on there is nothing to round
-    return F.when(F.abs(product) < 4503599627370496.0, F.when(up, floor + 1).otherwise(floor)).otherwise(product)
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def round_even(c: Column, digits: int) -> Column:
     """The double nearest to ``c`` rounded to ``digits`` decimals, on its exact binary value, halves to even."""
-    return F.when(F.abs(c) < F.lit(float("inf")), _steps(c, digits) / 10.0 ** digits).otherwise(c)
+    return F.when(F.abs(c) < F.lit(float("inf")), _fixed(c, digits).cast("double") + F.lit(0.0)).otherwise(c)
 
 
 def decimals(c: Column, digits: int, plus: bool = False) -> Column:
-    """Text with fixed decimals, rounded on the exact binary value, halves to even; ``inf`` and ``nan`` as such.
-
-    For values below 2 ** 52 steps.
-    """
-    steps = _steps(F.abs(c), digits)
-    unit = F.lit(10.0 ** digits)
-    whole = F.floor(steps / unit).cast("bigint")
-    rest = (steps - whole * unit).cast("bigint")
-    shown = whole.cast("string") if digits == 0 else F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    """Text with fixed decimals, rounded on the exact binary value, halves to even; ``inf`` and ``nan`` as such."""
     sign = F.when(c < 0, "-").otherwise("+" if plus else "")
-    return F.when(c.isNull(), None).when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, shown))
+    shown = F.when(F.abs(c) == float("inf"), "inf").otherwise(_fixed(F.abs(c), digits))
+    return F.when(F.isnan(c), "nan").otherwise(F.concat(sign, shown))
 
 
 def sigmoid(c: Column) -> Column:
