@@ -139,7 +139,14 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
     With ``requested`` (study_uid) exactly those studies come back, also the ones
     without any file. ``carry`` names columns of the first header to hand on.
     """
-    groups = scored_series(file_groups(headers).withColumn("series_folder", T.parent_path(F.col("first_path"))), min_slices)
+    return route_groups(file_groups(headers), existing, as_of, days_back, min_slices, requested, carry)
+
+
+def route_groups(groups: DataFrame, existing: DataFrame, as_of: dt.date, days_back: int | None = None,
+                 min_slices: int = K.MIN_SERIES_SLICES, requested: DataFrame | None = None,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`route_studies` from the rows of :func:`file_groups`, wherever these were counted."""
+    groups = scored_series(groups.withColumn("series_folder", T.parent_path(F.col("first_path"))), min_slices)
     able = F.col("readable") & F.col("qualifies")
     studies = groups.groupBy("study_uid").agg(
         F.min_by(F.struct("study_date", "error", "modality", "study_description", *carry), F.col("first_path")).alias("h"),
@@ -162,6 +169,15 @@ def route_studies(headers: DataFrame, existing: DataFrame, as_of: dt.date, days_
     return routed.select("study_uid", "status", "reason", "exam_date", "n_files", *picked, *carry)
 
 
+def with_failures(routed: DataFrame, failures: DataFrame) -> DataFrame:
+    """Outcomes after scoring: a ready study named in ``failures`` (study_uid, reason) ends as ``error`` with that reason."""
+    failed = failures.select("study_uid", F.col("reason").alias("_failure"))
+    broken = (F.col("status") == "ready") & F.col("_failure").isNotNull()
+    return (routed.join(failed, "study_uid", "left")
+            .withColumn("reason", F.when(broken, F.col("_failure")).otherwise(F.col("reason")))
+            .withColumn("status", F.when(broken, F.lit("error")).otherwise(F.col("status"))).drop("_failure"))
+
+
 def scan_counters(routed: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
     """Studies and slices per status, each with its share of all studies."""
     per = routed.groupBy("status").agg(F.count(F.lit(1)).alias("n_studies"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slicewise import constants as K
 from slicewise.functions import text as T
 from slicewise.operators import bayes, evaluation, report, scores, triage
+from slicewise.session import durable
 
 
 def result_rows(scores_: DataFrame, studies: DataFrame, processed: Column, checkpoint: str = "") -> DataFrame:
@@ -42,18 +43,47 @@ def scanned_results(headers: DataFrame, scored_slices: DataFrame, existing: Data
     study's first header, where the headers have them. Studies without a valid exam date
     give no result.
     """
-    carry = tuple(c for c in ("study_date", "study_time", "patient_id", "institutional_department") if c in headers.columns)
-    ready = triage.route_studies(headers, existing, as_of, days_back, min_slices, carry=carry[1:]).filter("status = 'ready'")
+    ready = triage.route_studies(headers, existing, as_of, days_back, min_slices, carry=carried(headers)).filter("status = 'ready'")
+    return ready_results(ready, scored_slices)
+
+
+#: Columns of the first header that a result takes over, where the headers have them.
+CARRIED = ("study_time", "patient_id", "institutional_department")
+
+
+def carried(headers: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in CARRIED if c in headers.columns)
+
+
+def ready_results(ready: DataFrame, scored_slices: DataFrame) -> DataFrame:
+    """Result rows of ready studies (routed rows) from the scores of their chosen series."""
     dated = ready.withColumn("exam_date", F.try_to_date(F.nullif("exam_date", F.lit("")), "yyyy-MM-dd")).filter("exam_date is not null")
     day = F.date_format("exam_date", "yyyyMMdd")
-    told = {"exam_datetime": T.compact_datetime(day, F.col("study_time") if "study_time" in carry else F.lit(""))}
-    if "institutional_department" in carry:
+    told = {"exam_datetime": T.compact_datetime(day, F.col("study_time") if "study_time" in ready.columns else F.lit(""))}
+    if "institutional_department" in ready.columns:
         told["raw_department"] = F.col("institutional_department")
     dated = dated.withColumns(told)
     chosen = scored_slices.join(dated.select("study_uid", "series_uid"), ["study_uid", "series_uid"], "left_semi")
     return result_rows(scores.study_scores(chosen), dated.drop("series_uid", "slice_count"), F.lit(None))
 
 
+def scored_archive(headers: DataFrame, blocks: DataFrame, make_predict, shape: tuple[int, ...], existing: DataFrame, as_of: dt.date,
+                   days_back: int | None = None, min_slices: int = K.MIN_SERIES_SLICES, block: str = "block") -> tuple[DataFrame, DataFrame]:
+    """Archive scan with the scorer in it: (outcomes of all studies, result rows of those without a failure).
+
+    ``blocks`` bring study_uid, series_uid, path and the pixel block; only those of chosen
+    series are scored, once. A block that the scorer refuses, or whose study's headers could
+    not be read, costs its own study only, which ends as ``error`` with the reason.
+    """
+    routed = durable(triage.route_studies(headers, existing, as_of, days_back, min_slices, carry=carried(headers)), "routed")
+    ready = routed.filter("status = 'ready'")
+    chosen = blocks.join(ready.select("study_uid", "series_uid"), ["study_uid", "series_uid"], "left_semi")
+    scored = durable(scores.score_isolated(chosen, make_predict, shape, block).drop(block), "scored")
+    failures = scores.failed_studies(scored)
+    sound = ready.join(failures, "study_uid", "left_anti")
+    return triage.with_failures(routed, failures), ready_results(sound, scored)
+
+
 def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, specificity: float,
              order: tuple[str, ...], stored_prevalence: Column | None = None) -> DataFrame:
     """Batch run: study scores, hot range, assumed prevalence and what it means for each study.

@@ -96,17 +96,41 @@ def scan_slices(spark: SparkSession, sf: str) -> DataFrame:
     return slices(spark, sf).join(part, "l_partkey").withColumn("series_uid", F.concat("study_uid", F.lit("."), F.col("p_type"))).drop("p_type")
 
 
+def scan_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Small pixel blocks of the series they belong to <- lineitem join part; the fixture scorer takes them to the scores of ``slices``."""
+    part = table(spark, sf, "part").select("p_partkey", "p_type")
+    li = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    study = F.col("l_orderkey").cast("string")
+    return li.select(study.alias("study_uid"), F.concat(study, F.lit("."), F.col("p_type")).alias("series_uid"), file_path().alias("path"),
+                     F.array(*[_u(c) for c in K.CLASSES]).alias("block"), "l_partkey", "l_suppkey", "l_linenumber")
+
+
+def cubic_scorer():
+    """Fixture scorer: cubes of the block's values; refuses values out of range as a real one refuses a broken block."""
+    def predict(block):
+        if (block < 0).any():
+            raise ValueError("block out of range")
+        return block * block * block
+    return predict
+
+
+def file_path() -> Column:
+    s = {c: F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
+    return F.concat(s["l_orderkey"], F.lit("/"), F.col("p_type"), F.lit("/"), s["l_linenumber"], F.lit("_"),
+                    s["l_partkey"], F.lit("_"), s["l_suppkey"], F.lit(".dcm"))
+
+
 def headers_of(lineitem: DataFrame, part: DataFrame, scan: bool = False) -> DataFrame:
     """File headers <- lineitem join part."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     part = part.select("p_partkey", "p_type", "p_size")
     j = li.join(part, li.l_partkey == part.p_partkey)
-    s = {c: F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_size")}
+    s = {c: F.col(c).cast("string") for c in ("l_orderkey", "p_size")}
     desc = (F.when(F.col("p_type") == "SMALL", "AXIAL HEAD W/O").when(F.col("p_type") == "LARGE", "CTA HEAD")
             .when(F.col("p_type") == "PROMO", "Brain noncontrast thin").when(F.col("p_type") == "STANDARD", "BONE RECON")
             .when(F.col("p_type") == "ECONOMY", "").otherwise("CHEST"))
     day = F.date_format("l_shipdate", "yyyyMMdd")
-    seen = [F.concat(F.lit("P"), s["l_suppkey"]).alias("patient_id"),
+    seen = [F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("patient_id"),
             F.concat(F.lpad((F.col("l_suppkey") % 24).cast("string"), 2, "0"), F.when(F.col("l_linenumber") == 3, "").otherwise("3015.5"))
             .alias("study_time"),
             F.when(F.col("p_size") % 4 == 0, "Emergency Dept 2").when(F.col("p_size") % 4 == 1, "Neuro ICU")
@@ -114,8 +138,7 @@ def headers_of(lineitem: DataFrame, part: DataFrame, scan: bool = False) -> Data
     return j.select(
         *(seen if scan else []),
         s["l_orderkey"].alias("study_uid"), F.concat(s["l_orderkey"], F.lit("."), F.col("p_type")).alias("series_uid"),
-        F.concat(s["l_orderkey"], F.lit("/"), F.col("p_type"), F.lit("/"), s["l_linenumber"], F.lit("_"),
-                 s["l_partkey"], F.lit("_"), s["l_suppkey"], F.lit(".dcm")).alias("path"),
+        file_path().alias("path"),
         F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7), "MR").otherwise("CT").alias("modality"),
         desc.alias("series_description"), desc.alias("study_description"),
         F.when(F.col("p_size") % 9 == 0, "x").otherwise(s["p_size"]).alias("slice_thickness"),

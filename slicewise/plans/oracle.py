@@ -721,7 +721,8 @@ SELECT study_uid, patient_id, exam_date, NULL::VARCHAR AS exam_datetime, locatio
   NULL::DOUBLE AS prob_subdural, NULL::VARCHAR AS series_folder, NULL::VARCHAR AS checkpoint, NULL::VARCHAR AS processed_datetime FROM results""")
 _SCAN_SLICES = SLICES.replace("slices AS (SELECT", "all_slices AS (SELECT")
 SQL["result_export"] = _with(RESULTS, body="SELECT study_uid, exam_date, location, ai_positive, prob_any FROM results")
-SQL["archive_scan"] = f"""WITH {ALL_ROUTED}, {_SCAN_SLICES},
+def _archive(routed: str, sound: str = "TRUE") -> str:
+    return f"""WITH {routed}, {_SCAN_SLICES},
 slices AS (SELECT a.* FROM all_slices a JOIN part ON l_partkey = p_partkey
   JOIN routed r ON r.status = 'ready' AND r.study_uid = a.study_uid AND r.series_uid = a.study_uid || '.' || p_type), {STUDY},
 about AS (SELECT CAST(l_orderkey AS VARCHAR) AS study_uid, arg_min('P' || l_suppkey, path) AS patient_id,
@@ -734,7 +735,22 @@ SELECT study_uid, patient_id, TRY_CAST(exam_date AS DATE) AS exam_date,
   {_location('raw_department')} AS location, raw_department, overall_positive::INT AS ai_positive, dominant_class,
   {', '.join(f'prob_{c}' for c in CLASSES)}, series_folder, '' AS checkpoint, NULL::VARCHAR AS processed_datetime
   FROM scored JOIN (SELECT * FROM routed WHERE status = 'ready' AND TRY_CAST(exam_date AS DATE) IS NOT NULL) USING (study_uid)
-  JOIN about USING (study_uid)"""
+  JOIN about USING (study_uid) WHERE {sound}"""
+
+SQL["archive_scan"] = SQL["stream_scan"] = _archive(ALL_ROUTED)
+# the archive with planted failures: unreadable headers, blocks that the scorer refuses
+_BROKEN = ", ".join([
+    HEADERS.replace("CASE WHEN l_linenumber = 5", "CASE WHEN l_suppkey % 13 = 0 AND l_linenumber < 3 THEN 'x' ELSE '' END AS error, CASE WHEN l_linenumber = 5"),
+    PROCESSED, SERIES.replace("FROM headers GROUP", "FROM headers WHERE error = '' GROUP"), CHOSEN,
+    ROUTED.replace("count(*) AS n_files,", "count(*) AS n_files, arg_min(error, path) AS error,")
+    .replace("CASE WHEN modality <> 'CT'", "CASE WHEN error <> '' THEN 'header_read_error' WHEN modality <> 'CT'"),
+    """failed AS (SELECT DISTINCT r.study_uid FROM routed r JOIN lineitem ON r.study_uid = CAST(l_orderkey AS VARCHAR) JOIN part ON l_partkey = p_partkey
+  WHERE r.status = 'ready' AND r.series_uid = r.study_uid || '.' || p_type AND l_partkey % 41 = 0 AND l_linenumber = 2),
+outcomes AS (SELECT r.* REPLACE (CASE WHEN f.study_uid IS NULL THEN status ELSE 'error' END AS status,
+  CASE WHEN f.study_uid IS NULL THEN reason ELSE 'block out of range' END AS reason) FROM routed r LEFT JOIN failed f USING (study_uid))"""])
+SQL["archive_scored"] = _archive(_BROKEN, "study_uid NOT IN (SELECT study_uid FROM failed)")
+SQL["archive_outcomes"] = f"WITH {_BROKEN} SELECT study_uid, status, reason, exam_date, n_files, series_uid, slice_count FROM outcomes"
+SQL["archive_outcome_counters"] = SQL["scan_counters"].replace(ALL_ROUTED, _BROKEN).replace("FROM routed GROUP", "FROM outcomes GROUP")
 BATCH = f"""manifest AS (SELECT study_uid, CASE WHEN study_positive THEN 'positive' ELSE 'negative' END AS grp,
   CASE WHEN dominant_class <> '' THEN dominant_class WHEN study_positive THEN 'positive' ELSE 'negative' END AS k FROM study_labels),
 wanted AS (SELECT study_uid, grp, CASE {_cases('k', K.CLASS_INDICATIONS)} ELSE {_q(K.DEFAULT_INDICATION)} END AS indication,

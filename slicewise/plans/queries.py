@@ -23,6 +23,7 @@ from slicewise.plans import inputs as I
 from slicewise.session import durable, fresh_path, table
 from slicewise.sources import documents, files, tables
 from slicewise.streaming import jobs
+from slicewise.streaming import scan as archive_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -784,6 +785,47 @@ def archive_scan(spark, sf):
                                  TRIAGE_DAYS, min_slices=2)
 
 
+@query
+def stream_scan(spark, sf):
+    """The archive scan from files that arrive in parts, scored in the stream, with a restart in between."""
+    lineitem = table(spark, sf, "lineitem")
+    cut = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(3))
+    parts = [lineitem.filter(cut == i) for i in range(3)]
+
+    def source(folder):
+        stream = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+        return I.headers_of(stream, table(spark, sf, "part"), scan=True)
+
+    return archive_stream.run_scan(spark, parts, source, I.scan_blocks(spark, sf), lambda: I.cubic_scorer(), (len(K.CLASSES),),
+                         I.processed(spark, sf), TRIAGE_AS_OF, TRIAGE_DAYS, 2)
+
+
+def _broken_archive(spark, sf):
+    """The archive with planted failures: files without a readable header, blocks that the scorer refuses."""
+    unreadable = (F.col("_supp") % 13 == 0) & (F.col("_line") < 3)
+    parts = F.split(F.regexp_extract("path", "([^/]*)[.]dcm$", 1), "_")
+    heads = I.scan_headers(spark, sf).withColumns({"_line": F.get(parts, F.lit(0)).cast("int"), "_supp": F.get(parts, F.lit(2)).cast("int")})
+    heads = heads.withColumn("error", F.when(unreadable, "not an image file")).drop("_line", "_supp")
+    bad = (F.col("l_partkey") % 41 == 0) & (F.col("l_linenumber") == 2)
+    blocks = I.scan_blocks(spark, sf).withColumn("block", F.when(bad, F.transform("block", lambda v: v - 2.0)).otherwise(F.col("block")))
+    return flows.scored_archive(heads, blocks, lambda: I.cubic_scorer(), (len(K.CLASSES),), I.processed(spark, sf), TRIAGE_AS_OF, TRIAGE_DAYS, 2)
+
+
+@query
+def archive_outcomes(spark, sf):
+    return _broken_archive(spark, sf)[0].select("study_uid", "status", "reason", "exam_date", "n_files", "series_uid", "slice_count")
+
+
+@query
+def archive_outcome_counters(spark, sf):
+    return triage.scan_counters(_broken_archive(spark, sf)[0])
+
+
+@query
+def archive_scored(spark, sf):
+    return _broken_archive(spark, sf)[1]
+
+
 @query
 def stream_results(spark, sf):
     return jobs.run_results_stream(spark, sf)

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slicewise.operators import triage, worklist
+from slicewise.operators import worklist
 from slicewise.plans import inputs as I
 from slicewise.session import fresh_path, table
 from slicewise.sources import documents, tables
+from slicewise.streaming import scan
+from slicewise.streaming.scan import append as _append
 
 SCAN_CHUNK = 256  # files per trigger
 DRAIN = {"availableNow": True}
@@ -100,12 +102,6 @@ def run_dedupe_stream(spark: SparkSession, sf: str, trigger: dict = DRAIN) -> Da
     return spark.read.parquet(path).select("study_uid", F.col("arrived").cast("timestamp_ntz").alias("arrived"))
 
 
-def _append(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Keep a micro-batch as one partition; a repeated batch writes the same one again."""
-    (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path))
-
-
 def _kept(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
     """The kept micro-batches up to this one, with their number as ``load``."""
     schema = T.StructType([*batch.schema.fields, T.StructField("load", T.LongType())])
@@ -114,30 +110,22 @@ def _kept(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
 
 def triage_stream(headers: DataFrame, existing: DataFrame, visited_path: str, state_path: str, as_of: dt.date,
                   days_back: int | None, min_slices: int, dry_run: bool = False):
-    """Route the studies of every micro-batch from all their headers so far.
+    """Route the studies of every micro-batch from all their files so far.
 
-    Files of a study may come in any number of micro-batches: headers are kept, and a
-    study is routed anew whenever files of it arrive. Outcomes are kept per batch beside
-    the headers; :func:`visited_studies` has the last one of each study. Studies that an
-    earlier scan has logged under ``visited_path`` are skipped. A dry run leaves nothing.
+    Files of a study may come in any number of micro-batches: the series seen so far are
+    keyed state (:mod:`slicewise.streaming.scan`), and a study is routed anew whenever files of
+    it arrive. Outcomes are kept per batch; :func:`visited_studies` has the last one of
+    each study. Studies that an earlier scan has logged under ``visited_path`` are skipped.
+    A dry run leaves nothing.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = tables.read_visited(spark, visited_path).select(F.col("study_folder").alias("study_uid"))
-        batch = batch.join(seen, "study_uid", "left_anti")
-        if dry_run:
-            return
-        _append(batch, batch_id, f"{state_path}/headers")
-        kept = _kept(batch, batch_id, f"{state_path}/headers")
-        touched = kept.filter(F.col("load") == batch_id).select("study_uid").distinct()
-        routed = triage.route_studies(kept.drop("load").join(touched, "study_uid", "left_semi"), existing, as_of, days_back, min_slices)
-        _append(routed.select(F.col("study_uid").alias("study_folder"), "status"), batch_id, f"{state_path}/outcomes")
-    return headers.writeStream.foreachBatch(write)
+    if dry_run:
+        return headers.writeStream.foreachBatch(lambda batch, batch_id: None)
+    return scan.triage_writer(headers, existing, visited_path, state_path, as_of, days_back, min_slices)
 
 
 def visited_studies(spark: SparkSession, visited_path: str, state_path: str) -> DataFrame:
     """(study_folder, status): what earlier scans logged, and the last outcome of every study of the stream."""
-    outcomes = tables.stored(spark, f"{state_path}/outcomes", tables.VISITED + ", load BIGINT")
+    outcomes = tables.stored(spark, f"{state_path}/outcomes", scan.OUTCOMES).drop("reason")
     return tables.read_visited(spark, visited_path).unionByName(tables.latest(outcomes, ["study_folder"]))
 
 
