@@ -51,3 +51,56 @@ def descend(table: DataFrame, gradient: Gradient, weights: np.ndarray, rounds: i
         squares += total * total
         weights = (weights - rate * total / np.sqrt(squares)).astype(np.float32)
     return weights
+
+
+Fit = Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, float, float]]
+
+
+def fit_kept(table: DataFrame, fit: Fit, starts: list[np.ndarray], rounds: int, rate: float, pull: np.ndarray) -> np.ndarray:
+    """Adagrad from the best of ``starts``, stopped at the round that rows kept back like best.
+
+    ``fit(batch, weights)`` returns the gradient and the number of the cases to fit, and the
+    log-likelihood of the cases kept back. The weights are drawn back to their start
+    by ``pull`` (a number of cases for each weight), which is a Gaussian prior whose weight
+    falls with the corpus. The start itself counts as a round, so that the result is never
+    worse on the kept cases than where it began. An empty table gives the first start.
+    """
+    def summed(weights: list[np.ndarray], gradient: bool) -> tuple[np.ndarray, float, list[float]]:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+            total, cases, kept = np.zeros(weights[0].shape, np.float64), 0.0, np.zeros(len(weights))
+            for batch in batches:
+                for i, w in enumerate(weights):
+                    g, n, k = fit(batch, w)
+                    kept[i] += k
+                    if gradient:
+                        total += g
+                        cases += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([cases], pa.float64()), pa.array([kept.tobytes()], pa.binary()),
+                 pa.array([total.astype(np.float32).tobytes() if gradient else b""], pa.binary())], ["part", "cases", "kept", "gradient"])
+
+        parts = sorted(table.mapInArrow(step, "part int, cases double, kept binary, gradient binary").collect())
+        total = np.zeros(weights[0].shape, np.float64)
+        for p in parts:
+            if gradient:
+                total += np.frombuffer(p.gradient, np.float32).reshape(total.shape)
+        return total, sum(p.cases for p in parts), list(sum((np.frombuffer(p.kept) for p in parts), np.zeros(len(weights))))
+
+    starts = [w.astype(np.float32) for w in starts]
+    _, _, liked = summed(starts, False)
+    start = weights = starts[int(np.argmax(liked))]
+    best, best_liked = start, -np.inf
+    squares = np.full(start.shape, 1e-8, np.float64)
+    for _ in range(rounds + 1):
+        total, cases, (now,) = summed([weights], True)
+        if now > best_liked:
+            best, best_liked = weights, now
+        elif now < best_liked:
+            break
+        if not cases:
+            break
+        total = (total + pull * (weights - start)) / cases
+        squares += total * total
+        weights = (weights - rate * total / np.sqrt(squares)).astype(np.float32)
+    return best

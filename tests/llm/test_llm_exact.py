@@ -66,11 +66,19 @@ def test_language_model(spark, documents):
     assert sum(got[d].score for d in unseen) > sum(got[d].base_score for d in unseen)
 
 
+def test_language_model_gains_on_unseen_texts(spark):
+    """Better than the base by a margin a token, more so on the larger corpus."""
+    for sf, margin in ((SF, 0.01), ("/root/testdata/sf0.01", 0.06)):
+        unseen = [r for r in QUERIES["op2_lm_scoring"](spark, sf).collect() if r.held_out]
+        assert sum(r.score - r.base_score for r in unseen) > margin * sum(r.n_tokens for r in unseen)
+
+
 def test_language_model_is_normalised(spark, documents):
     """In any context the probabilities of all known words and of one unknown word a slot sum to one."""
     texts = table(spark, SF, "documents").select("text")
-    counts = maxent.word_counts(texts)
-    model = maxent.train(texts, counts)
+    seen = maxent.first_pass(texts)
+    counts = maxent.word_counts(seen)
+    model = maxent.train(texts, seen, counts)
     first, second, slot_log = model.tables()
     per_slot = defaultdict(list)
     for r in counts.collect():
