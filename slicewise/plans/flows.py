@@ -12,6 +12,7 @@ from slicewise import constants as K
 from slicewise.functions import text as T
 from slicewise.operators import bayes, evaluation, report, scores, triage
 from slicewise.session import durable
+from slicewise.sources import files as read_files
 
 
 def result_rows(scores_: DataFrame, studies: DataFrame, processed: Column, checkpoint: str = "") -> DataFrame:
@@ -84,6 +85,33 @@ def scored_archive(headers: DataFrame, blocks: DataFrame, make_predict, shape: t
     return triage.with_failures(routed, failures), ready_results(sound, scored)
 
 
+def staged_scan(files: DataFrame, decode, existing: DataFrame, as_of: dt.date, days_back: int | None = None,
+                min_slices: int = K.MIN_SERIES_SLICES, **reading) -> tuple[DataFrame, DataFrame]:
+    """Triage that opens one file a study first, and the others only of studies that pass: (routed, headers read).
+
+    ``files`` is a listing (path). Studies are their folders, so that a study whose first
+    file cannot be read is rejected as itself; ``study_uid`` is what its first header says.
+    Every header carries ``stage`` (1 or 2) and ``bytes_read``.
+    """
+    placed = durable(read_files.file_studies(files.select("path")), "listing")
+    spread = placed.groupBy("study_folder").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_files"))
+    first = durable(read_files.read_heads(spread, decode, **reading).withColumn("stage", F.lit(1)), "first-heads")
+    uid = F.nullif(F.col("study_uid"), F.lit(""))
+    known = (first.select("study_folder", uid.alias("study_uid")).join(existing.select("study_uid").distinct(), "study_uid", "left_semi")
+             .select(F.col("study_folder").alias("study_uid")))
+    by_folder = first.withColumn("study_uid", F.col("study_folder")).drop("study_folder", "bytes_read", "stage")
+    early = triage.route_studies(by_folder, known, as_of, days_back, min_slices=1)
+    # the first file alone tells rejection, date and repetition; the choice of a series needs the others
+    open_ = early.filter(F.col("status").isin("ready", "no_ncct_series")).select(F.col("study_uid").alias("study_folder"))
+    rest = placed.join(open_, "study_folder", "left_semi").join(first.select("path"), "path", "left_anti")
+    second = durable(read_files.read_heads(rest.repartition("path"), decode, **reading).withColumn("stage", F.lit(2)), "other-heads")
+    headers = first.unionByName(second)
+    all_by_folder = headers.withColumn("study_uid", F.col("study_folder")).drop("study_folder", "bytes_read", "stage")
+    routed = (triage.route_studies(all_by_folder, known, as_of, days_back, min_slices).drop("n_files")
+              .withColumnRenamed("study_uid", "study_folder").join(spread.select("study_folder", "n_files"), "study_folder"))
+    return routed.join(first.select("study_folder", uid.alias("study_uid")), "study_folder"), headers
+
+
 def screened(slices: DataFrame, indications: DataFrame, sensitivity: float, specificity: float,
              order: tuple[str, ...], stored_prevalence: Column | None = None) -> DataFrame:
     """Batch run: study scores, hot range, assumed prevalence and what it means for each study.

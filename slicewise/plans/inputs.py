@@ -105,6 +105,51 @@ def scan_blocks(spark: SparkSession, sf: str) -> DataFrame:
                      F.array(*[_u(c) for c in K.CLASSES]).alias("block"), "l_partkey", "l_suppkey", "l_linenumber")
 
 
+def image_files(spark: SparkSession, sf: str, folder: str) -> int:
+    """Writes one small image file an order: customers are studies, priorities series, every 29th file is broken.
+
+    A file is a JSON header, a zero byte and as much again as stands for pixels.
+    """
+    size = F.col("o_orderkey") % 40
+    desc = (F.when(size % 4 == 0, "AXIAL HEAD W/O").when(size % 4 == 1, "Brain noncontrast thin").when(size % 4 == 2, "CTA HEAD").otherwise(""))
+    head = F.struct(
+        F.col("o_custkey").cast("string").alias("study_uid"), series_of().alias("series_uid"), F.when(size == 7, "MR").otherwise("CT").alias("modality"),
+        desc.alias("series_description"), F.when(F.col("o_custkey") % 9 == 0, "CT CHEST").otherwise("").alias("study_description"),
+        size.cast("string").alias("slice_thickness"), F.array(F.when(size % 11 == 0, "DERIVED").otherwise("ORIGINAL")).alias("image_type"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("study_date"))
+    body = F.when(F.col("o_orderkey") % 29 == 0, "no header here").otherwise(F.to_json(head))
+    path = F.concat(F.lit(folder + "/"), F.col("o_custkey").cast("string"), F.lit("/"), series_of(), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".dcm"))
+
+    def write(batches):
+        from slicewise.sources.files import store_of
+        for pdf in batches:
+            for path, body in zip(pdf["path"], pdf["body"], strict=True):
+                store, inside = store_of(path)
+                store.create_dir(inside.rpartition("/")[0])
+                with store.open_output_stream(inside) as f:
+                    f.write(body.encode() + b"\0" + b"p" * 5000)
+            yield pdf[["path"]]
+
+    rows = table(spark, sf, "orders").select(path.alias("path"), body.alias("body"))
+    return rows.repartition(16).mapInPandas(write, "path string").count()
+
+
+def known_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Studies of :func:`image_files` that are in the store already."""
+    return table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("study_uid"))
+
+
+def series_of() -> Column:
+    return F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1))
+
+
+def json_head(data: bytes) -> dict | None:
+    """Decoder of :func:`image_files`."""
+    import json
+    head, end, _ = data.partition(b"\0")
+    return json.loads(head) if end else None
+
+
 def cubic_scorer():
     """Fixture scorer: cubes of the block's values; refuses values out of range as a real one refuses a broken block."""
     def predict(block):

@@ -751,6 +751,39 @@ outcomes AS (SELECT r.* REPLACE (CASE WHEN f.study_uid IS NULL THEN status ELSE
 SQL["archive_scored"] = _archive(_BROKEN, "study_uid NOT IN (SELECT study_uid FROM failed)")
 SQL["archive_outcomes"] = f"WITH {_BROKEN} SELECT study_uid, status, reason, exam_date, n_files, series_uid, slice_count FROM outcomes"
 SQL["archive_outcome_counters"] = SQL["scan_counters"].replace(ALL_ROUTED, _BROKEN).replace("FROM routed GROUP", "FROM outcomes GROUP")
+# image files written out of orders
+_FILES = f"""sized AS (SELECT *, o_orderkey % 40 AS size, 's' || substr(o_orderpriority, 1, 1) AS series FROM orders),
+listed AS (SELECT *, CASE WHEN count(DISTINCT series) OVER (PARTITION BY o_custkey) >= 2 THEN CAST(o_custkey AS VARCHAR)
+    ELSE o_custkey || '/' || series END AS study_folder, o_custkey || '/' || series || '/' || o_orderkey || '.dcm' AS path,
+  o_orderkey % 29 = 0 AS broken, CASE WHEN size = 7 THEN 'MR' ELSE 'CT' END AS modality,
+  CASE size % 4 WHEN 0 THEN 'AXIAL HEAD W/O' WHEN 1 THEN 'Brain noncontrast thin' WHEN 2 THEN 'CTA HEAD' ELSE '' END AS series_description,
+  size::DOUBLE AS thickness, size % 11 = 0 AS derived FROM sized),
+placed AS (SELECT *, row_number() OVER (PARTITION BY study_folder ORDER BY path) AS rn, count(*) OVER (PARTITION BY study_folder) AS n_files FROM listed),
+firsts AS (SELECT study_folder, n_files, CASE WHEN NOT broken THEN CAST(o_custkey AS VARCHAR) END AS study_uid,
+  CASE WHEN broken THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS exam_date,
+  CASE WHEN broken THEN 'header_read_error' WHEN modality <> 'CT' THEN 'wrong_modality_' || modality
+    WHEN o_custkey % 9 = 0 THEN 'non_head_desc' ELSE '' END AS reason FROM placed WHERE rn = 1),
+early AS (SELECT *, CASE WHEN reason <> '' THEN 'not_head_ct' WHEN exam_date < CAST(DATE '2001-12-31' - 2000 AS VARCHAR) THEN 'date_filtered'
+  WHEN study_uid IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 7 = 0) THEN 'already_processed' END AS early FROM firsts),
+groups AS (SELECT study_folder, series AS series_uid, count(*) AS slice_count, min(path) AS first_path, arg_min(modality, path) AS modality,
+  arg_min(series_description, path) AS series_description, arg_min(thickness, path) AS thickness, arg_min(derived, path) AS derived
+  FROM placed WHERE NOT broken GROUP BY ALL),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY study_folder ORDER BY score DESC, thickness, first_path) AS pick FROM (
+  SELECT *, {_score('series_description')} AS score FROM groups WHERE modality = 'CT' AND NOT derived AND slice_count >= 2)
+  WHERE score > 0 OR series_description = ''),
+staged AS (SELECT e.*, coalesce(early, CASE WHEN c.study_folder IS NULL THEN 'no_ncct_series' ELSE 'ready' END) AS status,
+  CASE WHEN early IS NULL THEN c.series_uid END AS series_uid, CASE WHEN early IS NULL THEN c.slice_count END AS slice_count
+  FROM early e LEFT JOIN (SELECT * FROM chosen WHERE pick = 1) c USING (study_folder))"""
+SQL["staged_scan"] = f"WITH {_FILES} SELECT study_folder, study_uid, status, reason, exam_date, n_files, series_uid, slice_count FROM staged"
+SQL["staged_headers"] = f"""WITH {_FILES} SELECT path, CASE WHEN rn = 1 THEN 1 ELSE 2 END::INT AS stage, CASE WHEN NOT broken THEN CAST(o_custkey AS VARCHAR) END AS study_uid,
+  CASE WHEN NOT broken THEN modality END AS modality, CASE WHEN NOT broken THEN strftime(o_orderdate, '%Y%m%d') END AS study_date, broken AS unreadable
+  FROM placed JOIN early USING (study_folder) WHERE rn = 1 OR early IS NULL"""
+# a file is its header, a zero byte and 5000 bytes
+SQL["file_listing"] = f"""WITH {_FILES} SELECT study_folder, count(*) AS n_files, sum(5001 + CASE WHEN broken THEN 14 ELSE length(
+  '{{"study_uid":"' || o_custkey || '","series_uid":"' || series || '","modality":"' || modality || '","series_description":"' || series_description
+  || '","study_description":"' || CASE WHEN o_custkey % 9 = 0 THEN 'CT CHEST' ELSE '' END || '","slice_thickness":"' || size || '","image_type":["'
+  || CASE WHEN derived THEN 'DERIVED' ELSE 'ORIGINAL' END || '"],"study_date":"' || strftime(o_orderdate, '%Y%m%d') || '"}}') END)::BIGINT AS n_bytes
+  FROM placed GROUP BY study_folder"""
 BATCH = f"""manifest AS (SELECT study_uid, CASE WHEN study_positive THEN 'positive' ELSE 'negative' END AS grp,
   CASE WHEN dominant_class <> '' THEN dominant_class WHEN study_positive THEN 'positive' ELSE 'negative' END AS k FROM study_labels),
 wanted AS (SELECT study_uid, grp, CASE {_cases('k', K.CLASS_INDICATIONS)} ELSE {_q(K.DEFAULT_INDICATION)} END AS indication,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise import schemas
+from slicewise.functions.text import parent_path
 from slicewise.session import durable
 
+
 def _files(spark: SparkSession, root: str, any_case: bool) -> DataFrame:
     glob = "*.[dD][cC][mM]" if any_case else "*.dcm"
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -44,25 +47,91 @@ def read_headers(spark: SparkSession, root: str, decode: Callable[[bytes], dict]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    head = decode(content)
-                    row = {n: str(head.get(n, "") or "") for n in names if n not in ("path", "image_type", "error")}
-                    row["image_type"] = [str(v) for v in head.get("image_type", [])]
-                    row["series_uid"] = row["series_uid"] or "unknown"
-                    row["error"] = None
-                except Exception as exc:  # recorded, never raised: one bad file must not stop the scan
-                    row = {n: None for n in names}
-                    row["error"] = str(exc) or type(exc).__name__
-                row["path"] = path
-                rows.append(row)
+            rows = [_header_row(names, path, lambda c=content: decode(c)) for path, content in zip(pdf["path"], pdf["content"])]
             yield pd.DataFrame(rows, columns=names)
 
     headers = files.mapInPandas(run, spec)
     return headers if keep_errors else headers.filter(F.col("error").isNull())
 
 
+def _header_row(names: list[str], path: str, decoded: Callable[[], dict]) -> dict:
+    try:
+        head = decoded()
+        row = {n: str(head.get(n, "") or "") for n in names if n not in ("path", "image_type", "error")}
+        row["image_type"] = [str(v) for v in head.get("image_type", [])]
+        row["series_uid"] = row["series_uid"] or "unknown"
+        row["error"] = None
+    except Exception as exc:  # recorded, never raised: one bad file must not stop the scan
+        row = {n: None for n in names}
+        row["error"] = str(exc) or type(exc).__name__
+    return row | {"path": path}
+
+
+def open_anywhere(path: str) -> BinaryIO:
+    """A file of any store that Arrow knows by its address; a plain path is local."""
+    store, inside = store_of(path)
+    return store.open_input_file(inside)
+
+
+def store_of(path: str):
+    """The Arrow file system of a path as Spark lists it, and the path inside."""
+    from pyarrow import fs
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path[len("file:"):]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+#: Leading bytes of a file that are read first.
+HEAD_BYTES = 4096
+
+
+def file_studies(files: DataFrame) -> DataFrame:
+    """Adds ``study_folder`` to a file listing, by the rule of :func:`triage.study_folders`."""
+    placed = files.withColumn("_dir", parent_path(F.col("path")))
+    dirs = placed.select("_dir").distinct().withColumn("_parent", parent_path(F.col("_dir")))
+    counts = dirs.groupBy("_parent").agg(F.count(F.lit(1)).alias("_n"))
+    named = dirs.join(counts, "_parent").select("_dir", F.when(F.col("_n") >= 2, F.col("_parent")).otherwise(F.col("_dir")).alias("study_folder"))
+    return placed.join(named, "_dir").drop("_dir")
+
+
+def read_heads(files: DataFrame, decode: Callable[[bytes], dict | None], opener: Callable[[str], BinaryIO] = open_anywhere,
+               head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """Header rows of (study_folder, path) from the leading bytes of each file, with ``bytes_read``.
+
+    ``decode`` returns None where the header goes on beyond the bytes it was given; it then
+    gets four times as many. A file that cannot be read or decoded keeps its study: its row has the folder, the
+    path and ``error``. Contents beyond the header are never fetched.
+    """
+    names = T.StructType.fromDDL(schemas.HEADERS).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for folder, path in zip(pdf["study_folder"], pdf["path"], strict=True):
+                fetched = 0
+
+                def decoded(path: str = path) -> dict:
+                    nonlocal fetched
+                    wanted, data = head_bytes, b""
+                    with opener(path) as f:
+                        while True:
+                            more = f.read(wanted - len(data))
+                            data += more
+                            fetched = len(data)
+                            head = decode(data)
+                            if head is not None:
+                                return head
+                            if not more:
+                                raise ValueError("header without an end")
+                            wanted *= 4
+
+                row = _header_row(names, path, decoded)
+                rows.append(row | {"study_folder": folder, "bytes_read": fetched})
+            yield pd.DataFrame(rows, columns=[*names, "study_folder", "bytes_read"])
+
+    return files.select("study_folder", "path").mapInPandas(run, schemas.HEADERS + ", study_folder STRING, bytes_read BIGINT")
+
+
 def with_quarantine(outcomes: DataFrame, good_path: str, bad_path: str, now: Column | None = None) -> None:
     """Write rows with status ok to one table, the reasons of the others to the quarantine log.
 

@@ -7,7 +7,6 @@ take the latest row per study. :func:`compact_results` folds the loads.
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -39,22 +38,23 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame:
 RESULT_ROWS = schemas.STUDY_RESULTS + ", version BIGINT, load STRING"
 
 
-def upsert_results(spark: SparkSession, path: str, rows: DataFrame, load: str | None = None) -> str:
+def upsert_results(spark: SparkSession, path: str, rows: DataFrame, load: str | None = None, sequence: int | None = None) -> str:
     """Write one load. Columns beyond the table's are refused, missing ones are null.
 
     Every load has a name of its own, so that writers never replace each other's rows:
     a random one, or the writer's name and batch number, which makes a repeated batch
-    harmless. ``version`` orders the loads; a repeated load keeps its first version.
+    harmless. ``version`` orders the loads, without any clock: it is the caller's ``sequence``, or
+    one more than the store's highest; a repeated load keeps its first version. Loads of one
+    version are ordered by their rows.
     """
     table = spark.createDataFrame([], schemas.STUDY_RESULTS)
     unknown = set(rows.columns) - set(table.columns)
     if unknown:
         raise ValueError(f"not in the result table: {sorted(unknown)}")
-    version = None
-    if load is not None:
-        version = stored(spark, path, RESULT_ROWS).filter(F.col("load") == load).agg(F.min("version")).first()[0]
+    own = F.lit(None) if load is None else F.when(F.col("load") == load, F.col("version"))
+    first, highest = stored(spark, path, RESULT_ROWS).agg(F.min(own.cast("bigint")), F.coalesce(F.max("version"), F.lit(0))).first()
+    version = sequence if sequence is not None else first if first is not None else highest + 1
     load = load or uuid.uuid4().hex
-    version = version or time.time_ns() // 1000
     aligned = rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
     (aligned.withColumn("version", F.lit(version).cast("bigint")).withColumn("load", F.lit(load)).write.mode("overwrite")

@@ -144,3 +144,39 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_path(spark, "x").startswith(shared_folder(spark))
     assert local_session("8").sparkContext.master.startswith("local")
+
+
+def test_staged_reading_fetches_heads_only(spark, tmp_path):
+    """One file a study first, leading bytes only; a file that cannot be read rejects its own study."""
+    import datetime as dt
+    import json
+
+    from slicewise.plans import flows
+    from slicewise.plans.inputs import json_head
+
+    def put(path, **head):
+        full = tmp_path / path
+        full.parent.mkdir(parents=True, exist_ok=True)
+        full.write_bytes((json.dumps(head).encode() if head else b"broken") + b"\0" + b"p" * 50_000)
+
+    good = {"modality": "CT", "series_description": "HEAD", "study_date": "20240101", "image_type": ["ORIGINAL"]}
+    for i in range(3):
+        put(f"ready/s1/{i}.dcm", study_uid="1", series_uid="a", **good)
+        put(f"ready/s2/{i}.dcm", study_uid="1", series_uid="b", **good | {"series_description": "SCOUT", "note": "x" * 3000})
+        put(f"chest/s1/{i}.dcm", study_uid="2", series_uid="c", **good | {"study_description": "CT CHEST"})
+        put(f"known/s1/{i}.dcm", study_uid="3", series_uid="d", **good)
+        put(f"bad/s1/{i}.dcm", **({} if i == 0 else good))
+        put(f"partly/s1/{i}.dcm", **({} if i == 1 else good | {"study_uid": "5", "series_uid": "e"}))
+    listed = files.list_files(spark, str(tmp_path))
+    existing = spark.createDataFrame([("3",)], "study_uid string")
+    routed, heads = flows.staged_scan(listed, json_head, existing, dt.date(2024, 2, 1), None, 2, head_bytes=512)
+    got = {r.study_folder.split("/")[-1] if "ready" in r.study_folder else r.study_folder.split("/")[-2]: r for r in routed.collect()}
+    assert {k: (r.status, r.reason, r.study_uid, r.n_files) for k, r in got.items()} == {
+        "ready": ("ready", "", "1", 6), "chest": ("not_head_ct", "non_head_desc", "2", 3), "known": ("already_processed", "", "3", 3),
+        "bad": ("not_head_ct", "header_read_error", None, 3), "partly": ("ready", "", "5", 3)}
+    assert got["ready"].series_uid == "a" and got["partly"].slice_count == 2
+    read = heads.collect()
+    assert sorted(r.path.split("/")[-3] for r in read if r.stage == 2) == ["partly"] * 2 + ["ready"] * 5
+    assert max(r.bytes_read for r in read if "/s2/" in r.path) == 8192 and max(r.bytes_read for r in read if "/s2/" not in r.path) == 512
+    gone = files.read_heads(spark.createDataFrame([("f", str(tmp_path / "none.dcm"))], "study_folder string, path string"), json_head).first()
+    assert gone.study_folder == "f" and gone.error and gone.bytes_read == 0

@@ -119,6 +119,17 @@ def test_two_writers_share_a_store(spark):
     assert tables.read_results(spark, store).filter("study_uid = 'd'").first()["ai_positive"] == 1
 
 
+def test_loads_are_ordered_by_what_the_caller_states(spark):
+    """No clock takes part: the load stated as later wins, whichever is written first."""
+    store = fresh_path(spark, "store")
+    keep = ["study_uid", "exam_date", "location", "ai_positive"]
+    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 1), ("b", D, "ER", 1)]).select(*keep), load="fast-clock", sequence=7)
+    tables.upsert_results(spark, store, batch(spark, [("a", D, "ER", 0)]).select(*keep), load="slow-clock", sequence=3)
+    assert {r["study_uid"]: r["ai_positive"] for r in tables.read_results(spark, store).collect()} == {"a": 1, "b": 1}
+    tables.upsert_results(spark, store, batch(spark, [("b", D, "ER", 0)]).select(*keep))  # none stated: after all others
+    assert {r["study_uid"]: r["ai_positive"] for r in tables.read_results(spark, store).collect()} == {"a": 1, "b": 0}
+
+
 def test_worklist_stream_overlays_fields(spark):
     source, snapshot, state, progress = (fresh_path(spark, n) for n in ("entries", "snapshot", "state", "progress"))
     kind = "study_uid string, physician_stat boolean, ai_positive boolean, report_paragraph string, exam_time string"
