@@ -68,17 +68,19 @@ def fit_kept(table: DataFrame, fit: Fit, starts: list[np.ndarray], rounds: int,
     def summed(weights: list[np.ndarray], gradient: bool) -> tuple[np.ndarray, float, list[float]]:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
-            total, cases, kept = np.zeros(weights[0].shape, np.float64), 0.0, np.zeros(len(weights))
+            total, cases, kept, rows = np.zeros(weights[0].shape, np.float64), 0.0, np.zeros(len(weights)), 0
             for batch in batches:
+                rows += batch.num_rows
                 for i, w in enumerate(weights):
                     g, n, k = fit(batch, w)
                     kept[i] += k
                     if gradient:
                         total += g
                         cases += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([cases], pa.float64()), pa.array([kept.tobytes()], pa.binary()),
-                 pa.array([total.astype(np.float32).tobytes() if gradient else b""], pa.binary())], ["part", "cases", "kept", "gradient"])
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([cases], pa.float64()), pa.array([kept.tobytes()], pa.binary()),
+                     pa.array([total.astype(np.float32).tobytes() if gradient else b""], pa.binary())], ["part", "cases", "kept", "gradient"])
 
         parts = sorted(table.mapInArrow(step, "part int, cases double, kept binary, gradient binary").collect())
         total = np.zeros(weights[0].shape, np.float64)
