@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,7 +228,11 @@ def uncollected() -> Iterator[None]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the array of token ids."""
+    """All columns of ``docs`` and the array of token ids; a column of that name is replaced.
+
+    A null text is the empty text and has no ids; an empty table gives an empty one.
+    """
+    docs = docs.drop(ids)
     at = docs.columns.index(text)
     names = [*docs.columns, ids]
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -235,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path, pattern)
         for batch in batches:
-            for part in _small(batch):
+            for part in _small(batch, at):
                 with uncollected():
                     rows = codec.encode(texts_of(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.int32()))], names)
@@ -283,7 +288,13 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     return rows.mapInArrow(step, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that the ids of few texts are held at once."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def _small(batch: pa.RecordBatch, at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``size`` bytes of text (one text at least), so that few ids are held at once."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        held += n or 0
+        if held >= size:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
