@@ -172,3 +172,31 @@ def test_report_items(spark):
     assert "POSITIVE for suspected subdural hematoma (model probability 90%; Sens 94%, Spec 95%; PPV 74.3% at 14% local prevalence)." in text[0]["paragraph"]
     assert "Most prominent finding at slice 4–6." in text[0]["paragraph"]
     assert text[1]["bullet"].startswith("• No ICH detected by AI screening (NPV 98.9% at 14% prevalence).")
+
+
+def test_pixel_counts_leave_a_task_as_one_vector(spark):
+    """Counts per half-precision code against a plain loop; rows into the shuffle are codes, not pixels."""
+    import numpy as np
+
+    from slicewise import constants as K
+    from slicewise.operators import encodings
+
+    rng = np.random.default_rng(3)
+    blocks = [list(map(float, rng.uniform(-50, 120, 4000))) for _ in range(6)] + [[30.0] * 50, [], None, [None, 40.0, float("nan"), 70.0], [30.0, 30.5, 60.0]]
+    frame = spark.createDataFrame([(b,) for b in blocks], "hu array<double>").repartition(2)
+    want = {}
+    for b in blocks:
+        seen = [v for v in b or [] if v is not None and v == v]
+        for v in seen:
+            for tissue, (low, high) in encodings.TISSUES:
+                if low <= v <= high:
+                    for scheme, params in encodings.SCHEMES.items():
+                        lo, hi = (min(seen), max(seen)) if params is None else params
+                        if params is None and hi - lo < 1:
+                            continue
+                        key = (scheme, tissue, float(np.float16(min(1.0, max(0.0, (v - lo) / (hi - lo))))))
+                        want[key] = want.get(key, 0) + 1
+    counts = encodings.value_counts(frame)
+    assert {(r.scheme, r.tissue, r.value): r.n for r in counts.collect()} == want
+    assert "Explode" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert K.GRAY_HU[0] < K.BLOOD_HU[0]
