@@ -22,8 +22,8 @@ def vocabulary() -> tuple[str, str]:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken",
-                        F.get(F.col("copies.position"), F.lit(0)).alias("position"))
+    first = mixed.select("doc_id", "size", "source_size", "target", "taken", F.get(F.col("copies.position"), F.lit(0)).alias("position"))
+    return first.orderBy(F.asc_nulls_last("position"), "doc_id")  # range-sorted; what is not taken comes last
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

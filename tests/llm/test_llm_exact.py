@@ -41,6 +41,8 @@ def words(text):
 def test_mix_meets_its_targets(spark):
     rows = QUERIES["op1_mixing"](spark, SF).collect()
     total, taken, targets = sum(r.size for r in rows), Counter(), {}
+    positions = [r.position for r in rows if r.position is not None]
+    assert positions == sorted(positions) and all(r.position is None for r in rows[len(positions):])
     for r in rows:
         assert 0 <= r.taken <= 2 * r.size
         taken[r.target, r.source_size] += r.taken
