@@ -785,9 +785,16 @@ def archive_scan(spark, sf):
                                  TRIAGE_DAYS, min_slices=2)
 
 
+_image_folders: dict[tuple[str, str], str] = {}
+
+
 def _staged(spark, sf):
-    folder = fresh_path(spark, "images")
-    I.image_files(spark, sf, folder)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _image_folders:  # the files are written once a session
+        folder = fresh_path(spark, "images")
+        I.image_files(spark, sf, folder)
+        _image_folders[key] = folder
+    folder = _image_folders[key]
     listed = files.list_files(spark, folder)
     routed, heads = flows.staged_scan(listed, I.json_head, I.known_customers(spark, sf), TRIAGE_AS_OF, TRIAGE_DAYS, 2, head_bytes=128)
     short = lambda c: F.regexp_extract(c, "/images-[^/]*/(.*)$", 1)
