@@ -199,8 +199,9 @@ def drain(query: StreamingQuery, until: Callable[[], bool] | None = None) -> Non
     no end of its own.
     """
     while query.isActive:
-        last = query.lastProgress
-        idle = last is not None and last.numInputRows == 0 and not any(s.numRowsTotal for s in last.stateOperators)
+        done = query.recentProgress
+        # a restarted query may first repeat a batch without input, planned before newer files came: the second one has looked for them
+        idle = len(done) > 1 and done[-1].numInputRows == 0 and not any(s.numRowsTotal for s in done[-1].stateOperators)
         if idle or (until is not None and until()):
             break
         time.sleep(0.05)
