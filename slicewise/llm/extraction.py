@@ -3,11 +3,14 @@
 A page is read into a tree (open paragraphs, items and cells close where HTML lets them).
 Menus, headers, footers, sidebars, forms, scripts and parts whose class, id or role says
 advert, notice, comments and the like are cut out, unless they hold the page's article or
-most of its text. Every paragraph then passes points for
-its length and commas to its ancestors, in full to the parent and less further up, each
+most of its text. An article's header that has a heading stays. Every paragraph then passes points for
+its length and commas to its ancestors, in full to the parent, half to the next one and a
+third of that for every level above, each
 container's sum is discounted by its share of link text, and the best container is kept,
 with those siblings whose points or prose come near. A best container inside an article
-element stands for the whole article.
+element stands for the whole article. Lists of links inside what is kept are menus and go.
+
+Every step takes time in proportion to the page, however deep its elements nest.
 
 Text comes out as blocks in page order, white space inside a block as one space, two line
 feeds between blocks.
@@ -20,6 +23,7 @@ equal results; columns other than id, url and html are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,7 +36,9 @@ from slicewise.llm.common import texts_of
 #: Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset("head title script style template noscript nav header footer aside form button select textarea iframe svg "
-                "object canvas audio video dialog menu input label".split())
+                "object canvas audio video dialog menu input".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -42,6 +48,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 #: Where such a search stops.
 LIMIT = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
+#: What start tags close, and where the search stops, once for every rule; the first one is that of blocks.
+_RULES = [({"p"}, {"td", "th", "table", "li", "blockquote", "div", "article", "section", "main", "figure", "button"}),
+          *((CLOSES[k], LIMIT.get(k, set())) for k in CLOSES)]
+_RULE = {k: i for i, k in enumerate(CLOSES, 1)}
+_RULED = frozenset().union(*(a | b for a, b in _RULES))
 #: Words in class, id or role that mark parts beside the article.
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|rail|nav(?:bar|igation)?|menu|"
@@ -57,27 +68,50 @@ HARD = frozenset("head title script style template noscript button select textar
 MOST, MOST_BESIDE = 0.5, 0.8
 _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>")
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"""\sstyle\s*=\s*(?:"[^"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|display:none)""", re.I)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLASS = re.compile(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Share of link text from which a part is a menu.
 LINKED = 0.5
+#: A list with this share of link text and two links is a menu, wherever it stands.
+MENU = 0.8
 #: Siblings stay from this share of the best container's points.
 SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "cut", "points", "marks", "linked")
+    __slots__ = ("name", "parent", "parts", "cut", "points", "marks", "linked", "ends", "menu")
 
     def __init__(self, name: str, parent: "Node | None", cut: bool) -> None:
         self.name, self.parent, self.cut, self.points = name, parent, cut, 0.0
-        self.marks, self.linked = "", 0.0
+        self.marks, self.linked, self.menu = "", 0.0, False
         self.parts: list = []
+        # for every rule the outermost open element that its start tag ends; most elements share their parent's
+        above = parent.ends if parent else (None,) * len(_RULES)
+        self.ends = above if name not in _RULED or parent is None else tuple(
+            None if name in limit else (up or self if name in names else up) for up, (names, limit) in zip(above, _RULES))
 
 
 def tree(html: str) -> Node:
     """The page's elements; text parts are strings."""
     root = here = Node("html", None, False)
+    opened: Counter[str] = Counter()  # open elements by name
+    headers: list[Node] = []  # open headers of articles
+
+    def leave(node: Node) -> Node:
+        """Closes the open elements up to this one; its parent."""
+        up = here
+        while True:
+            opened[up.name] -= 1
+            if headers and headers[-1] is up:
+                headers.pop()
+            if up is node:
+                return node.parent
+            up = up.parent
+
     at, n, lower = 0, len(html), None
     while at < n:
         found = _TAG.search(html, at)
@@ -97,20 +131,25 @@ def tree(html: str) -> Node:
             continue
         name = _NAME.match(tag)[1].lower()
         if tag[0] == "/":
-            node = here
-            while node is not None and node.name != name:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if opened[name]:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = leave(node)
+            elif name == "p":  # ends a paragraph that has ended: an empty one
+                here.parts.append(Node("p", here, False))
             continue
         if name in ("html", "body") and here is root:
             continue
-        if name == "p" or name in BLOCK:
-            here = _closed(here, {"p"}, {"td", "th", "table", "li", "blockquote", "div", "article", "section", "main", "figure", "button"})
-        if name in CLOSES:
-            here = _closed(here, CLOSES[name], LIMIT.get(name, set()))
+        if (name == "p" or name in BLOCK) and here.ends[0]:
+            here = leave(here.ends[0])
+        if name in _RULE and here.ends[_RULE[name]]:
+            here = leave(here.ends[_RULE[name]])
         marks = " ".join(a or b or c for a, b, c in _MARK.findall(tag))
-        node = Node(name, here, name in CUT or bool(marks and ASIDE.search(STATE.sub("", marks))) and name not in ("body", "article", "main"))
+        beside = bool(marks and ASIDE.search(STATE.sub("", marks))) and name not in ("body", "article", "main") and name not in HEADING
+        node = Node(name, here, beside or name in CUT or name == "label" and not opened["p"] or _unseen(tag))
+        if name in HEADING and headers:
+            headers[-1].cut = False
         kind = _CLASS.search(tag)
         node.marks = (kind[1] or kind[2] or kind[3] or "").strip() if kind else ""
         here.parts.append(node)
@@ -123,17 +162,16 @@ def tree(html: str) -> Node:
                 at = n if here_end < 0 else here_end + 1
         elif name not in VOID and not tag.endswith("/"):
             here = node
+            opened[name] += 1
+            if name == "header" and opened["article"] and not beside:
+                headers.append(node)
     return root
 
 
-def _closed(here: Node, names: set[str], limit: set[str]) -> Node:
-    """Where to go on when an open element of these names ends here."""
-    node = here
-    while node.parent is not None and node.name not in limit:
-        if node.name in names:
-            return _closed(node.parent, names, limit)
-        node = node.parent
-    return here
+def _unseen(tag: str) -> bool:
+    """Whether a start tag hides its element."""
+    low = tag.lower()
+    return "hidden" in low and bool(_HIDDEN.search(_VALUE.sub('""', tag))) or "display" in low and bool(_UNSEEN.search(tag))
 
 
 def _restore(root: Node) -> bool:
@@ -163,12 +201,14 @@ def _restore(root: Node) -> bool:
             holds.add(id(node))
     total = weight.get(id(root), 0)
     found = False
+    free: set[int] = set()  # taken back, with all above
     for node in sorted(tops, key=lambda n: -weight[id(n)]):  # outer parts before the equal ones that they hold
         size = weight[id(node)]
         if not (size > MOST_BESIDE * total or not seen and (size > MOST * total or id(node) in holds and size >= shown)):
             continue
         up = node
-        while up is not None:
+        while up is not None and id(up) not in free:
+            free.add(id(up))
             up.cut, up = False, up.parent
         found = True
         if size <= MOST_BESIDE * total:  # the next ones depend on what is shown now
@@ -176,8 +216,8 @@ def _restore(root: Node) -> bool:
     return found
 
 
-def blocks(node: Node, done: set[int] = frozenset()) -> list[str]:
-    """Text blocks of a subtree in page order, without the cut parts."""
+def blocks(node: Node, menus: bool = True) -> list[str]:
+    """Text blocks of a subtree in page order, without the cut parts and, if so told, without lists of links."""
     out: list[str] = []
     run: list[str] = []
 
@@ -194,7 +234,7 @@ def blocks(node: Node, done: set[int] = frozenset()) -> list[str]:
             end()
         elif isinstance(part, str):
             run.append(part)
-        elif not part.cut and id(part) not in done:
+        elif not part.cut and (menus or not part.menu):
             if part.name == "br":
                 run.append(" ")
                 continue
@@ -211,7 +251,7 @@ def _scored(root: Node) -> list[Node]:
     texts: dict[int, list] = {}
     order: list[Node] = []
     stack: list[tuple[Node, bool]] = [(root, False)]
-    sizes: dict[int, list[int]] = {}  # characters and link characters of a subtree
+    sizes: dict[int, tuple] = {}  # of a subtree: characters, link characters, of its paragraph: commas, characters; links
 
     while stack:
         node, left = stack.pop()
@@ -225,32 +265,32 @@ def _scored(root: Node) -> list[Node]:
         own = "".join(c for c in node.parts if isinstance(c, str))
         size, links = len(own.strip()), 0
         commas = own.count(",")
-        inline = len(own.strip())
+        inline, anchors = len(own.strip()), int(node.name == "a")
         for c in node.parts:
             if isinstance(c, Node) and not c.cut:
-                s, link, more, run = sizes.get(id(c), (0, 0, 0, 0))
-                size, links = size + s, links + link
+                s, link, more, run, n = sizes[id(c)]
+                size, links, anchors = size + s, links + link, anchors + n
                 if c.name not in BLOCK:
                     commas, inline = commas + more, inline + run
         if node.name == "a":
             links = size
-        sizes[id(node)] = [size, links, commas, inline]
+        sizes[id(node)] = size, links, commas, inline, anchors
         if inline and (node.name in PARAGRAPH or node.name in BLOCK):
             texts[id(node)] = [node, inline, commas]
+    far: dict[int, float] = {}  # what comes from below the children
     for node, inline, commas in texts.values():
-        points = 1 + commas + min(inline / 100, 3.0)
         # loose text of a container counts for the container itself
-        up, share = (node.parent if node.name in PARAGRAPH else node), 1.0
-        level = 0
-        while up is not None:
-            up.points += points * share
-            level += 1
-            share = 1 / 2 if level == 1 else 1 / (3 * level)
-            up = up.parent
-    for node in order:
-        size, links, _, _ = sizes.get(id(node), (0, 0, 0, 0))
+        to = node.parent if node.name in PARAGRAPH else node
+        if to is not None:
+            to.points += 1 + commas + min(inline / 100, 3.0)
+    for node in reversed(order):
+        below, own = far.get(id(node), 0.0), node.points
+        if node.parent is not None:
+            far[id(node.parent)] = far.get(id(node.parent), 0.0) + own / 2 + below / 3
+        size, links, _, _, anchors = sizes[id(node)]
         node.linked = links / size if size else 0.0
-        node.points *= 1 - node.linked if size else 0
+        node.points = (own + below) * (1 - node.linked) if size else 0.0
+        node.menu = node.name in LISTS and anchors > 1 and node.linked >= MENU
     return [n for n in order if n.points > 0]
 
 
@@ -267,9 +307,9 @@ def main_text(html: str) -> str:
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
     if up is not None and (up.name == "main" or up.parent is None):
-        return "\n\n".join(blocks(up))
+        return _text(up)
     if best.parent is None:
-        return "\n\n".join(blocks(best))
+        return _text(best)
     chosen = up or best
     parts = [c for c in chosen.parent.parts if isinstance(c, str) or not c.cut]
     keep = [not isinstance(c, str) and _stays(c, chosen, up is not None) for c in parts]
@@ -281,7 +321,12 @@ def main_text(html: str) -> str:
         # loose text around the best container is the parent's own; around articles only between them
         if keep[at] or between or loose and up is None and (isinstance(part, str) or part.linked < LINKED):
             whole.parts.append(part)
-    return "\n\n".join(blocks(whole))
+    return _text(whole)
+
+
+def _text(node: Node) -> str:
+    """The blocks of what is kept; where all of it is lists of links, these are the text."""
+    return "\n\n".join(blocks(node, menus=False) or blocks(node))
 
 
 def _stays(node: Node, best: Node, articles: bool) -> bool:
@@ -297,14 +342,16 @@ def _stays(node: Node, best: Node, articles: bool) -> bool:
 
 
 def _paragraph(node: Node) -> bool:
-    """Whether an uncut paragraph element lies inside."""
-    stack = [node]
+    """Whether an uncut paragraph element with text lies inside."""
+    stack = [(node, False)]
     while stack:
-        for c in stack.pop().parts:
-            if isinstance(c, Node) and not c.cut:
-                if c.name in PARAGRAPH and c.name != "li" and blocks(c):
+        node, inside = stack.pop()
+        for c in node.parts:
+            if isinstance(c, str):
+                if inside and unescape(c).strip():
                     return True
-                stack.append(c)
+            elif not c.cut:
+                stack.append((c, inside or c.name in PARAGRAPH and c.name != "li"))
     return False
 
 
