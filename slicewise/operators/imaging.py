@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from slicewise import constants as K
 from slicewise.functions import numeric as N
+from slicewise.functions import packed
 
 
 def window_arrow(hu: Column, low: float, high: float, half: bool = True) -> Column:
@@ -66,11 +67,21 @@ def axis_weights(n_in: int, n_out: int, mode: str) -> np.ndarray:
     return weights
 
 
+def _block_type(blocks: DataFrame, column: str) -> T.DataType:
+    kind = blocks.schema[column].dataType
+    return kind if isinstance(kind, T.BinaryType) else T.ArrayType(T.DoubleType())
+
+
 def resize(blocks: DataFrame, size: int, mode: str = "half_pixel", column: str = "image_norm") -> DataFrame:
-    """Bilinear resize of square or oblong blocks to size x size (columns h, w, ``column``)."""
+    """Bilinear resize of square or oblong blocks to size x size (columns h, w, ``column``).
+
+    Packed blocks are read and written packed, arrays as arrays.
+    """
+    kind = _block_type(blocks, column)
+    read, write = packed.codec(kind)
     spec = T.StructType([f for f in blocks.schema.fields if f.name not in ("h", "w", column)] + [
         T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()),
-        T.StructField(column, T.ArrayType(T.DoubleType()))])
+        T.StructField(column, kind)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
@@ -79,7 +90,7 @@ def resize(blocks: DataFrame, size: int, mode: str = "half_pixel", column: str =
             return known.setdefault(n, axis_weights(n, size, mode))
 
         for pdf in batches:
-            out = [(along(h) @ np.asarray(a, np.float64).reshape(h, w) @ along(w).T).ravel()
+            out = [write((along(h) @ read(a).reshape(h, w) @ along(w).T).ravel())
                    for a, h, w in zip(pdf[column], pdf["h"], pdf["w"])]
             yield pdf.assign(**{column: out, "h": size, "w": size})[spec.names]
 
@@ -91,14 +102,16 @@ def augment(blocks: DataFrame, copies: int = 1, jitter: float = 0.04, seed: int
     """Augmented copies: flip (p 0.5), quarter turns 0..3, additive jitter, clip.
 
     The parameters are columns drawn from a hash of (image, copy, seed), so a
-    re-run task makes the same copies.
+    re-run task makes the same copies. Packed blocks give packed copies.
     """
+    kind = _block_type(blocks, column)
+    read, write = packed.codec(kind)
     key = F.concat_ws("|", F.col("image_id"), F.col("copy"), F.lit(str(seed)))
     drawn = (blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
              .withColumns({"flip": N.unit_draw(key, "f") > 0.5,
                            "turns": F.floor(N.unit_draw(key, "t") * 4).cast("int"),
                            "shift": (N.unit_draw(key, "j") * 2 - 1) * jitter}))
-    spec = T.StructType([f if f.name != column else T.StructField(column, T.ArrayType(T.DoubleType()))
+    spec = T.StructType([f if f.name != column else T.StructField(column, kind)
                          for f in drawn.schema.fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,9 +119,9 @@ def augment(blocks: DataFrame, copies: int = 1, jitter: float = 0.04, seed: int
             done, heights, widths = [], [], []
             for a, h, w, flip, turns, shift in zip(pdf[column], pdf["h"], pdf["w"], pdf["flip"],
                                                    pdf["turns"], pdf["shift"]):
-                block = np.asarray(a, np.float64).reshape(h, w)
+                block = read(a).reshape(h, w)
                 block = np.rot90(block[:, ::-1] if flip else block, turns)
-                done.append(np.clip(block + shift, 0.0, 1.0).ravel())
+                done.append(write(np.clip(block + shift, 0.0, 1.0).ravel()))
                 heights.append(block.shape[0])
                 widths.append(block.shape[1])
             yield pdf.assign(**{column: done, "h": heights, "w": widths})[spec.names]

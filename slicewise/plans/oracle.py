@@ -533,8 +533,21 @@ SQL["windows_three"] = _with(BLOCKS, "enc AS (SELECT image_id, " + ", ".join(
     f"list_transform(hu, lambda v: {_half(f'greatest(0, least(1, (v::FLOAT - ({lo})::FLOAT) / ({hi - lo})::FLOAT))::DOUBLE')}) AS {n}"
     for n, (lo, hi) in K.WINDOWS.items() if n != "balanced") + " FROM blocks)",
     body="SELECT image_id, " + ", ".join(_digest(n, n) for n in ("wide", "medium", "narrow")) + " FROM enc")
-SQL["tensor_store"] = """SELECT 'medium' AS "window", CASE WHEN label < 5 THEN 'train' ELSE 'val' END AS split, count(*) AS n, count(DISTINCT vec_id) AS ids
-  FROM embeddings GROUP BY ALL"""
+_PACKED = f"""enc AS (SELECT *, {_win(*K.WINDOWS['medium'])} AS b FROM blocks),
+halves AS (SELECT image_id, label, list_transform(b, lambda v: {_half('v')}) AS v FROM enc)"""
+SQL["tensor_store"] = _with(BLOCKS, _PACKED, body="""SELECT 'medium' AS "window", CASE WHEN label < 5 THEN 'train' ELSE 'val' END AS split, count(*) AS n,
+  count(DISTINCT image_id) AS ids, sum(64)::BIGINT AS cells, sum(128)::BIGINT AS bytes,
+  sum(list_sum(list_transform(v, lambda x: (x * 16777216)::BIGINT)))::BIGINT AS units FROM halves GROUP BY ALL""")
+_mean = "(v[{0}] + v[{0} + 1] + v[{0} + 8] + v[{0} + 9]) / 4"
+SQL["packed_resize"] = _with(BLOCKS, _PACKED, f"means AS (SELECT image_id, {_mean.format(1)} AS a, {_mean.format(21)} AS b FROM halves)", body=f"""
+SELECT image_id, 32::BIGINT AS bytes, true AS fits, {_half('a')} AS first,
+  {_half('b')} AS seventh FROM means""")
+SQL["packed_augment"] = _with(BLOCKS, _PACKED, f"""drawn AS (SELECT *, {_unit(_key + " || 'f'")} > 0.5 AS flip, floor({_unit(_key + " || 't'")} * 4)::INT AS turns,
+  ({_unit(_key + " || 'j'")} * 2 - 1) * 4e-2 AS shift FROM (SELECT *, unnest([0, 1]) AS copy FROM halves)),
+moved AS (SELECT *, greatest(0, least(1, v[CASE turns WHEN 0 THEN CASE WHEN flip THEN 8 ELSE 1 END WHEN 1 THEN CASE WHEN flip THEN 1 ELSE 8 END
+  WHEN 2 THEN CASE WHEN flip THEN 57 ELSE 64 END ELSE CASE WHEN flip THEN 64 ELSE 57 END END] + shift)) AS x FROM drawn)""", body=f"""
+SELECT image_id, copy::INT AS copy, flip, turns, 128::BIGINT AS bytes,
+  round({_half('x')}, 2) AS first FROM moved""")
 
 # ---- text ------------------------------------------------------------------------------------
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from slicewise import constants as K
 from slicewise import schemas
 from slicewise.functions import numeric as N
+from slicewise.functions import packed
 from slicewise.functions import pixels as P
 from slicewise.functions import sql
 from slicewise.functions import text as T
@@ -747,7 +748,32 @@ def tensor_store(spark, sf):
     tables.append_tensors(spark, path, enc.filter("split = 'train'"))
     tables.append_tensors(spark, path, enc)
     stored = tables.read_tensors(spark, path)
-    return stored.groupBy("window", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("ids"))
+    # a half is a whole number of 2^-24: sums of the stored values are exact
+    read = stored.withColumn("units", F.aggregate(packed.unpack(F.col("image_half")), F.lit(0).cast("bigint"),
+                                                  lambda n, v: n + (v * F.lit(2.0**24)).cast("bigint")))
+    return read.groupBy("window", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("ids"), F.sum(F.col("h") * F.col("w")).alias("cells"),
+        F.sum(F.octet_length("image_half")).alias("bytes"), F.sum("units").alias("units"))
+
+
+def _packed_blocks(spark, sf):
+    return I.blocks(spark, sf).select("image_id", "h", "w", packed.pack(P.window(F.col("hu"), *K.WINDOWS["medium"])).alias("image_half"))
+
+
+@query
+def packed_resize(spark, sf):
+    """Packed in, packed out: the results are halves of exact means of halves."""
+    r = imaging.resize(_packed_blocks(spark, sf), 4, "half_pixel", column="image_half")
+    r = r.withColumn("v", packed.unpack(F.col("image_half")))
+    return r.select("image_id", F.octet_length("image_half").cast("bigint").alias("bytes"), packed.fits(F.col("image_half"), F.col("h"), F.col("w")).alias("fits"),
+                    F.get("v", F.lit(0)).cast("double").alias("first"), F.get("v", F.lit(6)).cast("double").alias("seventh"))
+
+
+@query
+def packed_augment(spark, sf):
+    a = imaging.augment(_packed_blocks(spark, sf), copies=2, column="image_half").withColumn("v", packed.unpack(F.col("image_half")))
+    return a.select("image_id", "copy", "flip", "turns", F.octet_length("image_half").cast("bigint").alias("bytes"),
+                    F.round(F.get("v", F.lit(0)).cast("double"), 2).alias("first"))
 
 
 @query

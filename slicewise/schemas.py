@@ -21,6 +21,8 @@ STUDY_RESULTS = """
     series_folder STRING, checkpoint STRING, processed_datetime STRING
 """
 TENSORS = "image_id STRING, h INT, w INT, image_norm ARRAY<DOUBLE>, window STRING, split STRING"
+#: As stored: half-precision bytes instead of doubles.
+TENSOR_STORE = "image_id STRING, h INT, w INT, image_half BINARY, window STRING, split STRING"
 WORKLIST = """
     study_uid STRING, patient_id STRING, patient_name STRING, indication STRING, modality STRING,
     description STRING, physician_stat BOOLEAN, ai_positive BOOLEAN, dominant_class STRING, prob_any DOUBLE,

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise import schemas
+from slicewise.functions import packed
 from slicewise.session import fresh_path
 
 
@@ -103,14 +104,20 @@ def save_as_table(rows: DataFrame, name: str) -> None:
 
 
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    return stored(spark, path, schemas.TENSORS)
+    """The stored blocks, packed (``packed.unpack`` makes arrays of them)."""
+    return stored(spark, path, schemas.TENSOR_STORE)
 
 
 def append_tensors(spark: SparkSession, path: str, tensors: DataFrame) -> None:
-    """Append encoded blocks, skipping (window, image) pairs that are stored already."""
+    """Append encoded blocks, skipping (window, image) pairs that are stored already.
+
+    Arrays in ``image_norm`` are packed on the way; blocks packed before stand in ``image_half``.
+    """
+    if "image_half" not in tensors.columns:
+        tensors = tensors.withColumn("image_half", packed.pack(F.col("image_norm")))
     stored = read_tensors(spark, path).select("window", "image_id")
     (tensors.join(stored, ["window", "image_id"], "left_anti")
-     .select("image_id", "h", "w", "image_norm", "window", "split")
+     .select("image_id", "h", "w", "image_half", "window", "split")
      .write.mode("append").partitionBy("window", "split").parquet(path))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slicewise import constants as K
 from slicewise.operators import encodings, geometry, imaging, report, scores
+from slicewise.functions import packed
 from slicewise.functions import pixels as P
 
 
@@ -200,3 +201,32 @@ def test_pixel_counts_leave_a_task_as_one_vector(spark):
     assert {(r.scheme, r.tissue, r.value): r.n for r in counts.collect()} == want
     assert "Explode" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert K.GRAY_HU[0] < K.BLOOD_HU[0]
+
+
+def test_packing_round_trip(spark):
+    every = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64)
+    every = every[np.isfinite(every)]  # all finite halves
+    odd = [0.1, 1 / 3, 65519.9, 65520.0, -1e9, 2.0**-25, 3 * 2.0**-25, float("nan"), float("inf")]
+    rows = [("all", every.tolist()), ("odd", odd), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "image_id string, image_norm array<double>")
+    once = df.select("image_id", packed.pack(F.col("image_norm")).alias("b"))
+    got = {r["image_id"]: r for r in once.select("*", packed.unpack(F.col("b")).alias("v"), packed.pack(packed.unpack(F.col("b"))).alias("again")).collect()}
+    assert got["all"]["v"] == every.tolist() and len(got["all"]["b"]) == 2 * len(every)
+    with np.errstate(over="ignore"):
+        np.testing.assert_array_equal(got["odd"]["v"], np.array(odd).astype(np.float16).astype(np.float32))
+    assert got["none"]["b"] is None and got["none"]["v"] is None and got["empty"]["v"] == []
+    assert all(r["again"] == r["b"] for r in got.values())
+
+
+@pytest.mark.parametrize("mode", ["corner", "half_pixel"])
+def test_packed_steps_equal_the_steps_on_arrays(spark, mode):
+    rng = np.random.default_rng(5)
+    exact = [rng.random(shape).astype(np.float16).astype(np.float64) for shape in ((8, 8), (5, 11), (20, 7), (1, 1))]
+    df = blocks(spark, exact)
+    tight = df.withColumn("image_half", packed.pack(F.col("image_norm"))).drop("image_norm")
+    for plain, small in ((imaging.resize(df, 6, mode), imaging.resize(tight, 6, mode, "image_half")),
+                         (imaging.augment(df, 3), imaging.augment(tight, 3, column="image_half"))):
+        assert small.filter(~packed.fits(F.col("image_half"), F.col("h"), F.col("w"))).count() == 0
+        key = lambda r: (r["image_id"], r["copy"] if "copy" in r else 0)
+        want = {key(r): packed.to_bytes(r["image_norm"]) for r in map(lambda r: r.asDict(), plain.collect())}
+        assert {key(r): bytes(r["image_half"]) for r in map(lambda r: r.asDict(), small.collect())} == want

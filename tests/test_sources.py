@@ -1,8 +1,11 @@
 import json
+import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from slicewise import schemas
+from slicewise.functions import packed
 from slicewise.operators import labels, ledger
 from slicewise.session import fresh_path, local_session, shared_folder
 from slicewise.sources import documents, files, tables
@@ -127,6 +130,21 @@ def test_tensor_store_skips_existing(spark):
     assert tables.read_tensors(spark, path).count() == 4
 
 
+def test_tensor_store_holds_two_bytes_a_cell(spark):
+    path = tables.new_store(spark, "tensors")
+    rng = random.Random(4)
+    rows = [(f"i{i}", 64, 64, [rng.random() for _ in range(64 * 64)], "medium", "train") for i in range(40)]
+    df = spark.createDataFrame(rows, schemas.TENSORS)
+    tables.append_tensors(spark, path, df.coalesce(1))
+    stored = tables.read_tensors(spark, path)
+    assert stored.filter(packed.fits(F.col("image_half"), F.col("h"), F.col("w"))).count() == 40
+    size = sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+    assert size <= 40 * 64 * 64 * 2 + 8192
+    tables.append_tensors(spark, path, stored.withColumn("window", F.lit("narrow")))  # packed blocks go in as they are
+    back = {(r["window"], r["image_id"]): bytes(r["image_half"]) for r in tables.read_tensors(spark, path).collect()}
+    assert len(back) == 80 and all(back["medium", r[0]] == back["narrow", r[0]] == packed.to_bytes(r[3]) for r in rows)
+
+
 def test_visited_log(spark):
     path = tables.new_store(spark, "visited")
     assert tables.read_visited(spark, path).count() == 0
