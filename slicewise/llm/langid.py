@@ -2,15 +2,16 @@
 
 Every language has a codeword of bits; one logistic classifier per bit looks at hashed
 byte n-grams of the lower-cased text. Decoding sums, for each language, the logistic
-losses of its bits, weighted by how reliable each bit was in training, and takes the
-nearest codeword. A text whose two nearest codewords are close is flagged ambiguous.
+losses of its bits, weighted by how reliable a trial fit's bit was on texts kept back from
+it, and takes the nearest codeword (ties: the first language by code point). A text whose two nearest codewords are close is flagged ambiguous.
 
 The classifiers are fitted on a sample of about ``PER_LANGUAGE`` labelled texts per
 language, drawn by a hash of the id; prediction covers every row and whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without
 any labelled text every row is ``und``; a null label is not learned from; repeated rows
-get equal results. The set of labels is taken to be bounded (language names).
+get equal results; an empty table gives an empty result; other columns, clashing names
+included, are not read by ``identify`` and stay as they are in ``keep_known``. The set of labels is taken to be bounded (language names).
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from slicewise.session import durable
 BUCKETS = 1 << 14
 #: Expected number of labelled texts per language in the training sample.
 PER_LANGUAGE = 1000
+#: One text in so many of the sample is kept back from a trial fit and tells how far each bit is right.
+KEPT_BACK = 5
 UNKNOWN = "und"
 ROUNDS = 12
 #: Partitions of the training sample, which is bounded.
@@ -113,7 +116,7 @@ def _gradient(code: np.ndarray):
 
 
 def sample_features(rows: DataFrame) -> DataFrame:
-    """(label, at, value, weight) of (label, text, weight): sparse features as bytes."""
+    """(label, at, value, weight, kept, deal) of (label, text, weight, kept, deal): sparse features as bytes."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, value = [], []
@@ -123,10 +126,10 @@ def sample_features(rows: DataFrame) -> DataFrame:
                 at.append(nonzero.astype(np.uint16).tobytes())
                 value.append(x[nonzero].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(at, pa.binary()), pa.array(value, pa.binary()), batch.column(2)],
-                ["label", "at", "value", "weight"])
+                [batch.column(0), pa.array(at, pa.binary()), pa.array(value, pa.binary()), *batch.columns[2:]],
+                ["label", "at", "value", "weight", "kept", "deal"])
 
-    return rows.mapInArrow(step, "label int, at binary, value binary, weight double")
+    return rows.mapInArrow(step, "label int, at binary, value binary, weight double, kept boolean, deal bigint")
 
 
 def train(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -147,14 +150,21 @@ def train(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
         label = F.when(here, i) if label is None else label.when(here, i)
         share = F.when(here, int(part * (1 << 30))) if share is None else share.when(here, int(part * (1 << 30)))
         weight = F.when(here, balance) if weight is None else weight.when(here, balance)
-    chosen = labelled.filter(draw < share).select(label.cast("int").alias("label"), F.col(text).alias("text"), weight.alias("weight"))
-    sample = durable(sample_features(chosen).repartition(PARTS, "at"), "language-sample")
-    weights = descend(sample, _gradient(code), np.zeros((BUCKETS, code.shape[1]), np.float32), ROUNDS, 0.5)
-    return Model(languages, code, weights, _reliability(sample, code, weights))
+    # copies of a text are dealt to different parts by their ids, and kept back together
+    kept = F.pmod(F.xxhash64(F.col(text), F.lit("kept back")), F.lit(KEPT_BACK)) == 0
+    deal = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+    chosen = labelled.filter(draw < share).select(
+        label.cast("int").alias("label"), F.col(text).alias("text"), weight.alias("weight"), kept.alias("kept"), deal.alias("deal"))
+    sample = durable(sample_features(chosen).repartition(PARTS, "deal").drop("deal"), "language-sample")
+    start = np.zeros((BUCKETS, code.shape[1]), np.float32)
+    trial = descend(sample.filter("not kept"), _gradient(code), start, ROUNDS, 0.5)
+    bits = _reliability(sample.filter("kept"), code, trial)
+    # the classifiers themselves learn from the whole sample: a rare language may have no text to spare
+    return Model(languages, code, descend(sample, _gradient(code), start, ROUNDS, 0.5), bits)
 
 
 def _reliability(sample: DataFrame, code: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A weight per bit: log odds of a right bit on the sample, between 0.2 and 4."""
+    """A weight per bit: log odds of a right bit on rows that the fit has not seen, between 0.2 and 4; equal weights without any."""
     def gradient(batch: pa.RecordBatch, _: np.ndarray) -> tuple[np.ndarray, float]:
         right = np.zeros(code.shape[1])
         for y, at, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
