@@ -130,3 +130,11 @@ def test_decimals_equal_python(spark):
         assert (r.r2, r.r6) == (round(r.v, 2), round(r.v, 6)), r.v
     odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
     assert [r.d for r in odd.select(N.decimals(F.col("v"), 2).alias("d")).collect()] == ["inf", "-inf", "nan", None]
+
+
+def test_a_lone_five_beyond_the_last_place(spark):
+    """0.0005 lies above its decimal half, 5e-07 below: both follow the binary value."""
+    cases = [(sign * float(f"5e-{d + 1}"), d) for d in range(8) for sign in (1, -1)]
+    for v, d in cases:
+        shown, rounded = (one(spark, f(F.lit(v), d)) for f in (N.decimals, N.round_even))
+        assert shown == f"{v:.{d}f}" and rounded == float(f"{v:.{d}f}")
