@@ -7,7 +7,7 @@ reads the log into queues: a queue hands its studies on when ``QUEUE`` wait or i
 fires, and they are scored, stored, and get their outcome.
 
 A study whose files come in several batches is routed and scored anew each time; its
-last outcome and its last result count (:func:`scanned`).
+last outcome counts, and the result of its last scoring if that gave one (:func:`scanned`).
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from slicewise.sources import tables
 #: Studies that make a queue hand on, what it waits for more at most, and queues side by side.
 QUEUE, WAIT_MS, QUEUES = 16, 2_000, 8
 OUTCOMES = "study_folder STRING, status STRING, reason STRING, load BIGINT"
+#: Outcomes of scoring; ``routed`` is the load of the routing that was scored.
+SCORED = f"{OUTCOMES}, routed BIGINT"
 _GROUP = "study_uid string, series_uid string, readable boolean, first_path string, head string, slice_count bigint"
 _GROUP_NAMES = [f.split()[0] for f in _GROUP.split(", ")]
 
@@ -163,11 +165,12 @@ class ReadyQueue(StatefulProcessor):
 
 def queued(ready: DataFrame, size: int = QUEUE, wait_ms: int = WAIT_MS, queues: int = QUEUES) -> DataFrame:
     """The stream of ready studies, in the groups in which the queues hand them on."""
-    fields = [c for c in ready.columns if c != "load"]
-    keyed = ready.select(F.pmod(F.hash("study_uid"), F.lit(queues)).alias("queue"), "study_uid", "load", F.to_json(F.struct(*fields)).alias("entry"))
+    told = ready.withColumn("routed", F.col("load"))
+    fields = [c for c in told.columns if c != "load"]
+    keyed = told.select(F.pmod(F.hash("study_uid"), F.lit(queues)).alias("queue"), "study_uid", "load", F.to_json(F.struct(*fields)).alias("entry"))
     out = keyed.groupBy("queue").transformWithStateInPandas(
         ReadyQueue(size, wait_ms), "queue int, entry string, why string", "Update", "processingTime")
-    kind = T.StructType([ready.schema[c] for c in fields])
+    kind = T.StructType([told.schema[c] for c in fields])
     return out.withColumn("entry", F.from_json("entry", kind)).select("entry.*", "why")
 
 
@@ -175,17 +178,18 @@ def scoring_writer(ready: DataFrame, blocks: DataFrame, make_predict: Callable,
                    writer: str = "scan", block: str = "block", size: int = QUEUE, wait_ms: int = WAIT_MS, queues: int = QUEUES):
     """Score what the queues hand on; results go to the store, outcomes (``processed`` or ``error``) to a log."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        studies = durable(batch, "handed-on")
+        # a queue longer than an Arrow batch may hand a study on twice: its last routing counts
+        studies = durable(tables.latest(batch.withColumn("_order", F.col("routed")), ["study_uid"], "_order"), "handed-on")
         if studies.isEmpty():
             return
         chosen = blocks.join(studies.select("study_uid", "series_uid"), ["study_uid", "series_uid"], "left_semi")
         scored = durable(scores.score_isolated(chosen, make_predict, shape, block).drop(block), "scored")
         failures = scores.failed_studies(scored)
-        results = flows.ready_results(studies.drop("why").join(failures, "study_uid", "left_anti"), scored)
+        results = flows.ready_results(studies.drop("why", "routed").join(failures, "study_uid", "left_anti"), scored)
         tables.upsert_results(batch.sparkSession, store, results, load=f"{writer}-{batch_id}")
-        outcome = (studies.select("study_uid", "why").join(failures, "study_uid", "left")
+        outcome = (studies.select("study_uid", "why", "routed").join(failures, "study_uid", "left")
                    .select(F.col("study_uid").alias("study_folder"), F.when(F.col("reason").isNull(), "processed").otherwise("error").alias("status"),
-                           "reason", "why"))
+                           "reason", "why", "routed"))
         append(outcome, batch_id, f"{state_path}/scored")
 
     keyed_state(ready.sparkSession)
@@ -214,13 +218,18 @@ def drain(query: StreamingQuery, until: Callable[[], bool] | None = None) -> Non
         raise failed
 
 
-def scanned(spark: SparkSession, store: str, state_path: str) -> DataFrame:
-    """The results of studies whose last routing was ready and whose last scoring did not fail."""
+def scanned(spark: SparkSession, store: str, state_path: str, writer: str = "scan") -> DataFrame:
+    """The results of studies whose last routing was ready and whose last scoring did not fail.
+
+    A study scored again without a result (its first file has no exam date) has none: rows of
+    its earlier scorings stay in the store, but do not count.
+    """
     routed = tables.latest(tables.stored(spark, f"{state_path}/outcomes", OUTCOMES), ["study_folder"])
-    scored = tables.latest(tables.stored(spark, f"{state_path}/scored", OUTCOMES), ["study_folder"])
-    sound = (routed.filter("status = 'ready'").select("study_folder")
-             .join(scored.filter("status = 'processed'").select("study_folder"), "study_folder", "left_semi"))
-    return tables.read_results(spark, store).join(sound.withColumnRenamed("study_folder", "study_uid"), "study_uid", "left_semi")
+    scored = tables.latest(tables.stored(spark, f"{state_path}/scored", SCORED).withColumn("batch", F.col("load")), ["study_folder"], "routed", ("load",))
+    sound = (scored.filter("status = 'processed'").join(routed.filter("status = 'ready'").select("study_folder"), "study_folder", "left_semi")
+             .select(F.col("study_folder").alias("study_uid"), F.concat(F.lit(f"{writer}-"), F.col("batch").cast("string")).alias("load")))
+    rows = tables.stored(spark, store, tables.RESULT_ROWS)
+    return rows.join(sound, ["study_uid", "load"], "left_semi").drop("load", "version")
 
 
 def run_scan(spark: SparkSession, header_parts: list[DataFrame], source: Callable[[str], DataFrame], blocks: DataFrame, make_predict: Callable,

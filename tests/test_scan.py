@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slicewise.operators import scores, triage
 from slicewise.plans import inputs as I
 from slicewise.session import durable, fresh_path, table
+from slicewise.sources import tables
 from slicewise.streaming import scan
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +134,20 @@ def test_planted_failures_are_met(spark):
     from slicewise.plans.queries import QUERIES
     states = {r.status: r.n_studies for r in QUERIES["archive_outcome_counters"](spark, SF).collect()}
     assert states["error"] > 0 and states["ready"] > 0
+
+
+def test_a_result_of_an_earlier_scoring_does_not_count(spark):
+    """Study a lost its exam date, b kept it, c was scored by an older routing after its last one."""
+    store, state = fresh_path(spark, "store"), fresh_path(spark, "state")
+
+    def results(studies):
+        return spark.createDataFrame([(s, v) for s, v in studies], "study_uid string, dominant_class string")
+
+    for load, found in ((0, "abc"), (1, "bc"), (2, "c")):
+        tables.upsert_results(spark, store, results([(s, f"{s}{load}") for s in found]), load=f"scan-{load}")
+    for load, seen in ((0, "abc"), (1, "abc")):
+        scan.append(spark.createDataFrame([(s, "ready", None) for s in seen], "study_folder string, status string, reason string"), load, f"{state}/outcomes")
+    scored = "study_folder string, status string, reason string, routed bigint"
+    for load, routed, seen in ((0, 0, "abc"), (1, 1, "abc"), (2, 0, "c")):
+        scan.append(spark.createDataFrame([(s, "processed", None, routed) for s in seen], scored), load, f"{state}/scored")
+    assert {(r.study_uid, r.dominant_class) for r in scan.scanned(spark, store, state).collect()} == {("b", "b1"), ("c", "c1")}
