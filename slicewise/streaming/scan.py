@@ -43,27 +43,23 @@ def keyed_state(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class SeriesState(StatefulProcessor):
-    """Per study: the first file and the number of files of each (series, readable); bounded by its series."""
+def merge_series(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Per study: the first file and the number of files of each (series, readable); bounded by its series.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("series", "groups string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.seen.get()
-        groups = {(s, r): (p, h, n) for s, r, p, h, n in json.loads(held[0])} if held else {}
-        for pdf in rows:
-            for s, r, path, head, n in pdf[_GROUP_NAMES[1:]].itertuples(index=False):
-                p, h, before = groups.get((s, bool(r)), (None, None, 0))
-                if p is None or (path, head) < (p, h):
-                    p, h = path, head
-                groups[s, bool(r)] = (p, h, before + int(n))
-        flat = [(*k, *v) for k, v in groups.items()]
-        self.seen.update((json.dumps(flat),))
-        yield pd.DataFrame([(key[0], *g) for g in flat], columns=_GROUP_NAMES)
-
-    def close(self) -> None:
-        pass
+    The state comes and goes with the rows, many studies an Arrow batch, and groups travel as
+    one column of JSON: what a study costs here is mostly the number of its columns.
+    """
+    groups = {(s, r): (p, h, n) for s, r, p, h, n in json.loads(state.get[0])} if state.exists else {}
+    for pdf in rows:
+        for text in pdf["part"]:
+            s, r, path, head, n = json.loads(text).values()
+            p, h, before = groups.get((s, r), (None, None, 0))
+            if p is None or (path, head) < (p, h):
+                p, h = path, head
+            groups[s, r] = (p, h, before + n)
+    flat = [(*k, *v) for k, v in groups.items()]
+    state.update((json.dumps(flat),))
+    yield pd.DataFrame({"study_uid": [key[0]], "groups": [json.dumps([dict(zip(_GROUP_NAMES[1:], g, strict=True)) for g in flat])]})
 
 
 def partial_groups(headers: DataFrame) -> DataFrame:
@@ -88,8 +84,12 @@ def partial_groups(headers: DataFrame) -> DataFrame:
 def series_groups(headers: DataFrame) -> DataFrame:
     """A stream of :func:`triage.file_groups` rows: all groups of every study that a micro-batch touches."""
     attrs = T.StructType([f for f in headers.schema if f.name not in ("study_uid", "series_uid", "path")])
-    state = partial_groups(headers).groupBy("study_uid").transformWithStateInPandas(SeriesState(), _GROUP, "Update", "None")
-    told = state.withColumn("head", F.from_json("head", attrs))
+    part = F.to_json(F.struct(*_GROUP_NAMES[1:]), {"ignoreNullFields": "false"})
+    state = (partial_groups(headers).select("study_uid", part.alias("part")).groupBy("study_uid")
+             .applyInPandasWithState(merge_series, "study_uid string, groups string", "groups string", "update", "NoTimeout"))
+    kind = T.ArrayType(T.StructType.fromDDL(_GROUP.split(", ", 1)[1]))
+    flat = state.select("study_uid", F.explode(F.from_json("groups", kind)).alias("g")).select("study_uid", "g.*")
+    told = flat.withColumn("head", F.from_json("head", attrs))
     return told.select("study_uid", "series_uid", "readable", "first_path", "head.*", "slice_count")
 
 
