@@ -151,3 +151,12 @@ def test_a_result_of_an_earlier_scoring_does_not_count(spark):
     for load, routed, seen in ((0, 0, "abc"), (1, 1, "abc"), (2, 0, "c")):
         scan.append(spark.createDataFrame([(s, "processed", None, routed) for s in seen], scored), load, f"{state}/scored")
     assert {(r.study_uid, r.dominant_class) for r in scan.scanned(spark, store, state).collect()} == {("b", "b1"), ("c", "c1")}
+
+
+@pytest.mark.parametrize("name, moved", [("series_rollup", 1), ("series_select_simple", 1), ("study_triage", 1), ("archive_scan", 3)])
+def test_roll_ups_move_no_header_text(spark, name, moved):
+    """Files are gathered by study (and pixels by series) while they are numbers; no text of theirs is dealt again by series."""
+    from slicewise.plans.queries import QUERIES
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == moved
+    assert not [at for at in plan.split("hashpartitioning(")[1:] if "readable" in at.split(")")[0]]
