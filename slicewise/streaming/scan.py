@@ -94,8 +94,8 @@ def series_groups(headers: DataFrame) -> DataFrame:
 
 
 def append(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Keep a micro-batch as one partition; a repeated batch writes the same one again."""
-    (batch.withColumn("load", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+    """Keep a micro-batch as one partition of few files; a repeated batch writes the same one again."""
+    (batch.withColumn("load", F.lit(batch_id).cast("bigint")).hint("rebalance").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path))
 
 
@@ -196,17 +196,20 @@ def scoring_writer(ready: DataFrame, blocks: DataFrame, make_predict: Callable,
     return queued(ready, size, wait_ms, queues).writeStream.outputMode("update").foreachBatch(write)
 
 
-def drain(query: StreamingQuery, until: Callable[[], bool] | None = None) -> None:
+def drain(query: StreamingQuery, until: Callable[[], bool] | None = None, settled: Callable[[], bool] | None = None) -> None:
     """Wait until no input is left and no key holds state (or ``until`` says so), then stop the query between two batches.
 
     A queue with timers runs batches without input for as long as it lives, so it has
-    no end of its own.
+    no end of its own. ``settled`` tells from what was written whether a query without input is
+    done. A query that ends before is a failure, also one that does not say why.
     """
-    while query.isActive:
-        done = query.recentProgress
+    while True:
+        active, done = query.isActive, query.recentProgress
+        if not active:
+            raise query.exception() or RuntimeError("the query ended before its input did, without a reason")
         # a restarted query may first repeat a batch without input, planned before newer files came: the second one has looked for them
         idle = len(done) > 1 and done[-1].numInputRows == 0 and not any(s.numRowsTotal for s in done[-1].stateOperators)
-        if idle or (until is not None and until()):
+        if (until is not None and until()) or (idle and (settled is None or settled())):
             break
         time.sleep(0.05)
     patience = time.monotonic() + 3
@@ -218,6 +221,14 @@ def drain(query: StreamingQuery, until: Callable[[], bool] | None = None) -> Non
         raise failed
 
 
+def all_scored(spark: SparkSession, state_path: str) -> bool:
+    """Whether the last routing of every ready study has been scored."""
+    ready = tables.stored(spark, f"{state_path}/ready", ready_schema(())).groupBy("study_uid").agg(F.max("load").alias("load"))
+    scored = (tables.stored(spark, f"{state_path}/scored", SCORED).groupBy(F.col("study_folder").alias("study_uid"))
+              .agg(F.max("routed").alias("routed")))
+    return ready.join(scored, "study_uid", "left").filter("routed is null or routed < load").isEmpty()
+
+
 def scanned(spark: SparkSession, store: str, state_path: str, writer: str = "scan") -> DataFrame:
     """The results of studies whose last routing was ready and whose last scoring did not fail.
 
@@ -246,9 +257,10 @@ def run_scan(spark: SparkSession, header_parts: list[DataFrame], source: Callabl
         writer = triage_writer(headers, existing, visited, state, as_of, days_back, min_slices)
         writer.option("checkpointLocation", triage_progress).trigger(availableNow=True).start().awaitTermination()
         ready = spark.readStream.schema(ready_schema(flows.carried(headers))).option("maxFilesPerTrigger", 8).parquet(f"{state}/ready")
-        query = (scoring_writer(ready, blocks, make_predict, shape, store, state).option("checkpointLocation", score_progress)
-                 .trigger(processingTime="2 seconds").start())
-        last = i + 1 == len(header_parts)
-        # all but the last run stop in the middle: what waits then is taken up from the checkpoint
-        drain(query, None if last else lambda q=query: any(p.numInputRows for p in q.recentProgress))
+        writer = scoring_writer(ready, blocks, make_predict, shape, store, state).option("checkpointLocation", score_progress)
+        if i + 1 < len(header_parts):
+            # one batch (with timers ``availableNow`` has no end), never cut short: what waits in the queues is taken up from the checkpoint
+            writer.trigger(once=True).start().awaitTermination()
+        else:
+            drain(writer.trigger(processingTime="2 seconds").start(), settled=lambda: all_scored(spark, state))
     return scanned(spark, store, state)

@@ -160,3 +160,38 @@ def test_roll_ups_move_no_header_text(spark, name, moved):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == moved
     assert not [at for at in plan.split("hashpartitioning(")[1:] if "readable" in at.split(")")[0]]
+
+
+class EndedQuery:
+    """A query whose thread died without leaving its exception."""
+
+    isActive, recentProgress = False, []
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        pass
+
+
+def test_a_query_that_ends_on_its_own_is_a_failure():
+    with pytest.raises(RuntimeError):
+        scan.drain(EndedQuery())
+
+
+def test_a_study_is_settled_when_its_last_routing_is_scored(spark):
+    state = fresh_path(spark, "state")
+    assert scan.all_scored(spark, state)
+    for load, studies in ((0, ["a", "b"]), (1, ["b"])):
+        scan.append(ready(spark, studies, load).drop("load"), load, f"{state}/ready")
+    scored = "study_folder string, status string, reason string, routed bigint"
+    scan.append(spark.createDataFrame([("a", "processed", None, 0), ("b", "processed", None, 0)], scored), 0, f"{state}/scored")
+    assert not scan.all_scored(spark, state)
+    scan.append(spark.createDataFrame([("b", "error", "bad", 1)], scored), 1, f"{state}/scored")
+    assert scan.all_scored(spark, state)
+
+
+def test_a_load_is_one_small_file(spark):
+    path = fresh_path(spark, "log")
+    scan.append(spark.range(100).repartition(8), 0, path)
+    assert len(spark.read.parquet(path).inputFiles()) == 1
