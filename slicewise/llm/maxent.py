@@ -37,6 +37,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,8 @@ PULL, PAIR_PULL = 2.0, 20.0
 PARTS = 4
 #: Different words that a counting task holds before it hands them on, and words kept with their hash.
 HOLD = 300_000
-#: Bytes of text that are turned into arrays at once.
-CHUNK = 4 << 20
+#: Bytes of text that are turned into arrays at once; they take some forty times as much.
+CHUNK = 1 << 20
 END = b""
 
 
@@ -101,16 +102,15 @@ def tokens_of(data: bytes) -> list[bytes]:
     return [END, END, *data.lower().split(), END]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK`` bytes."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a column of about ``CHUNK`` bytes and their texts: only one range's texts and arrays are there at a time."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = min(int(np.searchsorted(ends, before + CHUNK)) + 1, len(ends))
+        yield start, end, byte_texts(column.slice(start, end - start))
+        start = end
 
 
 def coded(texts: list[bytes], codes: Codes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -212,9 +212,8 @@ def first_pass(texts: DataFrame) -> DataFrame:
                  none.cast(pa.int32()), none.cast(pa.binary())], names)
 
         for batch in batches:
-            data = byte_texts(batch.column(0))
-            for a, b in chunks(data):
-                tokens, code, starts = coded(data[a:b], codes)
+            for _, _, data in chunks(batch.column(0)):
+                tokens, code, starts = coded(data, codes)
                 _, slot, last, _ = context(code, starts)
                 total += np.bincount(bucket(last) * SLOTS + slot, minlength=NEAR * SLOTS)
                 for t in tokens:
@@ -253,11 +252,10 @@ def contexts(texts: DataFrame, kind: np.ndarray) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, totals = Codes(), [np.zeros(2 * rows * width, np.int64) for _, rows, width in tables]
         for batch in batches:
-            data = byte_texts(batch.column(0))
-            for a, b in chunks(data):
-                tokens, code, starts = coded(data[a:b], codes)
+            for _, _, data in chunks(batch.column(0)):
+                tokens, code, starts = coded(data, codes)
                 _, slot, last, far = context(code, starts)
-                keep = np.repeat([crc32(t) % KEEP_ONE_IN == 0 for t in data[a:b]], [len(t) - 2 for t in tokens])
+                keep = np.repeat([crc32(t) % KEEP_ONE_IN == 0 for t in data], [len(t) - 2 for t in tokens])
                 cells = ((bucket(last) * FAR + bucket(far) % FAR) * CLASSES + kind[slot],
                          (kind[last % SLOTS] * FAR_CLASS + kind[far % SLOTS] % FAR_CLASS) * SLOTS + slot)
                 for total, cell in zip(totals, cells, strict=True):
@@ -359,9 +357,8 @@ def scored(docs: DataFrame, model: Model, head: list[tuple[bytes, int]]) -> Data
         from pyspark import TaskContext
         codes, row = Codes(numbers), TaskContext.get().partitionId() << 40
         for batch in batches:
-            data = byte_texts(batch.column(1))
-            for a, b in chunks(data):
-                tokens, code, starts = coded(data[a:b], codes)
+            for a, b, data in chunks(batch.column(1)):
+                tokens, code, starts = coded(data, codes)
                 at, slot, last, far = context(code, starts)
                 number = code[at] // (SLOTS * NEAR)
                 group = slot_class[slot]

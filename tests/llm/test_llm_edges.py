@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -204,3 +206,14 @@ def test_pages_of_the_table(spark):
         article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"<p>|</p>|</?h1>", article)]
         assert extraction.main_text(r.html) == "\n\n".join(b for b in blocks if b)
+
+
+def test_ranges_of_texts_hold_few_bytes_and_every_text():
+    rng = np.random.RandomState(3)
+    texts = [None if i % 50 == 0 else "w" * int(rng.randint(0, 3000)) for i in range(4000)] + ["x" * (3 * maxent.CHUNK), ""]
+    column = pa.array(texts).slice(7)
+    got = list(maxent.chunks(column))
+    assert [t for _, _, part in got for t in part] == [(t or "").encode() for t in texts[7:]]
+    assert [a for a, _, _ in got] == [0, *[b for _, b, _ in got[:-1]]] and got[-1][1] == len(column)
+    assert all(sum(map(len, part[:-1])) < maxent.CHUNK <= 1 << 20 for _, _, part in got)
+    assert list(maxent.chunks(column.slice(0, 0))) == []
