@@ -155,7 +155,8 @@ def train(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: str
     deal = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
     chosen = labelled.filter(draw < share).select(
         label.cast("int").alias("label"), F.col(text).alias("text"), weight.alias("weight"), kept.alias("kept"), deal.alias("deal"))
-    sample = durable(sample_features(chosen).repartition(PARTS, "deal").drop("deal"), "language-sample")
+    # a round of the fit sends weights from every partition: few of them, into however many files the sample was dealt
+    sample = durable(sample_features(chosen).repartition(PARTS, "deal").drop("deal"), "language-sample").coalesce(PARTS)
     start = np.zeros((BUCKETS, code.shape[1]), np.float32)
     trial = descend(sample.filter("not kept"), _gradient(code), start, ROUNDS, 0.5)
     bits = _reliability(sample.filter("kept"), code, trial)

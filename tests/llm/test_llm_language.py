@@ -56,3 +56,15 @@ def test_a_language_with_one_text_is_learned(spark):
     rows = [(i, f"der hund und die katze gehen {i} mal heim", "de") for i in range(40)] + [(99, "όλα τα παιδιά πάνε στο σχολείο", "el")]
     model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
     assert model.predict("τα παιδιά")[0] == "el" and model.predict("die katze")[0] == "de"
+
+
+def test_a_round_of_the_fit_has_few_partitions_however_the_sample_was_dealt(spark, monkeypatch):
+    """Every partition sends a gradient as large as the weights to the driver."""
+    seen = []
+    whole = langid.descend
+    monkeypatch.setattr(langid, "descend", lambda table, *a: seen.append(table.rdd.getNumPartitions()) or whole(table, *a))
+    monkeypatch.setattr(langid, "durable", lambda df, name: df.repartition(64))
+    monkeypatch.setattr(langid, "ROUNDS", 1)
+    docs = spark.createDataFrame([(i, f"word{i} text{i % 7}", "ab"[i % 2]) for i in range(60)], "doc_id bigint, text string, lang string")
+    langid.train(docs, F.lit(True))
+    assert seen and max(seen) <= langid.PARTS
