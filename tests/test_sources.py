@@ -198,3 +198,31 @@ def test_staged_reading_fetches_heads_only(spark, tmp_path):
     assert max(r.bytes_read for r in read if "/s2/" in r.path) == 8192 and max(r.bytes_read for r in read if "/s2/" not in r.path) == 512
     gone = files.read_heads(spark.createDataFrame([("f", str(tmp_path / "none.dcm"))], "study_folder string, path string"), json_head).first()
     assert gone.study_folder == "f" and gone.error and gone.bytes_read == 0
+
+
+def test_packed_files_take_little_disk_and_read_like_loose_ones(spark, tmp_path, monkeypatch):
+    """Every order's image lies in an archive, is listed with its whole length and opened by its address."""
+    from slicewise.plans import inputs
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert inputs.image_files(spark, "/root/testdata/sf0.001", str(tmp_path / "all")) == orders
+    listed = files.list_packed(spark, str(tmp_path / "all"))
+    assert listed.distinct().count() == orders and listed.agg(F.min("length")).first()[0] == 5015
+    taken = sum(512 * p.stat().st_blocks for p in (tmp_path / "all").rglob("*"))
+    assert taken < 200 * orders  # loose files: two blocks of 4,096 bytes each, and their folders
+
+    rows = spark.range(500).selectExpr("concat(id % 7, '/s/', id, '.dcm') name", "repeat('x', int(id * 37)) body").coalesce(1).sortWithinPartitions("name")
+    monkeypatch.setattr(files, "ARCHIVE_BYTES", 1 << 20)
+    for _ in range(2):  # a task that repeats leaves the same archives
+        files.pack_files(rows, str(tmp_path / "some"), str.encode)
+    got = {r.path.split("some/")[1]: r for r in files.list_packed(spark, str(tmp_path / "some")).collect()}
+    assert len(list((tmp_path / "some").glob("*.tar.zst"))) == 5 and len(got) == 500
+    opener = files.packed_opener()
+    for r in rows.collect():
+        with opener(got[r.name].address) as f:
+            assert f.read() == r.body.encode() and got[r.name].length == len(r.body)
+    heads = files.read_heads(files.by_frame(files.file_studies(files.list_packed(spark, str(tmp_path / "some")))),
+                             lambda data: {"study_uid": str(len(data))} if len(data) >= 64 else None, opener=files.packed_opener(), head_bytes=16)
+    read = heads.collect()
+    assert sorted(r.path.split("some/")[1] for r in read) == sorted(got)
+    assert {(r.study_uid, r.error, r.bytes_read) for r in read} == {("64", None, 64), (None, "header without an end", 0), (None, "header without an end", 37)}
