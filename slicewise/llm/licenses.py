@@ -2,11 +2,12 @@
 
 Paragraphs are lines up to a blank one. Their lines (long ones in overlapping windows) and
 every passage of theirs that holds most word pairs of a notice, wherever lines break, are
-classified by multinomial logistic regression over hashed word 1- and 2-grams. Training paragraphs are public licence notices with words left out and
-words of other notices added, by hash; the unknown class learns from a bounded sample of
-the corpus' own lines, drawn by hash from whole documents, and from shuffled notices, whose words are right and whose
-order is not. A family is predicted when its probability reaches a threshold that is
-calibrated on the sample's held-out lines; the prediction is confirmed when the line or passage
+classified by multinomial logistic regression over hashed word 1- and 2-grams: those of the notices, and how many
+other words there are. Training paragraphs are public licence notices with words left out, by hash; the unknown class
+learns from all lines of the corpus, and from shuffled notices, whose words are right and whose order is not. Lines with the
+same features are one training row with their number, so no line is left out and the fit meets distinct rows only.
+A family is predicted when its probability reaches a threshold that is calibrated on
+all held-out lines, one in four by hash; the prediction is confirmed when the line or passage
 holds most word pairs of one of the family's notices.
 
 Defined results: a null text has no paragraphs; paragraphs without a word do not count;
@@ -16,6 +17,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -65,10 +68,12 @@ NOTICES = (
 )
 FAMILIES = sorted({f for f, _ in NOTICES})
 FEATURES = 1 << 14
-#: Variants of each notice; expected number of corpus lines in the training sample.
-VARIANTS, CORPUS_SAMPLE = 30, 3000
+#: Variants of each notice, which weigh 1; weight of all corpus lines of the fit together; expected number of lines of a sample.
+VARIANTS, CORPUS_WEIGHT, CORPUS_SAMPLE = 30, 2250, 3000
 #: Share of unknown held-out paragraphs that may reach the threshold; share of a notice's word pairs that confirms it.
 FALSE_ALARM, CONFIRMED = 0.002, 0.6
+#: Thresholds are steps of the log odds, so many a unit, from 0 to the last one.
+STEPS, LAST_STEP = 64, 64 * 36
 #: Words of a window of a long line; next windows start half of it later.
 WINDOW = 64
 #: Where a paragraph ends.
@@ -93,10 +98,25 @@ def pairs(tokens: Column) -> Column:
     return F.zip_with(first, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Adds ``grams`` to rows with the hashes ``words`` and ``pairs``: the notices' words and pairs among them, and how many
+    other words there are, doubling from code to code. Equal sets are equal arrays."""
+    _, all_words, all_pairs = templates(rows.sparkSession)
+    rows = rows.withColumn("known", F.array_intersect(all_words, "words"))
+    others = F.size(F.array_distinct("words")) - F.size("known")
+    # a code below any hash that occurs; none without other words
+    code = F.when(others > 0, F.array(F.ceil(F.log2(others + 1)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("grams", F.concat("known", F.array_intersect(all_pairs, "pairs"), code)).drop("known")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Adds binary ``features`` to rows with ``grams``."""
+    return HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(rows)
+
+
 def featured(rows: DataFrame) -> DataFrame:
-    """Adds binary 1- and 2-gram ``features`` to rows with the hashes ``words`` and ``pairs``."""
-    grams = rows.withColumn("grams", F.concat("words", "pairs"))
-    return HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features", binary=True).transform(grams)
+    """Adds ``grams`` and their binary ``features`` to rows with the hashes ``words`` and ``pairs``."""
+    return hashed(with_grams(rows))
 
 
 def windows(tokens: Column, length: Column, step: Column) -> Column:
@@ -148,12 +168,12 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label int, family string, nth int, text string").withColumn("words", words(F.col("text")))
 
 
-def templates(spark: SparkSession) -> tuple[Column, Column]:
-    """The notices' labels, words and word pairs as one array, and all their word pairs: a few dozen fixed texts, no join."""
+def templates(spark: SparkSession) -> tuple[Column, Column, Column]:
+    """The notices' labels, words and word pairs as one array, all their words and all their word pairs: a few dozen fixed texts, no join."""
     known = notices(spark).withColumn("pairs", pairs(F.col("words"))).orderBy("nth").collect()
     longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
     each = F.array(*[F.struct(F.lit(r.label).alias("label"), longs(r.words).alias("words"), longs(sorted(set(r.pairs))).alias("pairs")) for r in known if r.pairs])
-    return each, longs(sorted({p for r in known for p in r.pairs}))
+    return each, longs(sorted({w for r in known for w in r.words})), longs(sorted({p for r in known for p in r.pairs}))
 
 
 def holds(template: Column, found: Column) -> Column:
@@ -164,7 +184,7 @@ def holds(template: Column, found: Column) -> Column:
 def sampled_lines(docs: DataFrame, text: str) -> DataFrame:
     """(words, pairs) of about CORPUS_SAMPLE different lines, from anywhere in any document.
 
-    A hash of the line draws it, so a line that stands everywhere is drawn once or not at
+    For a quick fit; the query learns from all lines. A hash of the line draws it, so a line that stands everywhere is drawn once or not at
     all; of a line longer than a window one window is taken, at a place by hash.
     """
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
@@ -177,8 +197,8 @@ def sampled_lines(docs: DataFrame, text: str) -> DataFrame:
             .withColumn("pairs", pairs(F.col("words"))))
 
 
-def training_rows(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
-    """(label, held_out, words): notices in variants, shuffled notices, and corpus paragraphs."""
+def notice_rows(spark: SparkSession) -> DataFrame:
+    """(label, held_out, grams, n): notices in variants and shuffled notices, each one row."""
     known = notices(spark)
     copies = known.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     chance = lambda w, i, salt: F.pmod(F.xxhash64(w, i, F.col("v"), F.col("nth"), F.lit(salt)), F.lit(1000)) / 1000.0
@@ -187,24 +207,67 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
     held = F.pmod(F.xxhash64("v", "nth"), F.lit(4)) == 0
     variants = copies.select("label", held.alias("held_out"), fewer.alias("words"))
     wrong = copies.filter("v < 8 and size(words) > 6").select(F.lit(0).alias("label"), F.lit(False).alias("held_out"), shuffled.alias("words"))
-    # written first: a filter on pairs would be moved below their projection and work them out once a notice
-    lines = durable(sampled_lines(docs, text), "licence-sample")
-    # those that hold a notice would be wrong labels
-    corpus = (lines.filter("size(words) > 0").filter(~F.exists(templates(spark)[0], lambda t: holds(t, F.col("pairs"))))
-              .select(F.lit(0).alias("label"), (F.pmod(F.xxhash64("words", F.lit("held out")), F.lit(4)) == 0).alias("held_out"), "words"))
-    return variants.unionAll(wrong).unionAll(corpus).withColumn("pairs", pairs(F.col("words")))
-
-
-def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the threshold of its family probabilities."""
-    rows = durable(training_rows(spark, docs, text).coalesce(4), "licence-training")
-    rows = featured(rows).select("label", "held_out", "features")
-    fit = LogisticRegression(maxIter=25, regParam=0.002, family="multinomial", standardization=False,
-                             probabilityCol="probability", rawPredictionCol="", predictionCol="")
-    model = fit.fit(rows.filter("not held_out"))
-    seen = model.transform(rows.filter("held_out and label = 0")).select((1 - vector_to_array("probability")[0]).alias("p"))
-    limit = seen.agg(F.percentile("p", F.lit(1 - FALSE_ALARM))).first()[0]
-    return model, max(0.5, limit or 0.0)
+    rows = with_grams(variants.unionAll(wrong).withColumn("pairs", pairs(F.col("words"))))
+    return rows.select("label", "held_out", "grams", F.lit(1).cast("bigint").alias("n"))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """Rows with the hashes ``words`` and ``pairs`` as what the fit and the scan need of them: any, held_out, grams.
+
+    Written once for both.
+    """
+    held = F.pmod(F.xxhash64("words", F.lit("held out")), F.lit(4)) == 0
+    place = [c for c in ("row", "doc_id", "block") if c in rows.columns]
+    return durable(with_grams(rows).select(*place, (F.size("words") > 0).alias("any"), held.alias("held_out"), "grams"), "licence-segments")
+
+
+def coded_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All lines and notice passages of ``docs``, coded."""
+    known, _, all_pairs = templates(docs.sparkSession)
+    return coded(segments(docs, known, all_pairs, doc_id, text))
+
+
+def corpus_rows(lines: DataFrame) -> DataFrame:
+    """(label, held_out, grams, n) of coded lines: n of them have the same grams; those that hold a notice would be wrong labels."""
+    known = templates(lines.sparkSession)[0]
+    alike = lines.filter("any").groupBy("held_out", "grams").agg(F.count(F.lit(1)).alias("n"))
+    return alike.filter(~F.exists(known, lambda t: holds(t, F.col("grams")))).select(F.lit(0).alias("label"), "held_out", "grams", "n")
+
+
+def fit(lines: DataFrame) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and the threshold of its family probabilities, from all coded lines."""
+    told = durable(notice_rows(lines.sparkSession).coalesce(1), "licence-notices")
+    corpus = durable(corpus_rows(lines), "licence-lines")
+    learned = corpus.filter("not held_out").agg(F.sum("n")).first()[0] or 1
+    rows = (told.withColumn("weight", F.lit(1.0)).unionAll(corpus.withColumn("weight", F.col("n") * (CORPUS_WEIGHT / learned)))
+            .filter("not held_out"))
+    regression = LogisticRegression(maxIter=25, regParam=0.002, family="multinomial", standardization=False, weightCol="weight",
+                                    probabilityCol="probability", rawPredictionCol="", predictionCol="")
+    model = regression.fit(hashed(rows).select("label", "weight", "features"))
+    return model, calibrated(model, corpus.filter("held_out"))
+
+
+def calibrated(model: LogisticRegressionModel, unknown: DataFrame) -> float:
+    """The lowest step of the log odds that at most FALSE_ALARM of the unknown lines (grams, n) reach, as a probability from 0.5 on."""
+    none = vector_to_array("probability")[0]
+    scored = model.transform(hashed(unknown).select("features", "n")).select("n", none.alias("none"))
+    odds = F.log1p(-F.col("none")) - F.log(F.greatest("none", F.lit(1e-300)))
+    step = F.greatest(F.lit(0), F.least(F.lit(LAST_STEP), F.floor(odds * STEPS).cast("int")))
+    counts = {r.step: r.n for r in scored.groupBy(step.alias("step")).agg(F.sum("n").alias("n")).collect()}  # LAST_STEP + 1 rows at most
+    spare = FALSE_ALARM * sum(counts.values())
+    lowest = 0
+    for at in sorted(counts, reverse=True):
+        spare -= counts[at]
+        if spare < 0:
+            lowest = at + 1 if at else 0
+            break
+    return 1 / (1 + math.exp(-lowest / STEPS))
+
+
+def train(spark: SparkSession, docs: DataFrame, text: str = "text", sample: bool = False) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and the threshold from the lines of ``docs``: all of them, or a bounded sample."""
+    lines = coded(sampled_lines(docs, text)) if sample else coded_segments(docs.select(F.lit(0).alias("doc_id"), text), text=text)
+    return fit(lines)
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,14 +276,18 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float, doc_
     ``families`` are the confirmed ones in order, joined by commas; ``license`` is that
     of the likeliest confirmed line or passage, or ``none``.
     """
-    known, all_pairs = templates(docs.sparkSession)
-    rows = featured(segments(docs, known, all_pairs, doc_id, text))
-    scored = model.transform(rows.select("row", "doc_id", "block", "words", "pairs", "features")).withColumn("chance", vector_to_array("probability"))
+    return judged(coded_segments(docs, doc_id, text), model, threshold)
+
+
+def judged(lines: DataFrame, model: LogisticRegressionModel, threshold: float) -> DataFrame:
+    """The rows of :func:`scan` from coded segments."""
+    known = templates(lines.sparkSession)[0]
+    scored = model.transform(hashed(lines)).withColumn("chance", vector_to_array("probability"))
     chance = F.col("chance")  # a column of its own, so that it is worked out once
     best = F.when(1 - chance[0] < threshold, F.lit(0)).otherwise(
         F.array_position(F.slice(chance, 2, len(FAMILIES)), F.array_max(F.slice(chance, 2, len(FAMILIES)))).cast("int"))
-    told = scored.select("row", "doc_id", "block", (F.size("words") > 0).alias("any"), "pairs", best.alias("label"), (1 - chance[0]).alias("p"))
-    held = F.exists(F.filter(known, lambda t: t["label"] == F.col("label")), lambda t: holds(t, F.col("pairs")))
+    told = scored.select("row", "doc_id", "block", "any", "grams", best.alias("label"), (1 - chance[0]).alias("p"))
+    held = F.exists(F.filter(known, lambda t: t["label"] == F.col("label")), lambda t: holds(t, F.col("grams")))
     checked = told.withColumn("confirmed", F.when(F.col("any") & (F.col("label") > 0), held).otherwise(F.lit(False)))
     name = F.element_at(F.array(*map(F.lit, FAMILIES)), F.greatest("label", F.lit(1)))
     family = F.when(F.col("confirmed"), name)

@@ -64,8 +64,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licenses.scan(docs, *licenses.train(spark, docs))
+    lines = licenses.coded_segments(table(spark, sf_dir, "documents"))
+    return licenses.judged(lines, *licenses.fit(lines))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

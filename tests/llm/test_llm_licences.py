@@ -60,3 +60,24 @@ def test_prediction_equals_brute_force(spark, model):
         margin = weights[:, r.features.indices].sum(axis=1) + shift
         chance = np.exp(margin - margin.max())
         assert np.allclose(r.probability.toArray(), chance / chance.sum())
+
+
+def test_the_fit_and_the_threshold_meet_every_line(spark):
+    """Also of a corpus with many more lines than a sample has: 40,000 lines, some rare ones near a notice."""
+    docs = spark.range(8).selectExpr("id doc_id", """array_join(transform(sequence(1, 5000), i -> concat('w', id, 'v', i,
+        if(i % 97 = 0, ' licensed under the terms of the house', ' of the river'))), '\n') text""")
+    notice = spark.createDataFrame([(99, "a b\nReleased under the MIT License.\n\n" + "word " * 9)], "doc_id bigint, text string")
+    lines = licenses.coded_segments(docs.unionAll(notice))
+    corpus = licenses.corpus_rows(lines)
+    assert corpus.agg(licenses.F.sum("n")).first()[0] == 40_002  # all but the notice and its passage
+    assert corpus.count() < 20
+    fit, threshold = licenses.fit(lines)
+    held = fit.transform(licenses.hashed(corpus.filter("held_out"))).collect()
+    total = sum(r.n for r in held)
+    assert 9_000 < total < 11_000
+    reach = lambda t: sum(r.n for r in held if 1 - r.probability[0] >= t)
+    odds = licenses.math.log(threshold / (1 - threshold)) - 1.01 / licenses.STEPS
+    assert reach(threshold) <= licenses.FALSE_ALARM * total
+    assert threshold == 0.5 or reach(1 / (1 + licenses.math.exp(-odds))) > licenses.FALSE_ALARM * total
+    found = {r.doc_id: r for r in licenses.scan(notice, fit, threshold).collect()}
+    assert found[99].families == "MIT" and found[99].n_paragraphs == 2
