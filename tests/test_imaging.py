@@ -230,3 +230,11 @@ def test_packed_steps_equal_the_steps_on_arrays(spark, mode):
         key = lambda r: (r["image_id"], r["copy"] if "copy" in r else 0)
         want = {key(r): packed.to_bytes(r["image_norm"]) for r in map(lambda r: r.asDict(), plain.collect())}
         assert {key(r): bytes(r["image_half"]) for r in map(lambda r: r.asDict(), small.collect())} == want
+
+
+def test_report_items_index_and_rank_the_slices_once(spark):
+    """The hot range and the list of hot slices come from one pass."""
+    from slicewise.plans import queries
+
+    plan = queries.QUERIES["report_items"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) == 2
