@@ -18,6 +18,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,64 +34,59 @@ QUEUE, WAIT_MS, QUEUES = 16, 2_000, 8
 OUTCOMES = "study_folder STRING, status STRING, reason STRING, load BIGINT"
 #: Outcomes of scoring; ``routed`` is the load of the routing that was scored.
 SCORED = f"{OUTCOMES}, routed BIGINT"
-_GROUP = "study_uid string, series_uid string, readable boolean, first_path string, head string, slice_count bigint"
-_GROUP_NAMES = [f.split()[0] for f in _GROUP.split(", ")]
+_KEYS = ["study_uid", "series_uid", "readable"]
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """Queries that this session starts keep their state in the store that keyed state and timers need."""
+    """Queries that this session starts keep their state in the store that keyed state and timers need, packed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-def merge_series(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Per study: the first file and the number of files of each (series, readable); bounded by its series.
-
-    The state comes and goes with the rows, many studies an Arrow batch, and groups travel as
-    one column of JSON: what a study costs here is mostly the number of its columns.
-    """
-    groups = {(s, r): (p, h, n) for s, r, p, h, n in json.loads(state.get[0])} if state.exists else {}
-    for pdf in rows:
-        for text in pdf["part"]:
-            s, r, path, head, n = json.loads(text).values()
-            p, h, before = groups.get((s, r), (None, None, 0))
-            if p is None or (path, head) < (p, h):
-                p, h = path, head
-            groups[s, r] = (p, h, before + n)
-    flat = [(*k, *v) for k, v in groups.items()]
-    state.update((json.dumps(flat),))
-    yield pd.DataFrame({"study_uid": [key[0]], "groups": [json.dumps([dict(zip(_GROUP_NAMES[1:], g, strict=True)) for g in flat])]})
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.compression", "zstd")
 
 
 def partial_groups(headers: DataFrame) -> DataFrame:
     """Files per study, series and readability within each Arrow batch, so that a huge study reaches its key as few rows.
 
-    ``head`` holds the other header fields of the first file as JSON.
+    ``head`` holds the other header fields of the first file; of files with one path the least ``tie`` goes first.
     """
     attrs = [c for c in headers.columns if c not in ("study_uid", "series_uid", "path")]
-    slim = headers.select("study_uid", F.coalesce("series_uid", F.lit("unknown")).alias("series_uid"),
-                          F.col("error").isNull().alias("readable"), F.col("path").alias("first_path"), F.to_json(F.struct(*attrs)).alias("head"))
+    slim = headers.select("study_uid", F.coalesce("series_uid", F.lit("unknown")).alias("series_uid"), F.col("error").isNull().alias("readable"),
+                          F.col("path").alias("first_path"), F.xxhash64(*attrs).alias("tie"), F.struct(*attrs).alias("head"))
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = ["study_uid", "series_uid", "readable"]
-            by = pdf.sort_values(["first_path", "head"]).groupby(keys, sort=False, dropna=False)
-            first = by.head(1).set_index(keys)
-            yield first.assign(slice_count=by.size()).reset_index()[_GROUP_NAMES]
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            order = pc.sort_indices(rows, [("first_path", "ascending"), ("tie", "ascending")])
+            ordered = rows.select(_KEYS).take(order).append_column("at", pa.array(range(len(order)), pa.int64()))
+            by = ordered.group_by(_KEYS, use_threads=False).aggregate([("at", "min"), ("at", "count")])
+            first = rows.take(order.take(by["at_min"].combine_chunks()))
+            yield from first.append_column("slice_count", by["at_count"]).combine_chunks().to_batches()
 
-    return slim.mapInPandas(step, _GROUP)
+    return slim.mapInArrow(step, T.StructType([*slim.schema, T.StructField("slice_count", T.LongType())]))
 
 
 def series_groups(headers: DataFrame) -> DataFrame:
-    """A stream of :func:`triage.file_groups` rows: all groups of every study that a micro-batch touches."""
-    attrs = T.StructType([f for f in headers.schema if f.name not in ("study_uid", "series_uid", "path")])
-    part = F.to_json(F.struct(*_GROUP_NAMES[1:]), {"ignoreNullFields": "false"})
-    state = (partial_groups(headers).select("study_uid", part.alias("part")).groupBy("study_uid")
-             .applyInPandasWithState(merge_series, "study_uid string, groups string", "groups string", "update", "NoTimeout"))
-    kind = T.ArrayType(T.StructType.fromDDL(_GROUP.split(", ", 1)[1]))
-    flat = state.select("study_uid", F.explode(F.from_json("groups", kind)).alias("g")).select("study_uid", "g.*")
-    told = flat.withColumn("head", F.from_json("head", attrs))
-    return told.select("study_uid", "series_uid", "readable", "first_path", "head.*", "slice_count")
+    """A stream of :func:`triage.file_groups` rows: those of every study that a micro-batch touches.
+
+    The state of a study is a list of its partial groups that the engine itself keeps and appends to:
+    a study costs no call of Python. A series that came in several micro-batches has a row for each, which
+    :func:`whole_groups` makes one.
+    """
+    parts = partial_groups(headers)
+    told = F.struct(*[c for c in parts.columns if c != "study_uid"])
+    state = parts.groupBy("study_uid").agg(F.collect_list(told).alias("parts"))
+    flat = state.select("study_uid", F.explode("parts").alias("p")).select("study_uid", "p.*")
+    return flat.select("study_uid", "series_uid", "readable", "first_path", "tie", "head.*", "slice_count")
+
+
+def whole_groups(parts: DataFrame) -> DataFrame:
+    """One row per study, series and readability: the first file of all parts, and the number of files."""
+    fields = [c for c in parts.columns if c not in (*_KEYS, "tie", "slice_count")]
+    rank = F.struct(F.col("first_path").isNull().alias("a"), F.col("first_path").alias("b"), F.col("tie").alias("c"))
+    return (parts.groupBy(*_KEYS).agg(F.min_by(F.struct(*fields), rank).alias("f"), F.sum("slice_count").alias("slice_count"))
+            .select(*_KEYS, "f.*", "slice_count"))
 
 
 def append(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -108,7 +104,8 @@ def triage_writer(headers: DataFrame, existing: DataFrame, visited_path: str, st
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = tables.read_visited(spark, visited_path).select(F.col("study_folder").alias("study_uid"))
-        routed = triage.route_groups(batch.join(seen, "study_uid", "left_anti"), existing, as_of, days_back, min_slices, carry=carry)
+        groups = whole_groups(batch)
+        routed = triage.route_groups(groups.join(seen, "study_uid", "left_anti"), existing, as_of, days_back, min_slices, carry=carry)
         routed = durable(routed, "routed")
         append(routed.select(F.col("study_uid").alias("study_folder"), "status", "reason"), batch_id, f"{state_path}/outcomes")
         append(routed.filter("status = 'ready'").drop("status", "reason"), batch_id, f"{state_path}/ready")

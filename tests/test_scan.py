@@ -82,6 +82,38 @@ def test_groups_are_those_of_the_batch_operator(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_a_study_costs_no_call_of_python(spark):
+    """The engine keeps the state of the series, and what came of a series in several micro-batches is one group again."""
+    source, out = fresh_path(spark, "heads"), fresh_path(spark, "groups")
+    headers = parts_of(spark, source, 3)
+    scan.keyed_state(spark)
+    stream = spark.readStream.schema(headers.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = drained(scan.series_groups(stream).writeStream.outputMode("update").foreachBatch(lambda b, i: scan.append(b, i, out)), fresh_path(spark, "p"))
+    assert {s.operatorName for p in q.recentProgress for s in p.stateOperators} == {"stateStoreSave"}
+    told = spark.read.parquet(out)
+    last = told.groupBy("study_uid").agg(F.max("load").alias("load"))
+    want = triage.file_groups(headers)
+    got = scan.whole_groups(told.join(last, ["study_uid", "load"]).drop("load")).select(want.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_huge_study_reaches_its_key_as_few_rows(spark):
+    """Files of one path are told apart by their headers, a null path comes last."""
+    kind = "study_uid string, series_uid string, path string, modality string, error string"
+    rows = [("a", f"s{i % 2}" if i % 4 else None, None if i < 8 else f"a/{i % 5000}.dcm", f"m{i}", "bad" if i % 3 == 0 else None) for i in range(9_000)]
+    parts = scan.partial_groups(spark.createDataFrame(rows, kind).coalesce(1)).collect()
+    want = {}
+    for _, series, path, modality, error in rows:
+        key = (series or "unknown", error is None)
+        n, least, heads = want.get(key, (0, ("~",), set()))
+        rank = (path is None, path or "")
+        want[key] = (n + 1, min(least, rank) if n else rank, (heads if n and rank >= least else set()) | ({modality} if not n or rank <= least else set()))
+    assert len(parts) == len(want)
+    for r in parts:
+        n, (no_path, path), heads = want[r.series_uid, r.readable]
+        assert (r.slice_count, r.first_path) == (n, None if no_path else path) and r.head.modality in heads
+
+
 READY = scan.ready_schema(("patient_id",))
 
 
