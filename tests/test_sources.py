@@ -1,3 +1,4 @@
+import io
 import json
 import random
 from pathlib import Path
@@ -243,3 +244,26 @@ def test_a_listing_never_passes_through_the_driver(spark):
     placed.collect()
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "MapInPandas" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_staged_reading_broadcasts_no_studies(spark, monkeypatch):
+    """Joins on files and study folders never pass through the driver, however small their files look."""
+    import datetime as dt
+
+    from slicewise.plans import flows
+
+    plans = {}
+
+    def recorded(df, name, write=flows.durable):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(flows, "durable", recorded)
+    head = {"modality": "CT", "series_uid": "a", "series_description": "HEAD", "study_date": "20240101", "image_type": ["ORIGINAL"]}
+    existing = spark.createDataFrame([("none",)], "study_uid string")
+    routed, _ = flows.staged_scan(listing_in_python(spark, 30).filter("path like '%/s_/%'"), lambda data: head, existing, dt.date(2024, 2, 1), None, 2,
+                                  opener=lambda path: io.BytesIO(path.encode()))
+    assert {(r.status, r.n_files, r.slice_count) for r in routed.collect()} == {("ready", 6, 6)}
+    for name in ("other-heads",):
+        assert plans[name].count("SortMergeJoin") >= 2
+        assert not [at for at in plans[name].split("BroadcastHashJoin [")[1:] if at.startswith(("path#", "study_folder#"))]
