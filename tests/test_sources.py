@@ -264,6 +264,7 @@ def test_staged_reading_broadcasts_no_studies(spark, monkeypatch):
     routed, _ = flows.staged_scan(listing_in_python(spark, 30).filter("path like '%/s_/%'"), lambda data: head, existing, dt.date(2024, 2, 1), None, 2,
                                   opener=lambda path: io.BytesIO(path.encode()))
     assert {(r.status, r.n_files, r.slice_count) for r in routed.collect()} == {("ready", 6, 6)}
-    for name in ("other-heads",):
+    plans["routed"] = routed._jdf.queryExecution().executedPlan().toString()
+    for name in ("other-heads", "routed"):
         assert plans[name].count("SortMergeJoin") >= 2
         assert not [at for at in plans[name].split("BroadcastHashJoin [")[1:] if at.startswith(("path#", "study_folder#"))]
