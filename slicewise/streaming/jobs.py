@@ -31,11 +31,11 @@ def file_stream(spark: SparkSession, sf: str, name: str, files_per_trigger: int
 
 
 def split_stream(spark: SparkSession, sf: str, name: str, files: int = 3) -> DataFrame:
-    """One table of the folder dealt row by row over several files, one file per trigger."""
-    path = fresh_path(spark, f"{name}-files")
+    """One table of the folder dealt row by row over several triggers, each of as many files as a shuffle has tasks."""
+    path, wide = fresh_path(spark, f"{name}-files"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = table(spark, sf, name)
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.repartition(files * wide).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", wide).parquet(path)
 
 
 def _run(writer, spark: SparkSession, name: str, trigger: dict) -> None:

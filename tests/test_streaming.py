@@ -140,3 +140,12 @@ def test_worklist_stream_overlays_fields(spark):
     from slicewise.sources import documents
     got = sorted(tuple(r) for r in documents.read_worklist_snapshot(spark, snapshot, entries.schema).collect())
     assert got == [("a", False, True, "text", "2"), ("b", False, False, None, "3")]
+
+
+def test_a_trigger_reads_as_many_files_as_a_shuffle_has_tasks(spark):
+    sf, got = "/root/testdata/sf0.001", []
+    stream = jobs.split_stream(spark, sf, "lineitem")
+    drain(stream.writeStream.foreachBatch(lambda batch, batch_id: got.append((batch.count(), batch.rdd.getNumPartitions()))), fresh_path(spark, "p"))
+    total, wide = spark.read.parquet(f"{sf}/lineitem.parquet").count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(got) == 3 and sum(n for n, _ in got) == total and all(n > total // 4 for n, _ in got)
+    assert all(tasks >= wide // 2 for _, tasks in got)  # one file of few row groups would keep one task busy
